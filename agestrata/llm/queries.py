@@ -1,9 +1,11 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
 from agestrata.llm.mixing import op8_pareto_mix
+from agestrata.llm.quality import op3_quality_rules
 from agestrata.llm.sharding import op9_ring_shards
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_ring_shards": op9_ring_shards,
 }
