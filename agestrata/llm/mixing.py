@@ -17,6 +17,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
 BINS = 4096
+#: Tables with a row for each source are broadcast up to so many rows; beyond, joins are shuffled and skew is split.
+SMALL = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -56,9 +58,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     goal = targets(sizes, weights, share, most).withColumn("whole", F.floor(ratio).cast("int")).withColumn("p", ratio - F.floor(ratio))
     goal = written(goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goal")
+    small = F.broadcast if goal.count() <= SMALL else (lambda df: df)
     u = unit(F.lit(seed), "doc_id", "size")
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    drawn = slim.drop("source").join(goal, "source_key").withColumn("rank", odds)
+    drawn = slim.drop("source").join(small(goal), "source_key").withColumn("rank", odds)
     drawn = drawn.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
     bins = drawn.filter("p > 0").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     upto = Window.partitionBy("source_key").orderBy("bin")  # BINS rows at most
@@ -66,7 +69,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     cut = F.coalesce(F.min(F.when(F.col("through") > F.col("left"), F.col("bin"))), F.lit(BINS + 1)).alias("cut")
     used = F.coalesce(F.sum(F.when(F.col("through") <= F.col("left"), F.col("words"))), F.lit(0)).alias("used")
     cuts = bins.groupBy("source_key").agg(cut, used)
-    drawn = written(drawn.join(cuts, "source_key", "left"), "mix-drawn")
+    drawn = written(drawn.join(small(cuts), "source_key", "left"), "mix-drawn")
     # only the bin in which a source's words run out is put in order
     order = Window.partitionBy("source_key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     edge = drawn.filter("bin = cut").withColumn("through", F.col("used") + F.sum("size").over(order))
@@ -75,10 +78,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     both = written(rest.unionByName(edge), "mix-taken")
     # the gap that is left is closed by the one document that fits it best, if any brings the sum nearer
     gaps = both.groupBy("source_key").agg((F.first("left") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap"))
-    spare = both.filter("not taken and p > 0 and size > 0").join(gaps, "source_key").filter("abs(gap - size) < gap")
+    spare = both.filter("not taken and p > 0 and size > 0").join(small(gaps), "source_key").filter("abs(gap - size) < gap")
     last = spare.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "size")).alias("last"))
     closing = F.col("last").isNotNull() & ~F.col("taken") & (F.struct("rank", "doc_id", "size") == F.struct("last.rank", "last.doc_id", "last.size"))
-    done = both.join(last, "source_key", "left")
+    done = both.join(small(last), "source_key", "left")
     return done.select(
         "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("taken") | closing, F.lit(False)).cast("int")).alias("copies")
     )
