@@ -1,11 +1,15 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
 from agestrata.llm.mixing import op8_pareto_mix
+from agestrata.llm.packing import op2_power_of_two_packing
 from agestrata.llm.quality import op3_quality_rules
 from agestrata.llm.sharding import op9_ring_shards
+from agestrata.llm.simhash import op5_pigeonring_simhash
 
 QUERIES = {
+    "op2_power_of_two_packing": op2_power_of_two_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op5_pigeonring_simhash": op5_pigeonring_simhash,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_ring_shards": op9_ring_shards,
 }
