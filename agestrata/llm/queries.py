@@ -1,5 +1,6 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
+from agestrata.llm.language import op10_byte_cnn_language
 from agestrata.llm.mixing import op8_pareto_mix
 from agestrata.llm.packing import op2_power_of_two_packing
 from agestrata.llm.quality import op3_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_pigeonring_simhash": op5_pigeonring_simhash,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_ring_shards": op9_ring_shards,
+    "op10_byte_cnn_language": op10_byte_cnn_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
