@@ -4,6 +4,7 @@ from agestrata.llm.language import op10_byte_cnn_language
 from agestrata.llm.mixing import op8_pareto_mix
 from agestrata.llm.packing import op2_power_of_two_packing
 from agestrata.llm.phrases import op1_phrase_fingerprints
+from agestrata.llm.privacy import op7_boosted_candidates
 from agestrata.llm.quality import op3_quality_rules
 from agestrata.llm.sharding import op9_ring_shards
 from agestrata.llm.simhash import op5_pigeonring_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_power_of_two_packing": op2_power_of_two_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_pigeonring_simhash": op5_pigeonring_simhash,
+    "op7_boosted_candidates": op7_boosted_candidates,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_ring_shards": op9_ring_shards,
     "op10_byte_cnn_language": op10_byte_cnn_language,
