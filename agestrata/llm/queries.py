@@ -10,6 +10,7 @@ from agestrata.llm.privacy import op7_boosted_candidates
 from agestrata.llm.quality import RULES, STOP_WORDS, op3_quality_rules
 from agestrata.llm.sharding import op9_ring_shards
 from agestrata.llm.simhash import op5_pigeonring_simhash
+from agestrata.llm.suffixes import op6_lyndon_suffix_dedup
 
 QUERIES = {
     "op1_phrase_fingerprints": op1_phrase_fingerprints,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_sentence_rule_licenses": op4_sentence_rule_licenses,
     "op5_pigeonring_simhash": op5_pigeonring_simhash,
+    "op6_lyndon_suffix_dedup": op6_lyndon_suffix_dedup,
     "op7_boosted_candidates": op7_boosted_candidates,
     "op8_pareto_mix": op8_pareto_mix,
     "op9_ring_shards": op9_ring_shards,
