@@ -14,7 +14,7 @@ from agestrata.llm.shared import only, table
 LONGEST = 2048
 END = 1
 #: Words whose ids a Python worker remembers; others are encoded anew.
-CACHE = 400_000
+CACHE = 250_000
 # A word of its own that separates words encoded in one call; words that hold it are encoded alone.
 MARK = "\x01"
 
@@ -37,18 +37,26 @@ def _encoder(path: str):
 
 def encode(words: set[bytes], path: str) -> dict[bytes, bytes]:
     """Ids of each word as little-endian unsigned 32-bit numbers. The tokenizer never joins across ASCII white space, so
-    the ids of a text are those of its words."""
+    the ids of a text are those of its words; nor does it join a letter or digit with a mark, so those of a word with
+    marks behind it are those of its stem, then those of the marks."""
     import numpy as np
 
     tok, mark, cache = _encoder(path)
-    odd = [w for w in words if b"\x01" in w or b"<|" in w]
-    plain = list(words.difference(odd))
-    out = {}
-    for w in odd:
-        out[w] = np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-    for k in range(0, len(plain), 512):
-        some = plain[k : k + 512]
-        ids = np.array(tok.encode(f" {MARK} ".join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+    out, cut, todo = {}, {}, set()
+    for w in words:
+        stem = w.rstrip(b",.;:!?|")
+        if b"\x01" in w or b"<|" in w:
+            out[w] = np.array(tok.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        elif stem != w and stem[-1:].isalnum():
+            cut[w] = (stem, w[len(stem) :])
+            todo.update(x for x in cut[w] if x not in cache)
+        else:
+            todo.add(w)
+    plain = list(todo)
+    groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+    coded = tok.encode_batch_fast([f" {MARK} ".join(w.decode() for w in some) for some in groups], add_special_tokens=False)
+    for some, code in zip(groups, coded, strict=True):
+        ids = np.array(code.ids, "<u4")
         ends = np.append(np.flatnonzero(ids == mark), len(ids)) * 4
         raw, at = ids.tobytes(), 0
         for w, end in zip(some, ends.tolist(), strict=True):
@@ -56,9 +64,16 @@ def encode(words: set[bytes], path: str) -> dict[bytes, bytes]:
             at = end + 4
     if len(cache) < CACHE:
         cache.update(out)
+    for w, (stem, marks) in cut.items():
+        out[w] = (out[stem] if stem in out else cache[stem]) + (out[marks] if marks in out else cache[marks])
     return out
 
 
+def _words(text: bytes | None) -> list[bytes]:
+    """The tokenizer lowers case itself; doing so before makes words alike. Special tokens count only as they are written."""
+    return [] if not text else text.split() if b"<|" in text else text.lower().split()
+
+
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
     """n as pieces of the longest length, then its remaining binary digits in descending order."""
     rest = n % longest
@@ -91,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LONGEST,
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for lo in range(0, b.num_rows, 256):
-                docs_ = [(x.split() if x else []) for x in texts.slice(lo, 256).to_pylist()]
+                docs_ = [_words(x) for x in texts.slice(lo, 256).to_pylist()]
                 known = _encoder(tokenizer)[2]
                 new = {w for d in docs_ for w in d if w not in known}
                 fresh = encode(new, tokenizer) if new else {}
