@@ -88,12 +88,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken. Rows that share doc_id and size share their fate."""
-    picks = mix(docs, **how).groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumn("_size", size)
-    out = keyed.join(picks.withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("size", "_s"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_size") == F.col("_s")))
-    return out.filter("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """The mix itself: rows of docs with all their columns, each as often as it is taken. Rows that share doc_id and size
+    share their fate."""
+    picks = mix(docs, **how).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    keyed = plain.withColumn("words", F.coalesce(F.regexp_count(f"_{text}", F.lit(WORD)), F.lit(0)).cast("long"))
+    out = keyed.join(picks, F.col(f"_{at}").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1), "copies"))).select(*plain.columns).toDF(*docs.columns)
 
 
 def op8_pareto_mix(spark, sf_dir):

@@ -23,7 +23,8 @@ ADDED = ("iban", "ssn")
 ORDER = {k: i for i, k in enumerate(KINDS + ADDED)}
 _EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A leftmost match starts a run of digits; saying so keeps long runs linear.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 Span = tuple[str, int, int]
@@ -53,7 +54,8 @@ def base_spans(text: str) -> list[Span]:
         else:
             at = text.find("@", at + 1)
     for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") for p in m.group().split(".")]
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if 14 <= len(d := _digits(m.group())) <= 19 and luhn(d):

@@ -38,17 +38,17 @@ def fingerprint(text: bytes | None, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) for every row of docs."""
+    """doc_id, th (hash of the text), fp (long) for every row of docs."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = [fingerprint(x.as_py(), words) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=("doc_id", "fp"))
+            fps = [fingerprint(x.as_py(), words) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=("doc_id", "th", "fp"))
 
-    cut = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return cut.mapInArrow(run, "doc_id long, fp long")
+    cut = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return cut.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _from_segment(fp: Column, i: int) -> Column:
@@ -69,26 +69,38 @@ def links(fps: DataFrame) -> DataFrame:
     return asked.join(stored, ["i", "key"]).filter(F.col("a") < F.col("b")).filter(third & (F.bit_count(differ) <= BITS)).select("a", "b")
 
 
+def _grouped(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, th, fp, root (one fingerprint of the component), component_id for every row of docs."""
+    slim = written(fingerprints(docs, words), "simhash")
+    fps = written(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    roots = components(links(fps.select("fp")))
+    rooted = fps.join(roots, fps["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "simhash-roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    return slim.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+
+
 def groups(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id for every row of docs, component_id being the smallest doc_id that links reach.
 
     Null, empty and blank texts have fingerprint zero and are linked like others; equal rows share all three values; a
     component without any doc_id has a null component_id; an empty table gives no rows; other columns are ignored.
     """
-    slim = written(fingerprints(docs, words), "simhash")
-    fps = written(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(fps.select("fp")))
-    rooted = fps.join(roots, fps["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "simhash-roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return slim.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, words).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """The rows of docs that stay: of each group the row of smallest doc_id (one of them, where rows repeat it)."""
-    kept = written(groups(docs, words).filter("doc_id <=> component_id").groupBy("doc_id").count(), "simhash-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """The rows of docs that stay, with all their columns: of each group the row of smallest doc_id (null ids last; among
+    rows that share it the one of least text hash; of rows that repeat it and the text, one)."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    kept = _grouped(docs, words).groupBy("root").agg(F.min(order).alias("kept"))
+    kept = written(kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th")), "simhash-kept")
+    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    key = F.col(f"_{at}").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(f"_{text}") == F.col("kept_th"))
+    out = plain.join(kept, key, "left_semi")
+    again = out.groupBy(f"_{at}", F.xxhash64(f"_{text}")).count().filter("count > 1")
+    return (out if again.isEmpty() else out.dropDuplicates([f"_{at}", f"_{text}"])).toDF(*docs.columns)
 
 
 def op5_pigeonring_simhash(spark, sf_dir):
