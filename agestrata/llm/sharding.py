@@ -24,7 +24,8 @@ def ring(spark, shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
     """(cell, shard) of every virtual node in clockwise order."""
     rows = (
         spark.range(shards * vnodes)
-        .select((F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit("vnode"), "id").alias("h"))
+        .select((F.col("id") % shards).cast("int").alias("shard"), F.expr(f"id div {shards}").alias("k"))
+        .select("shard", F.xxhash64(F.lit("vnode"), "shard", "k").alias("h"))  # the same however many shards there are
         .select("shard", F.shiftrightunsigned("h", 52).cast("int").alias("cell"), "h")
         .collect()
     )
