@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agestrata.llm.shared import only, table, unit
+from agestrata.llm.shared import by_place, only, table, unit
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -213,7 +213,7 @@ def accepted(docs: DataFrame, least: float = 0.35) -> DataFrame:
                     stay = [bool(t and _LETTER.search(t)) for t in texts]
                 yield part.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_place(docs, run)
 
 
 def op10_byte_cnn_language(spark, sf_dir):

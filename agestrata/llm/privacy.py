@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agestrata.llm.shared import only, table
+from agestrata.llm.shared import by_place, only, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds; in order they follow the others.
@@ -323,7 +323,7 @@ def cleaned(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
                 cols[n] = pa.array(counts, b.schema.field(n).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return by_place(docs, run)
 
 
 def op7_boosted_candidates(spark, sf_dir):

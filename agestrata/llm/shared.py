@@ -25,6 +25,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
+def by_place(docs: DataFrame, run) -> DataFrame:
+    """mapInArrow over all columns of docs, which run finds by place; columns whose names clash stay apart."""
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one of our own only where none is set (local runs)."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

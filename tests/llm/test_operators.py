@@ -1,0 +1,320 @@
+"""Each operator against a plain version, SQL, a round trip or held-out accuracy; then odd rows for all of them."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import by_spark, by_sql
+
+from agestrata.llm import components, language, licenses, mixing, packing, phrases, privacy, quality, queries, sharding, simhash, suffixes
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def sha(s):
+    return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+# 1 fingerprints
+
+
+def test_fingerprints_of_edited_texts(small, texts):
+    got = {r.doc_id: r for r in phrases.edited(small).collect()}
+    order = sorted(texts, reverse=True)
+    assert set(got) == set(texts)
+    for d, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, n = texts[d] or "", texts[after] or ""
+        new = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        assert got[d].n_chars == len(t) and got[d].edited_sha256 == sha(new)
+        (v, ve, vn), (f, fe, fn) = (list(map(lambda x: x[None], xs)) for xs in phrases.sketches([t, new, n]))
+        assert got[d].fingerprint == phrases.as_text(v, f)[0] and got[d].edited_fingerprint == phrases.as_text(ve, fe)[0]
+        assert got[d].near_edited == pytest.approx(phrases.likeness(v, ve, f, fe)[0]) and got[d].near_next == pytest.approx(phrases.likeness(v, vn, f, fn)[0])
+    long = [r for r in got.values() if r.n_chars > 1000]
+    assert np.mean([r.near_edited for r in long]) > 0.2 > np.mean([r.near_next for r in long])
+
+
+def test_equal_substrings_share_phrases_at_any_offset():
+    rng = random.Random(3)
+    core = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    names = []
+    for lead in ("", "x", "quite another start "):
+        s = np.frombuffer((lead + core).encode("utf-32-le"), "<u4")
+        names.append(set(phrases.parse(s, np.zeros(len(s), int))[0].tolist()))
+    assert len(names[0] & names[1] & names[2]) >= len(names[0]) - 6
+
+
+# 2 packing
+
+
+def test_pieces_give_the_tokenizer_s_ids_back(small, texts, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for docs, whole in ((small, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
+        want = Counter((d, (np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")).tobytes()) for d, t in whole)
+        pieces = packing.pack(docs).collect()
+        runs, got = defaultdict(list), Counter()
+        for p in sorted(pieces, key=lambda p: (p.sequence_id)):
+            runs[p.doc_id].append(p)
+        for d, own in runs.items():
+            raw = b""
+            for p in own:
+                raw = raw + bytes(p.ids) if p.start else bytes(p.ids)
+                assert p.start == len(raw) // 4 - p.length
+                if p.start + p.length == p.doc_tokens:
+                    got[d, raw] += 1
+        assert got == want
+        assert all(p.length == 1 << p.bucket and p.length <= 2048 and p.offset == 0 for p in pieces)
+        assert len({p.sequence_id for p in pieces}) == len(pieces)
+
+
+@given(st.integers(1, 1 << 20))
+def test_lengths_are_binary_digits(n):
+    out = packing.lengths(n)
+    assert sum(out) == n and all(x & (x - 1) == 0 for x in out) and len(set(x for x in out if x < 2048)) == len([x for x in out if x < 2048])
+
+
+# 3 quality, 4 licences
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_agrees_with_sql(spark, sf_dir, name):
+    assert by_spark(queries.QUERIES[name](spark, sf_dir)) == by_sql(queries.ORACLE_SQL[name], sf_dir)
+
+
+def test_measures(small, texts, odd):
+    for docs, whole in ((small, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
+        got = Counter(rows(quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")))
+        assert got == Counter((d, *brute.measures(t)) for d, t in whole)
+
+
+def test_quality_names_the_rules_that_fail(spark):
+    prose = "the cat and a dog sat on it for as long as was to be with us that day in " + " ".join(f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    df = spark.createDataFrame([(1, prose), (2, "# " * 40 + prose), (3, "short"), (4, prose.upper())], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert got[1].kept and not got[1].failed
+    assert "symbol: to words" in got[2].failed and got[3].base_failed and not got[4].kept
+
+
+def test_licences_by_ordered_rules(spark):
+    mit = "The MIT License (MIT)\n\n" + " ".join(x[0] + "." for k, x in licenses.SENTENCES.items() if k in ("MitGrant", "MitKeep", "MitNoWarranty"))
+    apache = "Code.\n\nLicensed under the Apache License, Version 2.0\n"
+    df = spark.createDataFrame([(1, mit), (2, apache + mit), (3, "licence of no kind")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert got[1].licenses == "MIT" and got[1].unmatched == 0
+    assert got[2].licenses == "Apache-2.0,MIT" and got[3].licenses == ""
+
+
+# 5 SimHash
+
+
+def test_groups_as_by_all_pairs(small, texts, odd):
+    for docs, whole in ((small, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
+        got = Counter((d, f"{f % (1 << 64):016x}", c) for d, f, c in rows(simhash.groups(docs)))
+        assert got == Counter(brute.simhash_groups(whole))
+
+
+def test_links_lose_no_pair(spark):
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(60):
+        f = rng.getrandbits(64)
+        fps |= {f} | {f ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 2, 3, 3, 3, 4)}
+    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    got = set(rows(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))))
+    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
+    got = dict(rows(components.components(spark.createDataFrame(edges, "a long, b long"))))
+    assert got == {i: 0 for i in range(21)} | {k: 100 for k in range(100, 160)}
+
+
+def test_one_of_each_group_stays(odd):
+    got = simhash.one_of_each(odd)
+    whole = {(d, f): c for d, f, c in rows(simhash.groups(odd))}
+    assert got.columns == odd.columns
+    fps = [brute.simhash(r.text) for r in got.collect()]
+    assert not [1 for i in range(len(fps)) for j in range(i) if fps[i] == fps[j]] and len(fps) == len({c for c in whole.values()})
+
+
+# 6 suffixes
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=60) | st.lists(st.sampled_from(b"ab"), max_size=60).map(bytes))
+def test_suffix_array(s):
+    assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(b"abc"), max_size=40).map(bytes), max_size=5))
+def test_equal_windows(raws):
+    raws = [r for r in raws if len(r) >= 4]
+    got = [suffixes.removed(r, [(a, b) for a, b in x], 4) for r, x in zip(raws, suffixes.equal_windows(raws, 4), strict=True)] if raws else []
+    assert got == brute.repeats(raws, 4)
+
+
+@pytest.mark.parametrize("large", [suffixes.LARGE, 0])
+def test_repeats_as_by_all_windows(spark, large, monkeypatch):
+    rng = random.Random(9)
+    bits = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (150, 170, 220, 300)]
+    raws = [b"".join(rng.choice([*bits, bytes(rng.choice(b"xyz") for _ in range(40))]) for _ in range(rng.randint(0, 5))) for _ in range(40)]
+    raws += [raws[0], b"q" * 500, b"r" * 139, b"s" * 140]
+    df = spark.createDataFrame([(i, r.decode()) for i, r in enumerate(raws)], "doc_id long, text string")
+    monkeypatch.setattr(suffixes.repeats, "__defaults__", (suffixes.SPAN, large))
+    got = {r.doc_id: r for r in suffixes.without_repeats(df, 140).collect()}
+    for i, (raw, cut) in enumerate(zip(raws, brute.repeats(raws, 140), strict=True)):
+        left = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in cut]], [*[s for s, _ in cut], len(raw)], strict=True))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(raw), sum(b - a for a, b in cut), len(cut), left)
+
+
+def test_repeats_of_all_documents(small, texts):
+    ids = sorted(texts)
+    raws = [(texts[i] or "").encode() for i in ids]
+    want = {i: (sum(b - a for a, b in cut), len(cut)) for i, cut in zip(ids, brute.repeats(raws, 400), strict=True)}
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.without_repeats(small).collect()} == want
+
+
+# 7 personal data
+
+
+def test_base_spans_by_the_patterns(small, texts, odd):
+    for docs, whole in ((small, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect() if r.doc_id != 8])):
+        own = {d for d, _ in whole}  # all but the one whose digits take the plain patterns too long
+        got = Counter((r.doc_id, r.base_sha256, r.n_email + r.n_ip + r.n_card + r.n_phone) for r in privacy.find(docs).collect() if r.doc_id in own)
+        want = ((d, brute.personal(t)) for d, t in whole)
+        assert got == Counter((d, sha(s), s.count(":") // 2) for d, s in want)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("a1@.+- (%", max_size=40) | st.from_regex(brute.PHONE) | st.from_regex(brute.IP, fullmatch=True))
+def test_base_spans_of_any_text(text):
+    assert privacy.joined(privacy.base_spans(text)) == brute.personal(text)
+
+
+def test_trees_find_what_is_held_out():
+    trees = privacy.train()
+    x, y, kinds = privacy.examples(1500, 99)
+    said = trees.chance(x) >= np.array([trees.least.get(k, 2.0) for k in kinds])
+    assert (said & (y > 0)).sum() / said.sum() > 0.97 and (said & (y > 0)).sum() / y.sum() > 0.85
+
+
+def test_redaction(odd):
+    r = next(r for r in privacy.cleaned(odd).collect() if r.doc_id == 9)
+    assert r.text == "mail me: [EMAIL], [PHONE], [IP], [CARD]" and r.n_chars == len(r.text)
+
+
+# 8 mixing
+
+
+def test_mix(spark, sf_dir, small):
+    got = queries.QUERIES["op8_pareto_mix"](spark, sf_dir)
+    first = Counter(rows(got))
+    assert first == Counter(rows(queries.QUERIES["op8_pareto_mix"](spark, sf_dir)))
+    of, words = {}, defaultdict(int)
+    for r in small.collect():
+        of[r.doc_id] = r.source
+        words[r.source] += len(brute.code_words(r.text))
+    want, taken, largest = brute.targets(words), defaultdict(int), defaultdict(int)
+    for d, size, source_size, target, took in first:
+        assert source_size == words[of[d]] and target == pytest.approx(want[of[d]]) and took in (0, size, 2 * size)
+        taken[of[d]] += took
+        largest[of[d]] = max(largest[of[d]], size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in words)
+    assert sum(want.values()) == pytest.approx(1.5 * sum(words.values()))
+
+
+def test_mixed_rows_follow_the_copies(odd):
+    took = Counter()
+    for d, size, _, _, copies in rows(mixing.mix(odd)):
+        took[d, size] = max(took[d, size], copies)
+    n = Counter((r.doc_id, len(brute.code_words(r.text))) for r in mixing.mixed(odd).collect())
+    own = Counter((r.doc_id, len(brute.code_words(r.text))) for r in odd.collect())
+    assert n == Counter({k: own[k] * c for k, c in took.items() if c})
+
+
+# 9 sharding
+
+
+def test_shards_are_even_and_gapless(spark, sf_dir, texts):
+    got = rows(queries.QUERIES["op9_ring_shards"](spark, sf_dir))
+    assert Counter(d for d, *_ in got) == Counter(list(texts))
+    slots = defaultdict(list)
+    for d, size, crc, law, shard, slot, grown in got:
+        raw = (texts[d] or "").encode()
+        assert (size, crc, law, grown) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+        slots[shard].append(slot)
+    assert len(slots) == 40 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_few_rows_move_when_a_shard_is_added(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "'t' as text")
+    a, b = ({r.doc_id: r.shard for r in sharding.shard(df, n).collect()} for n in (20, 21))
+    assert sum(a[d] != b[d] for d in a) < 0.5 * len(a)
+
+
+# 10 languages
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.QUERIES["op10_byte_cnn_language"](spark, d).collect()
+    assert len(got) == len(lang)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", lang[r.doc_id].text or ""))
+    asked = [r for r in got if r.held_out and r.lang_pred != "und" and lang[r.doc_id].lang]
+    assert np.mean([r.lang_pred == lang[r.doc_id].lang for r in asked]) > 0.93
+
+
+def test_languages_don_t_hang_on_batches(small, texts):
+    model = language.learn(small)
+    some = [texts[k] for k in sorted(texts)]
+    whole = language.tell(some, model)
+    one = [language.tell([t], model) for t in some[:40]]
+    assert [x[0][0] for x in one] == whole[0][:40] and np.allclose([x[1][0] for x in one], whole[1][:40], atol=1e-4)
+
+
+# odd rows
+
+EVERY = {
+    "op1": phrases.edited, "op2": packing.pack, "op3": quality.judge, "op4": licenses.scan, "op5": simhash.groups, "op6": suffixes.without_repeats,
+    "op7": privacy.find, "op8": mixing.mix, "op9": sharding.shard, "op10": lambda d: language.identify(d, language.learn(d)),
+}
+STAGES = {"language": language.accepted, "near copies": simhash.one_of_each, "redaction": privacy.cleaned, "mix": mixing.mixed}
+
+
+def ids(df, column=0):
+    return Counter(r[column] for r in df.collect())
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_odd_rows(name, odd, clashing, empty):
+    f = EVERY[name]
+    want = ids(odd)
+    got = ids(f(odd))
+    assert set(got) == set(want) and (name == "op2" or got == want)
+    assert ids(f(clashing)) == got
+    assert f(empty).count() == 0
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_odd_rows_in_stages(name, odd, clashing, empty):
+    f = STAGES[name]
+    assert f(clashing).columns == clashing.columns
+    assert ids(f(clashing)) == ids(f(odd)) and set(ids(f(odd))) <= set(ids(odd))
+    assert f(empty).count() == 0
