@@ -9,6 +9,7 @@ its surroundings only, so equal substrings have equal names inside, wherever the
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -150,7 +151,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     cuts = slim.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("c")).first().c or []
     cuts = sorted(set(cuts), reverse=True)
     # ids above the first cut are in range 0; null ids in the last one. A search by halves instead of a scan of the cuts
-    bounds, low = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), F.lit(0)
+    bounds, low = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>"), F.lit(0)
     step = 1 << max(len(cuts).bit_length() - 1, 0)
     while step:
         ahead = low + F.lit(step)
