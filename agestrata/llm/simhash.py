@@ -5,6 +5,10 @@ the cumulative differences of the chain stay within 0, 1, 2, 3 (the proportional
 links of the chain are found by equality: one side is stored by the two segments, the other asks with its own first
 segment and with its second one as it is or with one bit changed. The third link and the full distance prune the rest.
 Only different fingerprints are compared; documents of equal fingerprint are one group from the start.
+
+The pipeline's stage also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; most of
+them differ in over 3 bits, and segments short enough for 11 bits would meet in nearly all pairs. Candidates share a band
+of MinHash values (at 0.8 a pair shares none with a chance of 0.0002), and each is settled by its shingles themselves.
 """
 
 from __future__ import annotations
@@ -18,19 +22,30 @@ from agestrata.llm.shared import only, table, written
 SEED = 42
 SHINGLE = 3
 BITS = 3
+#: Of the stage: words of a shingle, bands, MinHash values of a band.
+STAGE_SHINGLE, BANDS, BAND = 5, 28, 6
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: bytes | None, words: int = SHINGLE) -> int:
-    """The signed 64-bit fingerprint of a text: a bit is set if it is in over half the shingles' hashes."""
+def _hashes(text: bytes | None, words: int):
+    """The hash of every shingle of a text; of the whole text, if it has fewer words."""
     import numpy as np
     import xxhash
 
     ws = (text or b"").translate(_LOWER).split()
     if not ws:
-        return 0
+        return np.empty(0, "<u8")
     grams = map(b" ".join, zip(*[ws[i:] for i in range(words)], strict=False)) if len(ws) >= words else (b" ".join(ws),)
-    h = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8")
+    return np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), "<u8")
+
+
+def fingerprint(text: bytes | None, words: int = SHINGLE) -> int:
+    """The signed 64-bit fingerprint of a text: a bit is set if it is in over half the shingles' hashes."""
+    import numpy as np
+
+    h = _hashes(text, words)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -69,13 +84,96 @@ def links(fps: DataFrame) -> DataFrame:
     return asked.join(stored, ["i", "key"]).filter(F.col("a") < F.col("b")).filter(third & (F.bit_count(differ) <= BITS)).select("a", "b")
 
 
-def _grouped(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, th, fp, root (one fingerprint of the component), component_id for every row of docs."""
+def bands(text: bytes | None, words: int = STAGE_SHINGLE) -> tuple[int, list[int]]:
+    """The number of different shingles of a text, and a key for each band of their MinHash values."""
+    import numpy as np
+    import xxhash
+
+    h = np.unique(_hashes(text, words))
+    if not len(h):
+        return 0, []
+    rng = np.random.default_rng(SEED)
+    a, b = rng.integers(0, 1 << 64, (2, BANDS * BAND, 1), "<u8")
+    least = np.full(BANDS * BAND, (1 << 64) - 1, "<u8")
+    for k in range(0, len(h), 1 << 11):  # bounded memory for very long texts
+        least = np.minimum(least, (h[k : k + (1 << 11)] * (a | np.uint64(1)) + b).min(1))
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND))]
+    return len(h), np.array(keys, "<u8").view("<i8").tolist()
+
+
+def _banded(docs: DataFrame, words: int) -> DataFrame:
+    """th, n (different shingles), key: a row for each band of each different text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n, keys = zip(*[bands(x.as_py(), words) for x in b.column(1)], strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=("th", "n", "keys"))
+
+    cut = only(docs, "text").select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    return cut.mapInArrow(run, "th long, n long, keys array<long>").select("th", "n", F.explode("keys").alias("key")).distinct()
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Of pairs (a, b: hashes of texts) those whose shingle sets have a similarity of 0.8 or more, by comparing the sets."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            sets = [np.unique(_hashes(x.as_py(), words)).view("<i8") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=("th", "grams"))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    cut = only(docs, "text").select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    sets = written(cut.join(ends, "th", "left_semi").mapInArrow(run, "th long, grams array<long>").groupBy("th").agg(F.first("grams").alias("grams")), "simhash-sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE) -> DataFrame:
+    """a, b: hashes of texts that are similar, as far as rooted (th, root) has them apart: enough of the pairs for the
+    same components as all of them.
+
+    First each text of a band's group is compared with the least one; then, with what these links join known, all that
+    are still apart. So a large group of near copies doesn't meet itself in pairs.
+    """
+    keyed = written(_banded(docs, words), "simhash-bands")
+    shared = keyed.groupBy("key").agg(F.min(F.struct("th", "n")).alias("least"), F.max("th").alias("last")).filter("least.th < last")
+    keyed = written(keyed.join(shared.select("key", "least"), "key"), "simhash-shared")
+    near = lambda n, m: 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    pairs = keyed.filter((F.col("th") > F.col("least.th")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.th").alias("a"), F.col("th").alias("b")).distinct()
+    pairs = written(pairs, "simhash-pairs")
+    first = written(_similar(docs, pairs, words), "simhash-similar")
+    of = lambda c: rooted.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}"))
+    joins = first.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b")
+    above = components(joins).toDF("root", "top")
+    topped = written(rooted.join(above, "root", "left").select("th", F.coalesce("top", "root").alias("top")), "simhash-tops")
+    apart = keyed.select("key", "th", "n").join(topped, "th")
+    several = apart.groupBy("key").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x < y").select("key")
+    apart = written(apart.join(several, "key", "left_semi"), "simhash-apart")
+    left, right = apart.toDF("a", "key", "n", "top_a"), apart.toDF("b", "key", "m", "top_b")
+    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "simhash-rest")
+    return first.unionByName(_similar(docs, rest, words))
+
+
+def _grouped(docs: DataFrame, words: int, similar: bool = False) -> DataFrame:
+    """doc_id, th, fp, root (one fingerprint of the component), component_id for every row of docs. similar: near copies by
+    their five-word shingles are linked too."""
     slim = written(fingerprints(docs, words), "simhash")
     fps = written(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(links(fps.select("fp")))
     rooted = fps.join(roots, fps["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-roots")
+    if similar:
+        texts = written(slim.select("th", "fp").distinct().join(rooted, "fp").select("th", "root"), "simhash-texts")
+        of = lambda c: texts.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}"))
+        more = similar_links(docs, texts).join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        above = components(more).toDF("root", "top")
+        rooted = written(rooted.join(above, "root", "left").select("fp", "first", F.coalesce("top", "root").alias("root")), "simhash-roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
     return slim.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
@@ -89,11 +187,12 @@ def groups(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return _grouped(docs, words).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = SHINGLE, similar: bool = False) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group the row of smallest doc_id (null ids last; among
-    rows that share it the one of least text hash; of rows that repeat it and the text, one)."""
+    rows that share it the one of least text hash; of rows that repeat it and the text, one). similar: near copies by
+    their five-word shingles are linked too."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    kept = _grouped(docs, words).groupBy("root").agg(F.min(order).alias("kept"))
+    kept = _grouped(docs, words, similar).groupBy("root").agg(F.min(order).alias("kept"))
     kept = written(kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.th").alias("kept_th")), "simhash-kept")
     at, text = docs.columns.index("doc_id"), docs.columns.index("text")
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])

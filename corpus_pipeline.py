@@ -17,8 +17,9 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of smallest doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of linked fingerprints, or of texts with five-word similarity of 0.8 or more, the document of smallest
+    doc_id stays."""
+    return simhash.one_of_each(docs, similar=True)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from agestrata.llm import language, mixing, packing, privacy
+from agestrata.llm import components, language, mixing, packing, privacy, simhash
 
 
 def test_run_is_its_stages_done_plainly(spark, sf_dir, small):
@@ -39,3 +39,40 @@ def test_run_is_its_stages_done_plainly(spark, sf_dir, small):
 def test_stages_return_the_columns_of_documents(spark, sf_dir, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, small, sf_dir).dtypes == small.dtypes
+
+
+def test_near_copies_over_three_bits_go(spark):
+    rng = np.random.default_rng(3)
+    docs = []
+    for k in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        docs.append((k, " ".join(words)))
+        for c in range(3):  # each edit changes five shingles: 176 or more of 216 at most are shared
+            edited = list(words)
+            for at in (40, 80, 120, 160)[: c + 2]:
+                edited[at] = f"x{k}-{c}-{at}"
+            docs.append((100 + 10 * k + c, " ".join(edited)))
+    df = spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == set(range(20))
+    assert len({c for _, _, c in brute.simhash_groups(docs)}) > 20  # three bits leave some
+
+
+def test_similar_links_join_what_all_pairs_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.text for r in docs.select("text").collect()}
+    ids = {r.text: r.th for r in docs.selectExpr("text", "xxhash64(text) as th").collect()}
+    sets = {}
+    for t in texts:
+        ws = t.encode().translate(simhash._LOWER).split()
+        sets[ids[t]] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or {tuple(ws)}
+    order = sorted(sets)
+    want = set()
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                want.add((a, b))
+    rooted = spark.createDataFrame([(a, a) for a in order], "th long, root long")
+    got = {(r.a, r.b) for r in simhash.similar_links(docs, rooted).collect()}
+    assert want and got <= want and dict(components.components(spark.createDataFrame(list(want), "a long, b long")).collect()) == dict(components.components(spark.createDataFrame(list(got), "a long, b long")).collect())
