@@ -68,7 +68,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators: each proposes spans of one kind, many of them wrong.
-_NUMBER = re.compile(r"[0-9][0-9 ().\-/]{5,24}[0-9]")
+_GROUP = re.compile(r"[0-9]+")
+_BETWEEN = frozenset(" ().-/")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 _MARKS = (" at ", "[at]", "(at)", " AT ", "[AT]", "(AT)")
 _SPELT = re.compile(r"(?:\[at\]|\(at\)| at )\s?[\w-]{1,63}(?:(?:\.|\s?(?:\[dot\]|\(dot\)| dot )\s?)[\w-]{2,63}){1,3}", re.I)
@@ -87,13 +88,26 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _numbers(text: str):
+    """Start, end and count of digits of every stretch of whole digit groups with 9 to 12 digits; stretches overlap, so a
+    number beside another one is proposed by itself."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for i, (a, end) in enumerate(groups):
+        n = 0
+        for start, b in groups[i : i + 12]:
+            n += b - start
+            if n > 12 or b - a > 26 or not _BETWEEN.issuperset(text[end:start]):
+                break
+            if n >= 9:
+                yield a, b, n
+            end = b
+
+
 def candidates(text: str) -> list[Span]:
     out: list[Span] = []
-    for m in _NUMBER.finditer(text):
-        a, b = m.span()
-        n = len(_digits(m.group()))
-        if 9 <= n <= 12 and n < b - a:
-            wide = a - 1 if a and text[a - 1] == "(" and ")" in m.group() else a
+    for a, b, n in _numbers(text):
+        if n < b - a:
+            wide = a - 1 if a and text[a - 1] == "(" and ")" in text[a:b] else a
             out.append(("phone", wide, b))
             if n == 9:
                 out.append(("ssn", a, b))
@@ -174,7 +188,8 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -
 
 
 def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Features, labels and kinds of candidates in n generated snippets, about half of them personal data."""
+    """Features, labels and kinds of candidates in n generated snippets, about half of them personal data; some of these
+    have a year, a count or more numbers of their kind beside them."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda k: "".join(str(int(rng.integers(10))) for _ in range(k))
@@ -211,11 +226,23 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         else:
             s, kind = pick(bad)(), ""
             cue = pick(["order", "ref", "version", "total", "part", "serial", "", "", ""]) + " "
-        text = f"{lead} {cue}{s} {tail}"
-        at = len(lead) + 1 + len(cue)
+        text, right = f"{lead} {cue}", set()
+        if beside := kind in ("phone", "ssn") and rng.random() < 0.4:
+            text += pick(["", "", f"{int(rng.integers(1900, 2100))} ", f"{int(rng.integers(1, 1000))} "])
+        right.add((kind, len(text), len(text) + len(s)))
+        text += s
+        for _ in range(int(rng.integers(0, 3)) if beside else 0):
+            s, other = pick(good[:5])()
+            text += pick([" ", " ", " / ", "  "])
+            if other == kind:
+                right.add((kind, len(text), len(text) + len(s)))
+                text += s
+            else:
+                text += str(int(rng.integers(1, 3000)))
+        text += f" {tail}"
         for c in candidates(text):
             rows.append(features(text, c))
-            labels.append(float(c[0] == kind and (c[1], c[2]) == (at, at + len(s))))
+            labels.append(float(c in right))
             kinds.append(c[0])
     return np.array(rows), np.array(labels), kinds
 

@@ -211,6 +211,21 @@ def test_trees_find_what_is_held_out():
     assert (said & (y > 0)).sum() / said.sum() > 0.97 and (said & (y > 0)).sum() / y.sum() > 0.85
 
 
+def test_numbers_beside_others_are_found():
+    trees = privacy.train()
+    for text, want in {
+        "call 555-323-4567 555-987-6543": ["555-323-4567", "555-987-6543"],
+        "phone 212-555-0142 / 212-555-0199": ["212-555-0142", "212-555-0199"],
+        "SSN 123-45-6789 287-65-4321": ["123-45-6789", "287-65-4321"],
+        "phone since 2024 212-555-0142": ["212-555-0142"],
+        "phone 212-555-0142 100 items": ["212-555-0142"],
+        "SSN 123-45-6789 212-555-0142": ["123-45-6789", "212-555-0142"],
+    }.items():
+        found = {text[a:b] for _, a, b in privacy.candidates(text)}
+        assert found.issuperset(want), text
+        assert sorted(text[a:b] for _, a, b in privacy.further_spans(text, [], trees)) == sorted(want), text
+
+
 def test_redaction(odd):
     r = next(r for r in privacy.cleaned(odd).collect() if r.doc_id == 9)
     assert r.text == "mail me: [EMAIL], [PHONE], [IP], [CARD]" and r.n_chars == len(r.text)
