@@ -66,7 +66,9 @@ RULES = (
 #: Every known sentence holds one of these, so texts without any need no closer look.
 HINTS = "licens|permission|copyright|redistribut|warranty|rights reserved|cc by|software|governing"
 SPLIT = r"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D][^A-Za-z0-9\x0A\x0D]*[\x0A\x0D]"
-LINE = r"[\x0A\x0D]+"
+#: A sentence that isn't known is cut further: after semicolons and colons, at line ends and before list marks.
+_MARK = r"[^A-Za-z0-9\x0A\x0D]*[0-9A-Za-z]{1,2}[.)](?=[\x20\x09-\x0D])"
+PIECE = rf"(?:[;:][\x20\x09-\x0D]+|[\x0A\x0D]+)(?:{_MARK})?|^{_MARK}"
 
 
 def normal(s: str) -> str:
@@ -90,6 +92,11 @@ def rule_pattern(rule: tuple[str, ...]) -> str:
     return "(?:<[A-Za-z0-9]+>)*?".join(f"<{x}>" for x in rule)
 
 
+def pieces_pattern(ids: dict[str, str]) -> str:
+    """Over normalised pieces, one on each line: known sentences made of one or more whole pieces, the longest first."""
+    return "(?:^|(?<=\n))(?:" + "|".join(re.escape(s).replace("\\ ", "[ \n]") for s in sorted(ids, key=lambda s: (-len(s), s))) + ")(?=\n|$)"
+
+
 def _normal(c: Column) -> Column:
     c = F.regexp_replace(F.lower(c), r"[^a-z0-9.]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(^| )\.+", "$1"), r"\.+( |$)", "$1"))
@@ -99,18 +106,21 @@ def scan(docs: DataFrame) -> DataFrame:
     """For every row of docs: doc_id, sentences (identifiers in order, comma-joined), licenses (comma-joined, in order
     of the rules, each once), unmatched (identifiers that no rule used).
 
-    Whole texts are cut at sentence ends and lines without letters; a sentence that isn't known as it stands, over line ends, is looked up line by
-    line. Null, empty and other texts without a known sentence have empty lists; equal rows get equal rows; an empty
+    Whole texts are cut at sentence ends and lines without letters; a sentence that isn't known as it stands, over line
+    ends, is cut at semicolons, colons, line ends and list marks too, and known sentences are found in what consecutive
+    pieces make up. Null, empty and other texts without a known sentence have empty lists; equal rows get equal rows; an empty
     table gives none; other columns are ignored.
     """
     ids = known()
+    pattern = pieces_pattern(ids)
     lookup = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     sentences = F.split("text", SPLIT, -1)
 
     def named(s: Column) -> Column:
         whole = _normal(s)
-        lines = F.transform(F.split(s, LINE, -1), _normal)
-        return F.when(whole.isin(*ids), F.array(whole)).otherwise(F.filter(lines, lambda x: x.isin(*ids)))
+        pieces = F.array_join(F.filter(F.transform(F.split(s, PIECE, -1), _normal), lambda x: x != ""), "\n")
+        found = F.transform(F.regexp_extract_all(pieces, F.lit(pattern), 0), lambda x: F.translate(x, "\n", " "))
+        return F.when(whole.isin(*ids), F.array(whole)).otherwise(found)
 
     hit = F.when(F.lower("text").rlike(HINTS), F.flatten(F.transform(sentences, named)))
     cut = only(docs, "doc_id", "text").select("doc_id", F.coalesce(hit, F.array().cast("array<string>")).alias("_found"))

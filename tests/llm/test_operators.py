@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -115,6 +116,20 @@ def test_licences_by_ordered_rules(spark):
     assert got[2].licenses == "Apache-2.0,MIT" and got[3].licenses == ""
 
 
+def test_licences_wrapped_anywhere(spark):
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", licenses.SENTENCES["ApacheAsIs"][0] + ". See the License for the specific language governing permissions and limitations under the License."]
+    bsd = [licenses.SENTENCES[k][0] for k in ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")]
+    texts = [f"Copyright 2020 A\n{mark}" + f"\n{mark}".join(line for x in apache for line in textwrap.wrap(x, width, break_long_words=False)) for width in (40, 57, 72, 10_000) for mark in ("", "# ", " * ")]
+    for marks in (("1. ", "2. ", "3. "), ("* ", "* ", "* "), ("(a) ", "(b) ", "(c) ")):
+        listed = [f"{m}{x}." for m, x in zip(marks, bsd[1:], strict=True)]
+        texts += ["\n".join("\n   ".join(textwrap.wrap(x, width)) for x in [bsd[0] + ":", *listed]) for width in (40, 72)] + [" ".join([bsd[0] + ":", *listed])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.sentences, r.licenses) for r in licenses.scan(df).collect()}
+    for k, text in enumerate(texts):
+        want = ("ApacheNotice,ApacheCompliance,ApacheCopy,ApacheAsIs,ApacheLimits", "Apache-2.0") if k < 12 else ("BsdGrant,BsdSource,BsdBinary,BsdEndorse", "BSD-3-Clause")
+        assert got[k] == want, text
+
+
 # 5 SimHash
 
 
