@@ -63,8 +63,9 @@ RULES = (
     ("CC-BY-4.0", ("CcByNotice",)),
     ("Proprietary", ("AllRights",)),
 )
-#: Every known sentence holds one of these, so texts without any need no closer look.
-HINTS = "licens|permission|copyright|redistribut|warranty|rights reserved|cc by|software|governing"
+#: Every known sentence holds one of these, so texts without any need no closer look. Each is inside one word, as words
+#: of a raw text may be any white space and marks apart.
+HINTS = "licens|permission|copyright|redistribut|warranty|reserved|software|governing"
 SPLIT = r"[.!?]+[\x20\x09-\x0D]+|[\x0A\x0D][^A-Za-z0-9\x0A\x0D]*[\x0A\x0D]"
 #: A sentence that isn't known is cut further: after semicolons and colons, at line ends and before list marks.
 _MARK = r"[^A-Za-z0-9\x0A\x0D]*[0-9A-Za-z]{1,2}[.)](?=[\x20\x09-\x0D])"

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -130,6 +131,17 @@ def test_licences_wrapped_anywhere(spark):
         assert got[k] == want, text
 
 
+def test_wrapped_notices_as_by_sql(spark, tmp_path):
+    texts = ["A.\nAll rights\nreserved.", "All rights  reserved", "All rights-reserved.", "All rights reserved.", "nothing of it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = sorted(con.execute(licenses.SQL).fetchall())
+    assert sorted(tuple(r) for r in licenses.scan(df).collect()) == want
+    assert [x[2] for x in want] == ["Proprietary"] * 4 + [""]
+
+
 # 5 SimHash
 
 
