@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target decides the expected copies of its documents. Whole copies are allocated for certain; what is left is
-a sample without replacement: each document gets random odds divided by its inclusion odds, and those of lowest rank
-are taken until the words left are used up. Ranks are cut by quantile bins, so that only the rows of one bin of a source
-are ever ordered in one task.
+A source's target decides the expected copies of its documents, which rise with their length up to the most copies
+allowed. Whole copies are allocated for certain; the fraction left is a document's inclusion probability, and the rest of
+the target is a sample without replacement of fixed size (counted in words, as targets are): each document gets random
+odds divided by its inclusion odds, and those of lowest rank are taken until the words left are used up. Ranks are cut
+by quantile bins, so that only the rows of one bin of a source are ever ordered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agestrata.llm.shared import WORD, only, table, unit, written
@@ -17,6 +18,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
 BINS = 4096
+#: Expected copies are in proportion to this share plus the binary digits of a document's number of words: a longer
+#: document counts for more, as a page of prose is worth more to a mix than the same words in scraps.
+LENGTH_BASE = 4
 #: Tables with a row for each source are broadcast up to so many rows; beyond, joins are shuffled and skew is split.
 SMALL = 50_000
 
@@ -40,12 +44,37 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
+def _digits(size: Column) -> Column:
+    """Binary digits of a number of words: 0 for 0, 1 for 1, 2 for 2 and 3, and so on."""
+    return F.when(size > 0, F.length(F.bin(size))).otherwise(0)
+
+
+def expected_copies(goal: DataFrame, words: DataFrame, most: int = MOST) -> DataFrame:
+    """goal: source_key, source_size, target; words: source_key, digits, words, a row for each length class of a source.
+    Adds expected, the copies of a document of that class: in proportion to its weight, `most` at most, and such that a
+    source's words times their copies are its target. A source has some 30 classes at most."""
+    cls = goal.join(words, "source_key").withColumn("weight", F.lit(float(LENGTH_BASE)) + F.col("digits"))
+    high_first = Window.partitionBy("source_key").orderBy(F.desc("weight"))
+    before, rest = high_first.rowsBetween(Window.unboundedPreceding, -1), high_first.rowsBetween(0, Window.unboundedFollowing)
+    open_ = F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("words").over(before), F.lit(0))
+    # the level if all classes before this one were full; a class is full if that puts it above the most copies
+    level = F.try_divide(open_, F.sum(F.col("words") * F.col("weight")).over(rest))
+    cls = cls.withColumn("full", level * F.col("weight") >= float(most))
+    every = Window.partitionBy("source_key")
+    used = F.lit(float(most)) * F.sum(F.when(F.col("full"), F.col("words")).otherwise(0)).over(every)
+    weighed = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("words") * F.col("weight"))).over(every)
+    share = F.coalesce(F.try_divide(F.col("target") - used, weighed) * F.col("weight"), F.lit(0.0))
+    cls = cls.withColumn("expected", F.when(F.col("full"), float(most)).otherwise(F.greatest(share, F.lit(0.0))))
+    return cls.select("source_key", "digits", "source_size", "target", "words", "expected")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, copies for every row of docs.
+    """doc_id, size, source_size, target, copies (and p, the inclusion probability beyond whole copies) for every row of docs.
 
     size counts words (null text: 0); a null source is a source of its own, last in order. Ties of rank fall to doc_id,
     then size; equal rows are drawn one by one. Within a source the words taken reach the target but for less than the
-    gap that no single further document fits better. Empty tables give no rows; other columns are ignored.
+    gap that no single further document fits better. Null ids take part like others; empty texts have no words and are
+    not taken; empty tables give no rows; other columns are ignored.
     """
     slim = only(docs, "doc_id", "text", "source").select(
         "doc_id",
@@ -53,15 +82,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
         F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")).alias("source_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
-    slim = written(slim, "mix")
-    sizes = slim.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    goal = targets(sizes, weights, share, most).withColumn("whole", F.floor(ratio).cast("int")).withColumn("p", ratio - F.floor(ratio))
-    goal = written(goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goal")
+    slim = written(slim.withColumn("digits", _digits(F.col("size"))), "mix")
+    words = slim.groupBy("source_key", "source", "digits").agg(F.sum("size").alias("words"))
+    sizes = words.groupBy("source_key", "source").agg(F.sum("words").alias("source_size"))
+    goal = expected_copies(targets(sizes, weights, share, most), words, most)
+    goal = goal.withColumn("whole", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.floor("expected"))
+    left = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source_key"))
+    goal = written(goal.withColumn("left", left).drop("words", "expected"), "mix-goal")
     small = F.broadcast if goal.count() <= SMALL else (lambda df: df)
     u = unit(F.lit(seed), "doc_id", "size")
     odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    drawn = slim.drop("source").join(small(goal), "source_key").withColumn("rank", odds)
+    drawn = slim.drop("source").join(small(goal), ["source_key", "digits"]).withColumn("rank", odds)
     drawn = drawn.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
     bins = drawn.filter("p > 0").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     upto = Window.partitionBy("source_key").orderBy("bin")  # BINS rows at most
@@ -80,16 +111,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     gaps = both.groupBy("source_key").agg((F.first("left") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap"))
     spare = both.filter("not taken and p > 0 and size > 0").join(small(gaps), "source_key").filter("abs(gap - size) < gap")
     last = spare.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "size")).alias("last"))
-    closing = F.col("last").isNotNull() & ~F.col("taken") & (F.struct("rank", "doc_id", "size") == F.struct("last.rank", "last.doc_id", "last.size"))
+    same = F.col("rank").eqNullSafe(F.col("last.rank")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("size") == F.col("last.size"))
+    closing = F.col("last").isNotNull() & ~F.col("taken") & same
     done = both.join(small(last), "source_key", "left")
     return done.select(
-        "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("taken") | closing, F.lit(False)).cast("int")).alias("copies")
+        "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("taken") | closing, F.lit(False)).cast("int")).alias("copies"), "p"
     )
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of docs with all their columns, each as often as it is taken. Rows that share doc_id and size
-    share their fate."""
+    share their fate; null ids, texts and sources take part as in mix; an empty table gives no rows."""
     picks = mix(docs, **how).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
     at, text = docs.columns.index("doc_id"), docs.columns.index("text")
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
@@ -100,4 +132,4 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def op8_pareto_mix(spark, sf_dir):
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "p")

@@ -114,3 +114,27 @@ def targets(sizes, weights=(3.0, 1.0, 2.0), share=1.5, most=2):
             left -= out[s]
         free -= over
     return out
+
+
+def pareto(docs, target, u, most=2, divided=True):
+    """docs: (id, words) of one source; u: a random number of each. Copies and inclusion probability by id."""
+    weight = lambda n: 4 + (n.bit_length() if n else 0)
+    low, high = 0.0, 10.0
+    for _ in range(200):  # the level at which the expected words are the target
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(n * min(most, mid * weight(n)) for _, n in docs) < target else (low, mid)
+    expected = {d: min(most, high * weight(n)) for d, n in docs}
+    expected = {d: float(most) if x > most - 1e-9 else x for d, x in expected.items()}
+    copies = {d: int(x) for d, x in expected.items()}
+    p = {d: x - int(x) for d, x in expected.items()}
+    left = target - sum(copies[d] * n for d, n in docs)
+    rank = {d: u[d, n] / (1 - u[d, n]) / (p[d] / (1 - p[d]) if divided else 1) for d, n in docs if p[d] > 0}
+    order, taken = sorted((rank[d], d, n) for d, n in docs if d in rank), set()
+    for _, d, n in order:
+        if n > left:
+            break
+        left -= n
+        taken.add(d)
+    spare = [(abs(left - n), r, d) for r, d, n in order if d not in taken and n and abs(left - n) < left]
+    taken |= {min(spare)[2]} if spare else set()
+    return {d: c + (d in taken) for d, c in copies.items()}, p

@@ -14,8 +14,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import by_spark, by_sql
+from pyspark.sql import functions as F
 
-from agestrata.llm import components, language, licenses, mixing, packing, phrases, privacy, quality, queries, sharding, simhash, suffixes
+from agestrata.llm import components, language, licenses, mixing, packing, phrases, privacy, quality, queries, sharding, shared, simhash, suffixes
 
 
 def rows(df):
@@ -270,7 +271,7 @@ def test_mix(spark, sf_dir, small):
         of[r.doc_id] = r.source
         words[r.source] += len(brute.code_words(r.text))
     want, taken, largest = brute.targets(words), defaultdict(int), defaultdict(int)
-    for d, size, source_size, target, took in first:
+    for d, size, source_size, target, took, _ in first:
         assert source_size == words[of[d]] and target == pytest.approx(want[of[d]]) and took in (0, size, 2 * size)
         taken[of[d]] += took
         largest[of[d]] = max(largest[of[d]], size)
@@ -278,9 +279,32 @@ def test_mix(spark, sf_dir, small):
     assert sum(want.values()) == pytest.approx(1.5 * sum(words.values()))
 
 
+def test_the_sample_is_that_of_a_plain_draw(spark, sf_dir, small):
+    """Expected copies by a search for the level, ranks in one list, words taken in order of rank."""
+    u = {(r.doc_id, r.n): r.u for r in small.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long").alias("n")).select("doc_id", "n", shared.unit(F.lit(42), "doc_id", "n").alias("u")).collect()}
+    docs, sizes = defaultdict(list), defaultdict(int)
+    for r in small.collect():
+        n = len(brute.code_words(r.text))
+        docs[r.source].append((r.doc_id, n))
+        sizes[r.source] += n
+    want = brute.targets(sizes)
+    got = {r.doc_id: r for r in mixing.mix(small).collect()}
+    drawn = changed = 0
+    for source, own in docs.items():
+        copies, p = brute.pareto(own, want[source], u)
+        assert {d: got[d].copies for d, _ in own} == copies
+        assert all(got[d].p == pytest.approx(p[d], abs=1e-9) for d, _ in own)
+        if want[source] > 1.999 * sizes[source]:
+            continue  # every document twice
+        drawn += 1
+        assert len({round(got[d].p, 6) for d, n in own if n and 0 < got[d].p}) > 1  # odds differ within a source
+        changed += copies != brute.pareto(own, want[source], u, divided=False)[0]
+    assert changed > drawn / 2 > 0  # without the division by inclusion odds the sample is another one
+
+
 def test_mixed_rows_follow_the_copies(odd):
     took = Counter()
-    for d, size, _, _, copies in rows(mixing.mix(odd)):
+    for d, size, _, _, copies, _ in rows(mixing.mix(odd)):
         took[d, size] = max(took[d, size], copies)
     n = Counter((r.doc_id, len(brute.code_words(r.text))) for r in mixing.mixed(odd).collect())
     own = Counter((r.doc_id, len(brute.code_words(r.text))) for r in odd.collect())
