@@ -19,7 +19,7 @@ from agestrata.llm.shared import by_place, only, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the method finds; in order they follow the others.
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 ORDER = {k: i for i, k in enumerate(KINDS + ADDED)}
 _EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,6 +71,8 @@ def base_spans(text: str) -> list[Span]:
 _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = frozenset(" ().-/")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+#: A key or a token of access: a long run of letters and digits; candidates hold some of both or begin as keys do.
+_SECRET = re.compile(r"[A-Za-z0-9_/+-]{16,200}={0,2}")
 _MARKS = (" at ", "[at]", "(at)", " AT ", "[AT]", "(AT)")
 _SPELT = re.compile(r"(?:\[at\]|\(at\)| at )\s?[\w-]{1,63}(?:(?:\.|\s?(?:\[dot\]|\(dot\)| dot )\s?)[\w-]{2,63}){1,3}", re.I)
 _SPELT_LOCAL = re.compile(r"[\w.+-]{1,64}\s?\Z")
@@ -79,8 +81,12 @@ _CUES = {
     "iban": re.compile(r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|social)\b"),
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
+    "secret": re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|bearer|credential|auth(?:orization)?)\b"),
 }
-_AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|ref|isbn|page|date|total|price|part|serial|build|room|no)\b")
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|ref|isbn|page|date|total|price|part|serial|build|room|no|commit|sha\d*|md5|checksum|digest|uuid|file|path)\b")
+# How keys of well-known services begin.
+_KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "eyJ")
 
 
 def iban_ok(s: str) -> bool:
@@ -116,6 +122,10 @@ def candidates(text: str) -> list[Span]:
         elif n == 10 or n == 11:
             out.append(("phone", a, b))
     out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
+    for m in _SECRET.finditer(text):
+        digits = sum(map(m.group().count, "0123456789"))
+        if 2 <= digits < m.end() - m.start() - 1 or m.group().startswith(_KEY_STARTS):
+            out.append(("secret", *m.span()))
     for mark in _MARKS:
         at = text.find(mark)
         while at >= 0:
@@ -141,6 +151,8 @@ def features(text: str, span: Span) -> list[float]:
         float(kind == "iban" and iban_ok(s)), float(bool(re.search(r"[\[(](?:at|dot)[\])]", s, re.I))), float(bool(re.search(r" (?:dot) ", s, re.I))),
         float(bool(before) and (before.isalnum() or before in "+-./$€#_=\"'@:")), float(bool(after) and (after.isalnum() or after in "-/%_=\"'@")),
         float(bool(_CUES[kind].search(near))), float(bool(_AGAINST.search(near))), float(near.rstrip().endswith(":")),
+        len(d) / (b - a), len(set(s)) / (b - a), float(kind == "secret" and s.startswith(_KEY_STARTS)), float(s.count("_") + s.count("+")),
+        float(bool(re.search(r"[:=]\s?[\"'`]?\Z", near))), float(s != s.lower() and s != s.upper()), float(_HEX.fullmatch(s) is not None),
     ]
 
 
@@ -202,7 +214,16 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         s = f"{land}{check:02d}{body}"
         return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rng.random() < 0.5 else s
 
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    code = lambda k, of=letters: "".join(pick(of) for _ in range(k))
+    hexed = lambda k: code(k, "0123456789abcdef")
+    secret = lambda: (pick([
+        lambda: hexed(pick([32, 40, 64])), lambda: code(pick([20, 24, 32, 40, 48])), lambda: "AKIA" + code(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
+        lambda: "ghp_" + code(36), lambda: "sk-" + code(40), lambda: code(42, letters + "+/") + pick(["=", "==", ""]), lambda: f"{code(10)}-{code(12)}_{num(3)}",
+    ])(), "secret")
+
     good = [
+        secret, secret,
         lambda: (f"({area()}) {area()}-{num(4)}", "phone"), lambda: (f"{area()}-{area()}-{num(4)}", "phone"),
         lambda: (f"{area()}.{area()}.{num(4)}", "phone"), lambda: (f"{area()} {area()} {num(4)}", "phone"),
         lambda: (f"{int(rng.integers(1, 9))}{num(2)}-{int(rng.integers(10, 99))}-{int(rng.integers(1000, 9999))}", "ssn"),
@@ -213,26 +234,29 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         lambda: num(9), lambda: num(10), lambda: num(11), lambda: num(16), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}/{num(2)}/{num(4)} {num(3)}",
         lambda: f"{num(3)} {num(3)} {num(3)}", lambda: f"{num(1)}.{num(3)}.{num(3)}.{num(3)}", lambda: f"{num(5)}.{num(6)}", lambda: f"{num(4)} {num(5)} {num(2)}",
         lambda: f"{num(2)}-{num(7)}-{num(1)}", lambda: f"{pick('ABCDEFG')}{pick('ABCDEFG')}{num(18)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{word()} at {word()}.{word()}",
-        lambda: f"{num(3)}-{num(3)}-{num(5)}", lambda: f"token = \"{num(11)}a{num(10)}\"",
+        lambda: f"{num(3)}-{num(3)}-{num(5)}", lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", lambda: hexed(40), lambda: hexed(64),
+        lambda: f"{word()}-{word()}-{num(4)}-{num(2)}-{word()}", lambda: f"/{word()}/{word()}{num(2)}/{word()}_{num(3)}", lambda: f"{word()}_{word()}_{num(2)}_{word()}", lambda: word() * 3 + num(3),
     ]
-    cues = {"phone": ["phone", "tel:", "call", "mobile"], "ssn": ["SSN", "social security", "ssn:"], "iban": ["IBAN", "account", "iban:"], "email": ["mail", "contact", "email:"]}
+    cues = {"secret": ['token = "', "token: ", "api_key=", 'api key: "', "password: ", 'secret = "', "Authorization: Bearer ", "access_key = '", "credential "], "phone": ["phone", "tel:", "call", "mobile"], "ssn": ["SSN", "social security", "ssn:"], "iban": ["IBAN", "account", "iban:"], "email": ["mail", "contact", "email:"]}
     rows, labels, kinds = [], [], []
     for k in range(n):
         lead = " ".join(word() for _ in range(int(rng.integers(0, 6))))
         tail = " ".join(word() for _ in range(int(rng.integers(0, 6))))
         if k % 2:
             s, kind = pick(good)()
-            cue = pick(cues[kind]) + " " if rng.random() < (0.9 if kind in ("ssn", "email") else 0.5) else ""
+            cue = pick(cues[kind]) + " " * (kind != "secret") if rng.random() < (0.9 if kind in ("ssn", "email", "secret") else 0.5) else ""
+            if kind == "secret" and not cue and not s.startswith(_KEY_STARTS):
+                cue = "token "
         else:
             s, kind = pick(bad)(), ""
-            cue = pick(["order", "ref", "version", "total", "part", "serial", "", "", ""]) + " "
+            cue = pick(["order", "ref", "version", "total", "part", "serial", "commit", "sha256:", "file", "", "", ""]) + " "
         text, right = f"{lead} {cue}", set()
         if beside := kind in ("phone", "ssn") and rng.random() < 0.4:
             text += pick(["", "", f"{int(rng.integers(1900, 2100))} ", f"{int(rng.integers(1, 1000))} "])
         right.add((kind, len(text), len(text) + len(s)))
         text += s
         for _ in range(int(rng.integers(0, 3)) if beside else 0):
-            s, other = pick(good[:5])()
+            s, other = pick(good[2:7])()
             text += pick([" ", " ", " / ", "  "])
             if other == kind:
                 right.add((kind, len(text), len(text) + len(s)))
@@ -247,7 +271,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.array(rows), np.array(labels), kinds
 
 
-def train(n: int = 1500, rounds: int = 30, precision: float = 0.99) -> Trees:
+def train(n: int = 2000, rounds: int = 40, precision: float = 0.99) -> Trees:
     """Trees from n snippets; a further n calibrate them: a logistic curve over the margin, then for each kind the least
     chance at which that share of the selected spans is right."""
     x, y, _ = examples(n, 1)
@@ -304,7 +328,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def find(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """For every row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and further
-    ones, as kind:start:end).
+    ones, as kind:start:end), n_spans (how many those are).
 
     Null and empty texts have no spans; equal rows get equal rows; an empty table gives none; other columns are ignored.
     """
@@ -321,15 +345,16 @@ def find(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
                 every.append(joined(base[-1] + further_spans(text, base[-1], trees)))
             counts = [pa.array([sum(s[0] == k for s in own) for own in base], pa.int64()) for k in KINDS]
             sums = [hashlib.sha256(joined(own).encode()).hexdigest() for own in base]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sums, pa.string()), pa.array(every, pa.string())], names=("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"))
+            many = pa.array([s.count(",") + 1 if s else 0 for s in every], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(sums, pa.string()), pa.array(every, pa.string()), many], names=("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_spans"))
 
     cut = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return cut.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return cut.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def cleaned(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """docs with all spans redacted in text, and n_chars (if there is one) counted anew where that changed it. Null texts
-    stay null."""
+    stay null; equal rows stay equal; an empty table stays empty."""
     trees = trees or train()
     text, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
