@@ -20,7 +20,8 @@ WIDTHS = (2, 3, 4)
 EMBED = 8
 FILTERS = 16
 EPOCHS = 12
-#: The bound of the training sample: so many documents of each language, of each at most so many windows.
+#: The bound of the training sample: so many documents of each language, of each at most so many windows, drawn from
+#: its whole text.
 DOCS_OF_EACH = 400
 WINDOWS_OF_EACH = 3
 NONE = "und"
@@ -118,25 +119,26 @@ def held_out(doc_id):
 
 def learn(docs: DataFrame, docs_of_each: int = DOCS_OF_EACH) -> Model | None:
     """A model from a sample of at most docs_of_each labelled documents of each language, none of them held out; None
-    if there are none. The sample is drawn by a hash of doc_id."""
+    if there are none. The sample is drawn by a hash of doc_id, and so are the places of its WINDOWS_OF_EACH windows in
+    the whole text of each; only these windows cross the driver."""
     known = only(docs, "doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.withColumn("u", unit(F.lit("language"), "doc_id"))
     counts = known.groupBy("lang").count()
-    likely = known.join(F.broadcast(counts), "lang").filter(F.col("u") * F.col("count") <= 3 * docs_of_each)  # a row for each language
+    likely = known.join(counts, "lang").filter(F.col("u") * F.col("count") <= 3 * docs_of_each)
     first = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
     sample = likely.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= docs_of_each)
-    span = WINDOW * WINDOWS_OF_EACH * 4
-    sample = sample.select("lang", "rank", F.substring("text", 1, span).alias("text")).collect()
+    spare = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1  # places where a window may start
+    pieces = [F.col("text").substr((F.floor(unit(F.lit(k), "doc_id") * spare) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_OF_EACH)]
+    sample = sample.select("lang", "rank", F.array_distinct(F.array(*pieces)).alias("pieces")).collect()
     if not sample:
         return None
     langs = sorted({r.lang for r in sample})
     rows, labels = [], []
     for r in sorted(sample, key=lambda r: (r.rank, r.lang)):
-        if _LETTER.search(r.text):
-            own, lengths = windows(r.text)
-            some = [i for i in np.linspace(0, len(own) - 1, WINDOWS_OF_EACH).round().astype(int).tolist() if lengths[i] >= 24 or len(own) == 1]
-            rows += [own[i] for i in dict.fromkeys(some)]
-            labels += [langs.index(r.lang)] * len(dict.fromkeys(some))
+        for piece in r.pieces:
+            if _LETTER.search(piece):
+                rows.append(windows(piece)[0][0])
+                labels.append(langs.index(r.lang))
     return train(np.array(rows), np.array(labels), langs) if rows else None
 
 
