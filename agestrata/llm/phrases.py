@@ -9,9 +9,9 @@ its surroundings only, so equal substrings have equal names inside, wherever the
 from __future__ import annotations
 
 import hashlib
-import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,8 +116,6 @@ def fingerprint(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     table gives no rows; other columns are ignored."""
 
     def run(batches):
-        import pyarrow as pa
-
         for b in batches:
             for ids, texts in _chunks(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(as_text(*sketches(texts, levels)), pa.string())], names=("doc_id", "fingerprint"))
@@ -143,36 +141,40 @@ def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, range_, guest: docs by ranges of descending doc_id (null last), each range in one partition and in
     order, followed by a guest, the first document of the next range (after the last range: of the first).
 
-    Range bounds are quantiles of doc_id, so that no sort or partition holds more than its share of the documents.
+    Range bounds are quantiles of doc_id, so that no sort or partition holds more than its share of the documents. They
+    reach the tasks inside the function that looks them up, never as expressions: the plan is as small for many ranges
+    as for few. Two numbers of a range cross the driver.
     """
     spark = docs.sparkSession
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = slim.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("c")).first().c or []
-    cuts = sorted(set(cuts), reverse=True)
-    # ids above the first cut are in range 0; null ids in the last one. A search by halves instead of a scan of the cuts
-    bounds, low = F.from_json(F.lit(json.dumps(cuts)), "array<bigint>"), F.lit(0)
-    step = 1 << max(len(cuts).bit_length() - 1, 0)
-    while step:
-        ahead = low + F.lit(step)
-        low = F.when((ahead <= len(cuts)) & (F.col("doc_id") <= F.get(bounds, ahead - 1)), ahead).otherwise(low)
-        slim = slim.withColumn("_low", low)
-        low, step = F.col("_low"), step >> 1
-    slim = slim.withColumn("range_", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.col("_low"))).drop("_low")
-    tops = sorted(slim.groupBy("range_").agg(F.max("doc_id").alias("top")).collect())  # a row for each range
-    before = {(tops[i].range_, tops[i].top): tops[i - 1].range_ for i in range(len(tops))}
-    heads = spark.createDataFrame([(r, t, b) for (r, t), b in before.items()], "r int, top long, before int") if before else None
-    own = slim.withColumn("guest", F.lit(False))
-    if heads is None:
-        return own
-    is_head = (F.col("range_") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("top"))
-    both = slim.join(F.broadcast(heads), is_head, "left")
-    places = F.array(F.struct(F.col("range_"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("range_"), F.lit(True).alias("guest")))
-    both = both.select("doc_id", "text", F.explode(F.filter(places, lambda p: p["range_"].isNotNull())).alias("p"))
-    both = both.select("doc_id", "text", "p.range_", "p.guest")
+    found = slim.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("c")).first().c
+    cuts = np.unique(np.array(found or [], np.int64))
+
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array) -> pa.Array:
+        return pa.array(_range_of(ids, cuts), pa.int32())
+
+    tops = sorted(slim.select(range_of("doc_id").alias("r"), "doc_id").groupBy("r").agg(F.max("doc_id").alias("top")).collect())
+    # the range that the first document of each range is a guest of
+    guest_of = {tops[i].top: tops[i - 1].r for i in range(len(tops))}
+
+    @F.arrow_udf("array<int>")
+    def places(ids: pa.Array) -> pa.Array:
+        own = _range_of(ids, cuts).tolist()
+        return pa.array([[r, guest_of[i]] if i in guest_of else [r] for r, i in zip(own, ids.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    both = slim.select("doc_id", "text", F.posexplode(places("doc_id")).alias("pos", "range_"))
+    both = both.select("doc_id", "text", "range_", (F.col("pos") == 1).alias("guest"))
     return both.repartition("range_").sortWithinPartitions("range_", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
+def _range_of(ids: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """How many cuts (ascending) each id doesn't exceed; null ids come after all others."""
+    at = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, at).astype(np.int32)
+
+
 def edited(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """For every row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -181,8 +183,6 @@ def edited(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """
 
     def run(batches):
-        import pyarrow as pa
-
         def out(ids, texts, follow):
             """follow: a text more than ids, each the next one's."""
             halves = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, follow[1:], strict=True)]
