@@ -32,10 +32,12 @@ def by_place(docs: DataFrame, run) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set (local runs)."""
+    """The folder that driver and executors share. Only where none is set and all runs on this machine, a temporary one."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="agestrata-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
@@ -47,7 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/agestrata-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._agestrata_path = path
+    return out
+
+
+def discard(*written_: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in written_:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._agestrata_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

@@ -1,27 +1,34 @@
 """Repeated strings by suffix arrays, built group by group over what can repeat at all.
 
 Every window of SPAN bytes picks an anchor, its leftmost least 64-byte hash, so equal windows have equal anchors.
-Windows in a row that share an anchor form a run, and only runs of equal anchor can hold equal windows. Runs of an
-anchor that occurs once repeat nothing; runs that are the same throughout repeat each other; for every other anchor the
-texts of its distinct runs are joined and their suffixes sorted by linear grouping construction, so that windows that
-are equal become neighbours.
+Windows in a row that share an anchor form a run, and only runs of equal anchor can hold equal windows. Runs that are
+alike throughout (by a cryptographic digest) are one text with a count. The different texts of an anchor are joined and
+their suffixes sorted by linear grouping construction, so that windows that are equal become neighbours; a window repeats
+if its text counts twice or an equal neighbour stands beside it.
+
+An anchor whose texts have more than LIMIT bytes is split by longer anchors, again and again until its suffix array
+fits: a window holds, beside its anchor, half of its remaining bytes either left or right of it; with these the anchor
+is longer and says more, and equal windows still meet. In the end an anchor is a whole window, which has one text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agestrata.llm.shared import only, table, written
+from agestrata.llm.shared import discard, only, table, written
 
 SPAN = 400
 GRAM = 64
 CHUNK = 1 << 20
-#: Anchors whose distinct runs have more bytes than this are told apart window by window over all tasks instead.
-LARGE = 2_000_000
+#: The most bytes of one suffix array; anchors that have more are split by longer anchors.
+LIMIT = 200_000
+#: Bytes whose suffixes one task sorts, about; the number of tasks follows the input.
+TASK = 1_500_000
 _R = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _U = np.uint64
@@ -145,9 +152,15 @@ def _sums(raw: np.ndarray, r: int) -> np.ndarray:
     return np.concatenate(([_U(0)], np.cumsum((raw.astype(np.uint64) + _U(1)) * _power(r, len(raw))[0][: len(raw)])))
 
 
+def _digests(parts) -> np.ndarray:
+    """128 bits of each string of bytes, as two numbers a row."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), "<i8").reshape(-1, 2)
+
+
 def runs(raw: bytes, span: int = SPAN, gram: int = GRAM):
-    """Arrays for each run of windows: hash of its anchor, hash of all its bytes and its place, first and last start."""
-    parts = []
+    """Arrays for each run of windows: hash of its anchor, digest of all its bytes (two numbers), first and last start,
+    and where in it the anchor begins."""
+    parts, view = [], memoryview(raw)
     for lo in range(0, max(0, len(raw) - span + 1), CHUNK):
         b = np.frombuffer(raw, np.uint8, min(CHUNK + span - 1, len(raw) - lo), lo)
         sums, inverse = _sums(b, _R), _power(_R, len(b))[1]
@@ -161,19 +174,22 @@ def runs(raw: bytes, span: int = SPAN, gram: int = GRAM):
         anchor = (least & _U(0xFFFFFFFF)).astype(np.int64)
         s = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         e = np.append(s[1:], len(anchor)) - 1
-        whole = (sums[e + span] - sums[s]) * inverse[s] + (anchor[s] - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93) + (e - s).astype(np.uint64) * _U(0xA0761D6478BD642F)
-        parts.append((h[anchor[s]].view(np.int64), _mixed(whole).view(np.int64), s + lo, e + lo))
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
+        same = _digests([view[x:y] for x, y in zip((s + lo).tolist(), (e + lo + span).tolist(), strict=True)])
+        parts.append((h[anchor[s]].view(np.int64), same[:, 0], same[:, 1], s + lo, e + lo, anchor[s] - s))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
 
 
-def window_hashes(raw: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window."""
-    b = np.frombuffer(raw, np.uint8)
+def longer(raw: bytes, at: int, gram: int, span: int) -> list[tuple[int, bytes, int, bytes]]:
+    """The windows of a run whose anchor (gram bytes) begins at `at`, dealt to two longer anchors: half of the bytes that
+    a window has beside its anchor are all on its right, or else all on its left. Rows: where the part of the run begins,
+    its bytes, where its anchor begins in it, the anchor's bytes."""
+    last, rest = len(raw) - span, span - gram
+    half = (rest + 1) // 2
     out = []
-    for r in (_R, 0xD1342543DE82EF95):
-        sums, inverse = _sums(b, r), _power(r, len(b))[1]
-        out.append(_mixed((sums[span:] - sums[:-span]) * inverse[: len(b) - span + 1]).view(np.int64))
-    return out[0], out[1]
+    for first, final, begin in ((max(0, at - rest + half), min(last, at), at), (max(0, at - rest), min(last, at - rest + half - 1), at - half)):
+        if first <= final:
+            out.append((first, raw[first : final + span], begin - first, raw[begin : begin + gram + half]))
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -183,95 +199,153 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return slim.select("doc_id", "raw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("raw").alias("th"))
 
 
+RUN = "id long, th long, h long, c long, d long, s int, e int, at int"
+PART = "root long, root_c long, root_d long, base int, h long, c long, d long, n long, raw binary, at int, gram int"
+KIND = ("h", "c", "d")
+ROOT = ("root", "root_c", "root_d", "base")
+
+
 def _all_runs(docs: DataFrame, span: int) -> DataFrame:
+    names = [c.split()[0] for c in RUN.split(", ")]
+
     def run(batches):
         import pyarrow as pa
 
+        def batch(got):
+            cols = [np.concatenate(x) for x in zip(*got, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols[:5]] + [pa.array(x, pa.int32()) for x in cols[5:]], names=names)
+
         for b in batches:
             got, held = [], 0
             for k in range(b.num_rows):
-                h, c, s, e = runs(b.column(2)[k].as_py(), span)
-                if len(h):
-                    got.append((np.full(len(h), b.column(0)[k].as_py()), np.full(len(h), b.column(1)[k].as_py()), h, c, s, e))
-                    held += len(h)
-                if got and (held > 100_000 or k == b.num_rows - 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*got, strict=True)], names=("id", "th", "h", "c", "s", "e"))
+                own = runs(b.column(2)[k].as_py(), span)
+                if len(own[0]):
+                    got.append((np.full(len(own[0]), b.column(0)[k].as_py()), np.full(len(own[0]), b.column(1)[k].as_py()), *own))
+                    held += len(own[0])
+                if held > 100_000:
+                    yield batch(got)
                     got, held = [], 0
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*got, strict=True)], names=("id", "th", "h", "c", "s", "e"))
+                yield batch(got)
 
-    return _keyed(docs).select("id", "th", "raw").mapInArrow(run, "id long, th long, h long, c long, s long, e long")
+    return _keyed(docs).select("id", "th", "raw").mapInArrow(run, RUN)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """h, c, large, raw: the bytes of the wanted runs (id, th, h, c, s, e, large)."""
-    per = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "c", "s", "e", "large")).alias("of"))
+    """A row of PART for each of the wanted runs (id, th, h, c, d, n, s, e, at), being its own root, and large."""
+    per = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*KIND, "n", "s", "e", "at", "large")).alias("of"))
     both = _keyed(docs).select("id", "th", "raw").join(per, ["id", "th"]).dropDuplicates(["id", "th"])
-    cut = both.select("raw", F.explode("of").alias("x"))
-    return cut.select("x.h", "x.c", "x.large", F.expr(f"substring(raw, int(x.s) + 1, int(x.e - x.s) + {span})").alias("raw"))
+    cut = both.select("raw", F.explode("of").alias("x")).select(F.expr(f"substring(raw, x.s + 1, x.e - x.s + {span})").alias("raw"), "x.*")
+    return cut.select(
+        F.col("h").alias("root"), F.col("c").alias("root_c"), F.col("d").alias("root_d"), F.lit(0).alias("base"),
+        *KIND, "n", "raw", "at", F.lit(GRAM).alias("gram"), "large",
+    )
 
 
-def _sorted_groups(texts: DataFrame, span: int) -> DataFrame:
-    """h, c, a, b: stretches of equal windows in each run, by the suffix array of all runs of its anchor."""
+def _sorted_groups(texts: DataFrame, span: int, size: int) -> DataFrame:
+    """h, c, d, a, b: stretches of equal windows in each different text (rows of PART without large groups), by the
+    suffix array of all texts of its anchor. size: bytes of all of them."""
 
     def run(batches):
         import pyarrow as pa
 
-        def solve(h, cs, ts, rows):
-            for c, found in zip(cs, equal_windows(ts, span), strict=True):
-                rows += [(h, c, a, b) for a, b in found]
+        def solve(keys, ts, rows):
+            for key, found in zip(keys, equal_windows(ts, span), strict=True):
+                rows += [(*key, a, b) for a, b in found]
 
-        rows, h, cs, ts = [], None, [], []
+        rows, keys, ts = [], [], []
         for batch in batches:
-            for hh, c, raw in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                if hh != h and cs:
-                    solve(h, cs, ts, rows)
-                    cs, ts = [], []
-                h = hh
-                if not cs or cs[-1] != c:
-                    cs.append(c)
+            for h, c, d, raw in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+                if keys and keys[0][0] != h:
+                    solve(keys, ts, rows)
+                    keys, ts = [], []
+                if not keys or keys[-1] != (h, c, d):
+                    keys.append((h, c, d))
                     ts.append(raw)
-        if cs:
-            solve(h, cs, ts, rows)
+        if keys:
+            solve(keys, ts, rows)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=("h", "c", "a", "b"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=("h", "c", "d", "a", "b"))
 
-    return texts.select("h", "c", "raw").repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "h long, c long, a long, b long")
+    tasks = max(1, -(-size // TASK))
+    return texts.select(*KIND, "raw").repartition(tasks, "h").sortWithinPartitions(*KIND).mapInArrow(run, "h long, c long, d long, a long, b long")
 
 
-def _window_by_window(texts: DataFrame, span: int) -> DataFrame:
-    """The same for anchors with very many different runs: windows meet by two hashes, whichever task they come from."""
+def _longer(texts: DataFrame, span: int) -> DataFrame:
+    """Rows of PART cut into those of longer anchors."""
+    names = [c.split()[0] for c in PART.split(", ")]
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for h, c, raw in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
-                x, y = window_hashes(raw, span)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), h)), pa.array(np.full(len(x), c)), pa.array(np.arange(len(x))), pa.array(x), pa.array(y)], names=("h", "c", "a", "x", "y"))
-
-    each = written(texts.select("h", "c", "raw").mapInArrow(run, "h long, c long, a long, x long, y long"), "windows")
-    again = each.groupBy("x", "y").count().filter("count > 1").select("x", "y")
-    return each.join(again, ["x", "y"], "left_semi").select("h", "c", "a", F.col("a").alias("b"))
-
-
-def repeats(docs: DataFrame, span: int = SPAN, large: int = LARGE) -> DataFrame:
-    """id, th, spans: for documents with repeated windows, the stretches of window starts (lo, hi) that repeat."""
+            rows, block = [], []
+            for root, root_c, root_d, base, _, _, _, n, raw, at, gram in zip(*[b.column(k).to_pylist() for k in range(11)], strict=True):
+                for first, part, begin, anchor in longer(raw, at, gram, span):
+                    rows.append((root, root_c, root_d, base + first, n, part, begin, len(anchor)))
+                    block.append(anchor)
+            if rows:
+                cols, h, same = list(zip(*rows, strict=True)), _digests(block)[:, 0], _digests([r[5] for r in rows])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+                root, root_c, root_d, base, n, raw, at, gram = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([root, root_c, root_d, base, pa.array(h), pa.array(same[:, 0]), pa.array(same[:, 1]), n, raw, at, gram], names=names)
+
+    return texts.select(*names).mapInArrow(run, PART)
+
+
+def _split(texts: DataFrame, span: int, limit: int) -> list[DataFrame]:
+    """Tables of root, root_c, root_d, a, b: stretches of windows that repeat, of texts whose anchors are too large."""
+    out = []
+    while True:
+        parts = written(_longer(texts, span), "longer-parts")
+        kinds = parts.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min(F.struct(*ROOT)).alias("one"), F.max(F.length("raw")).alias("bytes"), F.max("gram").alias("gram"))
+        kinds = written(kinds, "longer-kinds")
+        groups = kinds.groupBy("h").agg(F.count("*").alias("many"), F.min("n").alias("fewest"), F.sum("bytes").alias("bytes"), F.max("gram").alias("gram"))
+        large = (F.col("bytes") > limit) & (F.col("gram") < span)
+        groups = written(groups.filter("many > 1 and fewest = 1").select("h", "bytes", large.alias("large")), "longer-groups")
+        several = parts.join(kinds.filter("n > 1").select(*KIND), [*KIND], "left_semi")
+        out.append(several.select(*ROOT[:3], F.col("base").alias("a"), (F.col("base") + F.length("raw") - span).alias("b")))
+        one = kinds.join(groups.select("h", "large"), "h").select(*KIND, "large", F.col("n").alias("times"), *[f"one.{x}" for x in ROOT])
+        wanted = written(parts.drop("n").join(one, [*KIND, *ROOT]).withColumnRenamed("times", "n"), "longer-texts")
+        if (size := groups.filter("not large").agg(F.sum("bytes").alias("n")).first().n) is not None:
+            found = written(_sorted_groups(wanted.filter("not large"), span, size), "longer-sorted")
+            single = kinds.filter("n = 1").select(*KIND, *[f"one.{x}" for x in ROOT])
+            out.append(single.join(found, [*KIND]).select(*ROOT[:3], (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b")))
+        texts = wanted.filter("large")
+        if groups.filter("large").isEmpty():
+            return out
+
+
+def repeats(docs: DataFrame, span: int = SPAN, limit: int = LIMIT) -> DataFrame:
+    """id, th, spans: for documents with repeated windows, the stretches of window starts (lo, hi) that repeat.
+
+    Tables that a join shares out by a key which many rows may have are written before: Spark then splits that key.
+    """
     every = written(_all_runs(docs, span), "runs")
-    anchors = every.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("same")).filter("n > 1")
-    shared = written(every.join(anchors.select("h", "same"), "h"), "shared-runs")
-    mixed = written(shared.filter("not same").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s", "e")).alias("one")), "mixed-runs")
-    size = mixed.groupBy("h").agg(F.sum(F.col("one.e") - F.col("one.s") + span).alias("bytes"), F.min("n").alias("fewest")).filter("fewest = 1")
-    wanted = mixed.join(size, "h").select("one.id", "one.th", "h", "c", "one.s", "one.e", (F.col("bytes") > large).alias("large"))
+    differ = (F.min("c") < F.max("c")) | (F.min("d") < F.max("d"))
+    anchors = written(every.groupBy("h").agg(F.count("*").alias("n"), differ.alias("mixed")).filter("n > 1").select("h", "mixed"), "anchors")
+    shared = written(every.join(anchors, "h"), "shared-runs")
+    discard(every, anchors)
+    kinds = written(shared.filter("mixed").groupBy(*KIND).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s", "e", "at")).alias("one")), "run-kinds")
+    # an anchor all of whose texts count twice leaves nothing to decide
+    groups = kinds.groupBy("h").agg(F.sum(F.col("one.e") - F.col("one.s") + span).alias("bytes"), F.min("n").alias("fewest")).filter("fewest = 1")
+    groups = written(groups.select("h", "bytes", (F.col("bytes") > limit).alias("large")), "anchor-sizes")
+    wanted = kinds.join(groups.select("h", "large"), "h").select(*KIND, "n", "large", "one.*")
     texts = written(_texts(docs, wanted, span), "run-texts")
-    found = written(_sorted_groups(texts.filter("not large"), span), "sorted-groups")
-    if not texts.filter("large").isEmpty():
-        found = found.unionByName(_window_by_window(texts.filter("large"), span))
-    alone = shared.filter("not same").join(mixed.filter("n = 1").select("h", "c"), ["h", "c"], "left_semi")
-    parts = alone.join(found, ["h", "c"]).select("id", "th", (F.col("s") + F.col("a")).alias("lo"), (F.col("s") + F.col("b")).alias("hi"))
-    several = shared.filter("not same").join(mixed.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    whole = shared.filter("same").unionByName(several).select("id", "th", F.col("s").alias("lo"), F.col("e").alias("hi"))
-    return whole.unionByName(parts).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    several = shared.filter("mixed").join(kinds.filter("n > 1").select(*KIND), [*KIND], "left_semi")
+    found = [shared.filter("not mixed").unionByName(several).select("id", "th", F.col("s").alias("lo"), F.col("e").alias("hi"))]
+    single = kinds.filter("n = 1").select(*KIND, "one.id", "one.th", "one.s")
+    parts = []
+    if (size := groups.filter("not large").agg(F.sum("bytes").alias("n")).first().n) is not None:
+        parts.append(written(_sorted_groups(texts.filter("not large"), span, size), "sorted-groups"))
+    if not groups.filter("large").isEmpty():
+        parts += [x.toDF(*KIND, "a", "b") for x in _split(texts.filter("large"), span, limit)]
+    for x in parts:
+        found.append(single.join(x, [*KIND]).select("id", "th", (F.col("s") + F.col("a")).cast("int").alias("lo"), (F.col("s") + F.col("b")).cast("int").alias("hi")))
+    spans = reduce(DataFrame.unionByName, found).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = written(spans, "repeated-spans")
+    discard(shared, kinds, groups, texts)
+    return spans
 
 
 def removed(raw: bytes, spans: list[tuple[int, int]], span: int = SPAN) -> list[tuple[int, int]]:
@@ -286,7 +360,8 @@ def removed(raw: bytes, spans: list[tuple[int, int]], span: int = SPAN) -> list[
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """For every row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary, the bytes left).
+    """For every row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary, the bytes left), text (those that are
+    whole code points).
 
     Null texts are empty; texts shorter than a window keep all; rows that repeat one another lose all windows; an empty
     table gives no rows; other columns are ignored.
@@ -298,22 +373,24 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                cols: list[list] = [[], [], [], []]
+                cols: list[list] = [[], [], [], [], []]
                 for raw, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     cut = removed(raw, [(x["lo"], x["hi"]) for x in spans or []], span)
                     at, left = 0, []
                     for a, z in cut:
                         left.append(raw[at:a])
                         at = z
-                    for c, v in zip(cols, (len(raw), sum(z - a for a, z in cut), len(cut), b"".join([*left, raw[at:]])), strict=True):
+                    rest = b"".join([*left, raw[at:]])
+                    for c, v in zip(cols, (len(raw), sum(z - a for a, z in cut), len(cut), rest, rest.decode("utf-8", "ignore")), strict=True):
                         c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=("doc_id", "n_bytes", "n_removed", "n_spans", "kept"))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"))
 
     both = _keyed(docs).join(repeats(docs, span), ["id", "th"], "left").select("doc_id", "raw", "spans")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 
 def op6_lyndon_suffix_dedup(spark, sf_dir):
+    """The digest, whether anything went, and the text that is left (without what a cut leaves of a code point)."""
     out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeats"), "text")

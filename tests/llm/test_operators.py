@@ -194,20 +194,38 @@ def test_equal_windows(raws):
     assert got == brute.repeats(raws, 4)
 
 
-@pytest.mark.parametrize("large", [suffixes.LARGE, 0])
-def test_repeats_as_by_all_windows(spark, large, monkeypatch):
+@pytest.mark.parametrize("limit", [suffixes.LIMIT, 3000, 0])  # 0: every anchor is split until it is a whole window
+def test_repeats_as_by_all_windows(spark, limit, monkeypatch):
     rng = random.Random(9)
     bits = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (150, 170, 220, 300)]
     raws = [b"".join(rng.choice([*bits, bytes(rng.choice(b"xyz") for _ in range(40))]) for _ in range(rng.randint(0, 5))) for _ in range(40)]
     raws += [raws[0], b"q" * 500, b"r" * 139, b"s" * 140]
     df = spark.createDataFrame([(i, r.decode()) for i, r in enumerate(raws)], "doc_id long, text string")
-    monkeypatch.setattr(suffixes.repeats, "__defaults__", (suffixes.SPAN, large))
+    monkeypatch.setattr(suffixes.repeats, "__defaults__", (suffixes.SPAN, limit))
     got = {r.doc_id: r for r in suffixes.without_repeats(df, 140).collect()}
     for i, (raw, cut) in enumerate(zip(raws, brute.repeats(raws, 140), strict=True)):
         left = b"".join(raw[a:b] for a, b in zip([0, *[e for _, e in cut]], [*[s for s, _ in cut], len(raw)], strict=True))
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(raw), sum(b - a for a, b in cut), len(cut), left)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 60), st.integers(0, 60), st.integers(1, 20), st.data())
+def test_longer_anchors_deal_every_window_once(left, right, gram, data):
+    span = gram + data.draw(st.integers(0, 40))
+    raw = bytes(data.draw(st.lists(st.integers(0, 255), min_size=left + gram + right, max_size=left + gram + right)))
+    first, last = max(0, left + gram - span), min(left, len(raw) - span)
+    if first > last:
+        return
+    run, at = raw[first : last + span], left - first
+    dealt = []
+    for base, part, begin, anchor in suffixes.longer(run, at, gram, span):
+        assert run[base : base + len(part)] == part and part[begin : begin + len(anchor)] == anchor
+        for i in range(len(part) - span + 1):  # the anchor is in every window
+            assert i <= begin and begin + len(anchor) <= i + span
+            dealt.append(base + i)
+    assert sorted(dealt) == list(range(last - first + 1))
+
+
 def test_repeats_of_all_documents(small, texts):
     ids = sorted(texts)
     raws = [(texts[i] or "").encode() for i in ids]
