@@ -8,7 +8,7 @@ Only different fingerprints are compared; documents of equal fingerprint are one
 
 The pipeline's stage also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; most of
 them differ in over 3 bits, and segments short enough for 11 bits would meet in nearly all pairs. Candidates share a band
-of MinHash values (at 0.8 a pair shares none with a chance of 0.0002), and each is settled by its shingles themselves.
+of MinHash values (at 0.8 a pair shares none with a chance of 0.00007), and each is settled by its shingles themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SEED = 42
 SHINGLE = 3
 BITS = 3
 #: Of the stage: words of a shingle, bands, MinHash values of a band.
-STAGE_SHINGLE, BANDS, BAND = 5, 28, 6
+STAGE_SHINGLE, BANDS, BAND = 5, 24, 5
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -93,10 +93,10 @@ def bands(text: bytes | None, words: int = STAGE_SHINGLE) -> tuple[int, list[int
     if not len(h):
         return 0, []
     rng = np.random.default_rng(SEED)
-    a, b = rng.integers(0, 1 << 64, (2, BANDS * BAND, 1), "<u8")
-    least = np.full(BANDS * BAND, (1 << 64) - 1, "<u8")
-    for k in range(0, len(h), 1 << 11):  # bounded memory for very long texts
-        least = np.minimum(least, (h[k : k + (1 << 11)] * (a | np.uint64(1)) + b).min(1))
+    a, b = rng.integers(0, 1 << 32, (2, BANDS * BAND, 1), "<u4")
+    high, least = (h >> np.uint64(32)).astype("<u4"), np.full(BANDS * BAND, (1 << 32) - 1, "<u4")
+    for k in range(0, len(h), 1 << 9):  # bounded memory for very long texts
+        least = np.minimum(least, (high[k : k + (1 << 9)] * (a | np.uint32(1)) + b).min(1))
     keys = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND))]
     return len(h), np.array(keys, "<u8").view("<i8").tolist()
 

@@ -21,9 +21,15 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def simhash_groups(texts):
-    """texts: (id, text). For each the fingerprint and the least id of its component, by comparing all pairs."""
-    fps = [simhash(t) for _, t in texts]
+def shingles(text, n=5):
+    ws = code_words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} or {tuple(ws)} - {()}
+
+
+def simhash_groups(texts, similar=False):
+    """texts: (id, text). For each the fingerprint and the least id of its component, by comparing all pairs; similar:
+    texts whose sets of five-word shingles are 0.8 alike are linked too."""
+    fps, sets = [simhash(t) for _, t in texts], [shingles(t) for _, t in texts]
     root = list(range(len(texts)))
 
     def top(i):
@@ -33,7 +39,7 @@ def simhash_groups(texts):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or similar and len(sets[i] | sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 root[top(i)] = top(j)
     ids = {}
     for i, (d, _) in enumerate(texts):
