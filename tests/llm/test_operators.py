@@ -132,6 +132,26 @@ def test_licences_wrapped_anywhere(spark):
         assert got[k] == want, text
 
 
+# Texts and the licences they show.
+SHOWN = {
+    "# SPDX-License-Identifier: AGPL-3.0-only\nimport os": "AGPL-3.0-only", "// SPDX-License-Identifier: ISC": "ISC", "This project is licensed under the Unlicense.": "Unlicense",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "This work is licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Released under the Eclipse Public License 2.0.": "EPL-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    "Licensed under the BSD 3-Clause License. All rights reserved.": "BSD-3-Clause,Proprietary",
+    "The licence of the shop was not renewed.": "", "All rights of way are reserved for walkers.": "", "Licensed under the stars, we slept.": "", "We talked of the MIT License and of others.": "",
+    "Permission is hereby granted to leave.": "", "He was licensed under the old act of 1904.": "", "SPDX-License-Identifier: LicenseRef-Own": "",
+}
+
+
+def test_licences_shown_and_not_shown(spark):
+    bodies = {name: ". ".join(licenses.SENTENCES[x][0] for x in rule) + "." for name, rule in licenses.RULES if len(rule) > 1}
+    df = spark.createDataFrame([*enumerate(SHOWN), *((100 + k, t) for k, t in enumerate(bodies.values()))], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert {t: got[k].licenses for k, t in enumerate(SHOWN)} == SHOWN
+    assert {n: got[100 + k].licenses for k, n in enumerate(bodies)} == {n: n for n in bodies}
+    assert all(got[100 + k].unmatched == 0 for k in range(len(bodies)))
+
+
 def test_wrapped_notices_as_by_sql(spark, tmp_path):
     texts = ["A.\nAll rights\nreserved.", "All rights  reserved", "All rights-reserved.", "All rights reserved.", "nothing of it"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
