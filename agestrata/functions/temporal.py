@@ -34,6 +34,15 @@ def anchors(dates: list[date]) -> tuple[date, date, date]:
     return dates[-3], dates[-2], dates[-1]
 
 
+def anchors_of(settings, dates: list[date]) -> tuple[date, date, date]:
+    """The anchors of the settings, which must be dates of the series, or its last three."""
+    if settings.anchors is None:
+        return anchors(dates)
+    if missing := [str(d) for d in settings.anchors if d not in dates]:
+        raise ValueError(f"no snapshot {', '.join(missing)}; the last are {', '.join(map(str, dates[-6:]))}")
+    return settings.anchors
+
+
 def snapshot_dates(spark: SparkSession, start: date, end: date, months: int = 3) -> DataFrame:
     """snapshot (midnight), a row for each date of the series."""
     firsts = F.sequence(F.trunc(F.lit(start), "month"), F.trunc(F.lit(end), "month"), F.expr(f"interval {months} months"))

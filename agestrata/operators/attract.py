@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agestrata.config import CODING, DEFAULT, Settings
+from agestrata.operators.state import at_year
 from agestrata.schemas import conform
 
 # Quadrants by (magnetism, stickiness) above the median.
@@ -78,3 +79,21 @@ def quadrant_grid(annual_: DataFrame) -> DataFrame:
     spine = annual_.select("scope_id").distinct().crossJoin(F.broadcast(ends)).select("scope_id", F.explode(F.sequence("a", "b")).alias("year"))
     mark = F.when(F.col("eligible").isNull(), "-").when(~F.col("eligible"), "*").otherwise(F.upper(F.substring("quadrant", 1, 1)))
     return spine.join(annual_.select("scope_id", "year", "eligible", "quadrant"), ["scope_id", "year"], "left").select("scope_id", "year", mark.alias("mark"))
+
+
+def year_table(annual_: DataFrame, scopes: DataFrame, year: int) -> DataFrame:
+    """The eligible scopes of a year with their labels; a year that the table doesn't have is an error."""
+    cut = at_year(annual_, year).filter("eligible").join(scopes.select("scope_id", "label"), "scope_id", "left")
+    return cut.select("scope_id", F.coalesce("label", F.col("scope_id").cast("string")).alias("label"), "quadrant", "magnetism", "stickiness", "devs", "newcomers_here")
+
+
+def grid_rows(grid: DataFrame) -> DataFrame:
+    """scope_id, first (year), marks: the marks of a scope's years as one word."""
+    row = grid.groupBy("scope_id").agg(F.min("year").alias("first"), F.array_sort(F.collect_list(F.struct("year", "mark"))).alias("of"))
+    return row.select("scope_id", "first", F.array_join(F.transform("of", lambda x: x["mark"]), "").alias("marks"))
+
+
+def grid_cells(rows: DataFrame) -> DataFrame:
+    """The grid again from its rows."""
+    cells = rows.select("scope_id", "first", F.posexplode(F.filter(F.split("marks", ""), lambda x: x != "")).alias("at", "mark"))
+    return cells.select("scope_id", (F.col("first") + F.col("at")).cast("int").alias("year"), "mark")

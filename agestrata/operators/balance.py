@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agestrata.config import CATEGORIES, DEFAULT, MONTH_DAYS, Settings
-from agestrata.functions.temporal import midnight
+from agestrata.operators.state import at_date
 from agestrata.schemas import conform
 
 
@@ -58,14 +58,14 @@ def metrics(state: DataFrame) -> DataFrame:
 
 def type_table(metrics_: DataFrame, scopes: DataFrame, day: date) -> DataFrame:
     """Metrics of one snapshot with labels; order by type, then label, undefined types last."""
-    cut = metrics_.filter(F.col("snapshot") == midnight(day))
+    cut = at_date(metrics_, day)
     out = cut.join(scopes.select("scope_id", "label"), "scope_id", "left").withColumn("label", F.coalesce("label", F.col("scope_id").cast("string")))
     return out.select("scope_id", "label", "coding", "non_coding", "new", "experienced", "total", "ccr", "ncr", "type")
 
 
 def type_counts(metrics_: DataFrame, scopes: DataFrame, day: date) -> DataFrame:
     """type, scopes; scopes without a row at the snapshot or without a type count as unclassified."""
-    cut = metrics_.filter(F.col("snapshot") == midnight(day)).select("scope_id", "type")
+    cut = at_date(metrics_, day).select("scope_id", "type")
     every = scopes.select("scope_id").join(cut, "scope_id", "left")
     return every.groupBy(F.coalesce("type", F.lit("unclassified")).alias("type")).agg(F.count("*").alias("scopes"))
 

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agestrata.config import CATEGORIES, DEFAULT, Settings
+from agestrata.functions.running import sum_before
 from agestrata.functions.stats import rank_sum_p, signed_rank_p
 from agestrata.functions.temporal import midnight
 from agestrata.operators.balance import dense_bands
+from agestrata.operators.state import at_date
 from agestrata.schemas import conform
 
 SERIES = (*CATEGORIES, "all")
@@ -18,7 +20,7 @@ SERIES = (*CATEGORIES, "all")
 
 def eligible(state: DataFrame, base: date, settings: Settings = DEFAULT) -> DataFrame:
     """scope_id, contributors: scopes with more people than the limit at the first base date."""
-    at = state.filter(F.col("snapshot") == midnight(base))
+    at = at_date(state, base)
     at = at.filter("active") if settings.min_contributors_basis == "active" else at
     return at.groupBy("scope_id").agg(F.countDistinct("contributor_id").alias("contributors")).filter(F.col("contributors") > settings.min_contributors)
 
@@ -54,8 +56,10 @@ def orphans(projected: DataFrame) -> DataFrame:
 
 
 def abre(actual: Column, pred: Column) -> Column:
-    """|p - a| / min(a, p); undefined if either is, or if the lesser is 0."""
-    return F.when(actual.isNotNull() & pred.isNotNull(), F.try_divide(F.abs(pred - actual), F.least(actual, pred)))
+    """|p - a| / min(a, p); undefined if either is, or if the lesser is 0; a negative side is an error."""
+    low = F.least(actual, pred)
+    checked = F.when(low < 0, F.raise_error(F.lit("a balanced error of a negative number"))).otherwise(low)
+    return F.when(actual.isNotNull() & pred.isNotNull(), F.try_divide(F.abs(pred - actual), checked.cast("double")))
 
 
 def mre(actual: Column, pred: Column) -> Column:
@@ -96,9 +100,8 @@ def signed_ranks(table: DataFrame) -> DataFrame:
     pairs = _by_type(complete(table)).withColumn("d", d).withColumn("far", F.abs(d) > 1e-8 + 1e-5 * F.abs("abre_baseline"))
     keys = ["type", "category"]
     values = pairs.groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"), F.count_if("far").alias("far"))
-    before = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     nonzero = F.col("size") > 0
-    ranked = values.withColumn("below", F.coalesce(F.sum(F.when(nonzero, F.col("t")).otherwise(0)).over(before), F.lit(0)))
+    ranked = sum_before(values.withColumn("_t", F.when(nonzero, F.col("t")).otherwise(0)), keys, "size", "_t")
     ranked = ranked.withColumn("rank", F.when(nonzero, F.col("below") + (F.col("t") + 1) / 2).otherwise(0.0))
     t = F.when(nonzero, F.col("t")).otherwise(0)
     return ranked.groupBy(*keys).agg(
@@ -114,11 +117,16 @@ def signed_rank_table(table: DataFrame, method: str = "auto") -> DataFrame:
     return table.sparkSession.createDataFrame(rows, "type string, category string, p double")
 
 
+def significance(p_table: DataFrame, level: float = 0.05) -> DataFrame:
+    """type, category, p, significant: an undefined p is not significant."""
+    return p_table.withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+
+
 def term_split(table: DataFrame, cut: int = 4) -> DataFrame:
     """One row: medians and numbers of short (band below cut) and long cohorts of all contributors, rank sum and z."""
     v = table.filter("category = 'all' and abre_cohort is not null").select(F.col("abre_cohort").alias("x"), (F.col("band") < cut).alias("short"))
     values = v.groupBy("x").agg(F.count("*").alias("t"), F.count_if("short").alias("s"))
-    ranks = values.withColumn("below", F.coalesce(F.sum("t").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = sum_before(values, [], "x", "t")
     r1 = ranks.agg(F.sum((F.col("below") + (F.col("t") + 1) / 2) * F.col("s")).alias("r1"))
     med = v.agg(F.median(F.when(F.col("short"), F.col("x"))).alias("short_median"), F.median(F.when(~F.col("short"), F.col("x"))).alias("long_median"), F.count_if("short").alias("short_n"), F.count_if(~F.col("short")).alias("long_n"))
     n1, n2 = F.col("short_n").cast("double"), F.col("long_n").cast("double")

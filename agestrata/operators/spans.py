@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agestrata.config import DEFAULT, Settings
+from agestrata.functions.temporal import DAY_US
 from agestrata.schemas import conform
 
 KEY = ("scope_id", "contributor_id")
@@ -22,20 +23,26 @@ def firsts(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def activity_spans(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The spans table. A gap of exactly the limit keeps the span. Firsts come from the same window, so that events are
-    shuffled once, by scope and contributor, and all that follows by contributor stays where it is."""
+    """The spans table. A gap of exactly the limit keeps the span.
+
+    Events of a day are within the limit of each other, so days with their first and last event tell as much. They are
+    aggregated before the shuffle: a contributor with very many events has no more rows than days. All that follows is
+    by scope and contributor and stays where it is.
+    """
     mine = Window.partitionBy(*KEY)
-    in_time = mine.orderBy("timestamp")
-    us, coding = F.unix_micros("timestamp"), side(settings)
-    marked = events.select(*KEY, "timestamp", coding.alias("_coding")).withColumn("_new", (us - F.lag(us).over(in_time) > settings.gap_us).cast("int"))
+    in_time = mine.orderBy("first")
+    coding, ts = side(settings), F.col("timestamp")
+    days = events.groupBy(*KEY, F.floor(F.unix_micros("timestamp") / DAY_US).alias("day")).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.min(F.when(coding, ts)).alias("c"), F.min(F.when(~coding, ts)).alias("d")
+    )
+    marked = days.withColumn("_new", (F.unix_micros("first") - F.lag(F.unix_micros("last")).over(in_time) > settings.gap_us).cast("int"))
     marked = marked.select(
-        *KEY, "timestamp",
+        *KEY, "first", "last",
         F.sum(F.coalesce("_new", F.lit(0))).over(in_time.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("span_idx"),
-        F.min(F.when(F.col("_coding"), F.col("timestamp"))).over(mine).alias("init_c"),
-        F.min(F.when(~F.col("_coding"), F.col("timestamp"))).over(mine).alias("init_d"),
+        F.min("c").over(mine).alias("init_c"), F.min("d").over(mine).alias("init_d"),
     )
     spans = marked.groupBy(*KEY, "span_idx").agg(
-        F.min("timestamp").alias("span_start"), F.max("timestamp").alias("span_end"), F.first("init_c").alias("init_c"), F.first("init_d").alias("init_d")
+        F.min("first").alias("span_start"), F.max("last").alias("span_end"), F.first("init_c").alias("init_c"), F.first("init_d").alias("init_d")
     )
     return conform(spans, "spans")
 

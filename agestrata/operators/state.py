@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agestrata.config import DEFAULT, MONTH_DAYS, Settings
+from agestrata.functions.lineage import written
 from agestrata.functions.temporal import days_between, midnight, quarter_ends
 from agestrata.operators.spans import KEY
 from agestrata.schemas import conform
@@ -42,10 +43,21 @@ def state_at(spans: DataFrame, dates: list[date] | None = None, settings: Settin
     return conform(at.withColumn("active", F.col("idle_days") <= settings.gap_days), "state")
 
 
-def at_date(state: DataFrame, day: date) -> DataFrame:
-    """The rows of one snapshot; a date that the table doesn't have is an error, never an empty result."""
-    cut = state.filter(F.col("snapshot") == midnight(day))
+def at_date(table: DataFrame, *days: date) -> DataFrame:
+    """The rows of some snapshots; a date that the table doesn't have is an error, never an empty result. The cut is
+    stored, so that looking whether it is empty doesn't compute it twice."""
+    cut = written(table.filter(F.col("snapshot").isin(*[midnight(d) for d in days])), "cut")
+    found = {r.snapshot.date() for r in cut.select("snapshot").distinct().collect()}
+    if missing := [str(d) for d in days if d not in found]:
+        known = [str(r.snapshot.date()) for r in table.select("snapshot").distinct().orderBy("snapshot").collect()]
+        raise ValueError(f"no snapshot {', '.join(missing)}; there are {', '.join(known) or 'none'}")
+    return cut
+
+
+def at_year(annual: DataFrame, year: int) -> DataFrame:
+    """The rows of a year; a year that the table doesn't have is an error."""
+    cut = written(annual.filter(F.col("year") == year), "cut")
     if cut.isEmpty():
-        known = [str(r.snapshot.date()) for r in state.select("snapshot").distinct().orderBy("snapshot").collect()]
-        raise ValueError(f"no snapshot {day}; there are {', '.join(known) or 'none'}")
+        known = sorted(r.year for r in annual.select("year").distinct().collect())
+        raise ValueError(f"no year {year}; there are {known}")
     return cut

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from agestrata.config import CATEGORIES, DEFAULT, EVENT_TYPES, TAXONOMIES, Settings
+from agestrata.functions.lineage import shared_dir, written
 from agestrata.functions.temporal import anchors, midnight, quarter_ends, snapshot_dates
 from agestrata.operators import attract, balance, checks, figures, identity, projection, sensitivity, spans, state
 from agestrata.sources import base
-from agestrata.sources.relational import commits_by_scope
+from agestrata.plans import stages
+from agestrata.plans.store import Store
+from agestrata.sources.relational import RelationalSource, commits_by_scope
 from agestrata.sources.star import StarSource
 from agestrata.streaming.spans import click_events, session_spans
 
@@ -36,13 +40,18 @@ def _annual(spark, d, settings: Settings = DEFAULT, **how):
     return attract.annual(attract.dev_years(_events(spark, d, settings)), settings, **how)
 
 
+def _three(spark, d, settings: Settings = DEFAULT):
+    """State at the anchors, stored: eligibility, counts, bands and types all start from it."""
+    return written(_state(spark, d, list(THREE), settings), "state")
+
+
 def _projected(spark, d, settings: Settings = DEFAULT):
-    at = _state(spark, d, list(THREE), settings)
+    at = _three(spark, d, settings)
     return projection.cohort_projection(projection.band_vectors(at, THREE, settings))
 
 
 def _errors(spark, d, settings: Settings = DEFAULT):
-    at = _state(spark, d, list(THREE), settings)
+    at = _three(spark, d, settings)
     types = balance.metrics(at.filter(F.col("snapshot") == midnight(LAST)))
     return projection.errors(projection.cohort_projection(projection.band_vectors(at, THREE, settings)), types)
 
@@ -104,6 +113,98 @@ def _commit_scope(mode):
     return q
 
 
+#: Tables of a hosting service from the star schema: rows of line items by line number, people by part.
+_WHO, _LINES = "nullif(l_partkey % 100 + 1, 50)", {
+    "pull_requests": (1, "l_orderkey as id, l_suppkey as base_repo_id, {who} as user_id"),
+    "pull_request_history": (1, "l_orderkey as pull_request_id, case when l_returnflag = 'R' then 'closed' else 'opened' end as action, cast(l_shipdate as timestamp) as created_at"),
+    "commit_comments": (2, "l_orderkey as commit_id, {who} as user_id, cast(l_shipdate as timestamp) + interval '5' day as created_at"),
+    "issues": (3, "l_orderkey as id, l_suppkey as repo_id, {who} as reporter_id, cast(l_shipdate as timestamp) as created_at"),
+    "issue_comments": (4, "l_orderkey as issue_id, {who} as user_id, cast(l_shipdate as timestamp) + interval '9' day as created_at"),
+    "pull_request_comments": (5, "l_orderkey as pull_request_id, {who} as user_id, cast(l_shipdate as timestamp) + interval '9' day as created_at"),
+    "issue_events": (6, "l_orderkey as issue_id, {who} as actor_id, cast(l_shipdate as timestamp) + interval '5' day as created_at"),
+}
+_PROJECTS = "s_suppkey as id, case when s_suppkey % 3 = 0 then s_suppkey - 1 end as forked_from, s_nationkey + 1 as owner_id, s_name as name, case when s_suppkey % 4 = 0 then '' else concat('L', cast(s_nationkey as string)) end as language, timestamp '1995-01-01 00:00:00' as created_at"
+
+
+def _hosting(spark, d):
+    """The tables of the relational adapter."""
+    older = _families(spark, d)
+
+    def table(name):
+        if name == "users":
+            return _users(spark, d).join(spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey as id", "c_name as login"), "id")
+        if name == "projects":
+            return spark.read.parquet(f"{d}/supplier.parquet").selectExpr(*_columns(_PROJECTS))
+        if name in _LINES:
+            line, columns = _LINES[name]
+            return spark.read.parquet(f"{d}/lineitem.parquet").filter(F.col("l_linenumber") == line).selectExpr(*_columns(columns.format(who=_WHO)))
+        return older(name)
+
+    return table
+
+
+def _columns(text: str) -> list[str]:
+    """Columns of a select list: commas inside brackets don't part them."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def _hosting_sql() -> str:
+    lines = ", ".join(f"{n} as (select {c.format(who=_WHO)} from lineitem where l_linenumber = {k})" for n, (k, c) in _LINES.items())
+    return f"""{USERS_SQL}, logins as (select c_custkey as id, c_name as login from customer), projects as (select {_PROJECTS} from supplier),
+{FAMILY_SQL[FAMILY_SQL.index("commits as"):]}, {lines},
+rscopes as (select p.id as scope_id, login || '/' || name as label, nullif(language, '') as language, created_at from projects p join logins u on u.id = owner_id where forked_from is null)"""
+
+
+_COMMITS = {
+    "root": "select project_id as scope_id, author_id, created_at from commits",
+    "family_project_commits": "select scope_id, author_id, created_at from (select distinct coalesce(p.forked_from, p.id) as scope_id, commit_id from project_commits l join projects p on p.id = l.project_id) f join commits c on c.id = f.commit_id",
+}
+
+
+def _relational_sql(taxonomy: str, mode: str) -> str:
+    arms = {
+        "commits": f"select scope_id, author_id as who, created_at as ts from ({_COMMITS[mode]}) x",
+        "pull_requests": "select base_repo_id, user_id, h.created_at from pull_requests p join pull_request_history h on h.pull_request_id = p.id where action = 'opened'",
+        "commit_comments": "select project_id, user_id, k.created_at from commit_comments k join commits c on c.id = commit_id",
+        "issues": "select repo_id, reporter_id, created_at from issues",
+        "issue_comments": "select repo_id, user_id, k.created_at from issue_comments k join issues i on i.id = issue_id",
+        "pull_request_comments": "select base_repo_id, k.user_id, k.created_at from pull_request_comments k join pull_requests p on p.id = pull_request_id",
+        "issue_events": "select repo_id, actor_id, k.created_at from issue_events k join issues i on i.id = issue_id",
+    }
+    union = " union all ".join(f"select cast(scope_id as bigint) as scope_id, cast(who as bigint) as contributor_id, '{t}' as event_type, cast(ts as timestamp) as timestamp from ({arms[t]}) a(scope_id, who, ts)" for t in TAXONOMIES[taxonomy].active)
+    return f"rel as (select * from ({union}) where contributor_id is not null and timestamp is not null and scope_id in (select scope_id from rscopes))"
+
+
+def _relational(spark, d, taxonomy: str, mode: str, merge: str = "none") -> RelationalSource:
+    return RelationalSource(DEFAULT.but(taxonomy=taxonomy), table=_hosting(spark, d), commit_scope=mode, identity_merge=merge)
+
+
+_NAME = "regexp_replace(trim(lower(name)), '\\s+', ' ', 'g')"
+MERGED_SQL = f"""people as (select distinct scope_id, contributor_id as id from rel),
+keys0 as (select id, 'e:' || trim(lower(email)) as key from users where trim(lower(email)) like '_%@%' union all select id, 'n:' || {_NAME} from users where {_NAME} like '% %' and {_NAME} <> 'system administrator'),
+keyed as (select scope_id, p.id, key from people p join keys0 k on k.id = p.id),
+pairs as (select distinct a.scope_id, a.id as a, b.id as b from keyed a join keyed b on a.key = b.key and a.scope_id = b.scope_id),
+reach(scope_id, id, r) as (select scope_id, a, b from pairs union select reach.scope_id, reach.id, pairs.b from reach join pairs on reach.r = pairs.a and reach.scope_id = pairs.scope_id),
+least as (select scope_id, id, min(r) as canonical from reach group by 1, 2)"""
+
+
+# ---- stage tables ----
+
+
+def _stored(spark, d, name: str):
+    """A stage table after a run of all stages into a store of its own."""
+    store = Store(spark, f"{shared_dir(spark)}/agestrata-store-{uuid.uuid4().hex}")
+    stages.run(store, _src(spark, d), DEFAULT)
+    return store.read(name)
+
+
 # ---- SQL blocks ----
 
 
@@ -227,6 +328,12 @@ for _m in ("email", "email_name"):
     add(f"identity_{_m}", lambda s, d, m=_m: identity.alias_map(_users(s, d), m), _identity_sql(_m))
 for _m, _q in _FAMILY.items():
     add(f"commit_scope_{_m}", _commit_scope(_m), f"with {FAMILY_SQL} {_q}")
+add("relational_scopes", lambda s, d: _relational(s, d, "union", "root").scopes(), f"with {_hosting_sql()} select scope_id, label, language, created_at from rscopes")
+for _n, _t, _m in (("relational_events", "union", "root"), ("relational_events_family", "prose", "family_project_commits")):
+    add(_n, lambda s, d, t=_t, m=_m: _relational(s, d, t, m).events(), f"with {_hosting_sql()}, {_relational_sql(_t, _m)} select * from rel")
+add("merged_events", lambda s, d: _relational(s, d, "prose", "root", "email_name").events(),
+    f"with recursive {_hosting_sql()}, {_relational_sql('prose', 'root')}, {MERGED_SQL} select rel.scope_id, coalesce(canonical, contributor_id) as contributor_id, event_type, timestamp from rel left join least on least.scope_id = rel.scope_id and least.id = rel.contributor_id")
+add("relational_projects", lambda s, d: _relational(s, d, "prose", "root").projects([2, 3, 5]), f"with {_hosting_sql()} select p.id, login as owner, name, language, created_at, forked_from from projects p join logins u on u.id = owner_id where p.id in (2, 3, 5)")
 add("firsts", lambda s, d: spans.firsts(_events(s, d)), f"with {ev_sql()}, {SPANS_SQL} select * from fi")
 for _sc in ("nation", "region", "supplier"):
     add("activity_spans" + ("" if _sc == "nation" else f"_{_sc}"), lambda s, d, sc=_sc: spans.activity_spans(_events(s, d, scope=sc)), f"with {ev_sql(scope=_sc)}, {SPANS_SQL} select scope_id, contributor_id, span_start, span_end, span_idx, init_c, init_d from spans")
@@ -242,6 +349,12 @@ add("type_table", lambda s, d: balance.type_table(balance.metrics(_state(s, d, [
 add("type_counts", lambda s, d: balance.type_counts(balance.metrics(_state(s, d, [LAST])), _src(s, d).scopes(), LAST), f"with {STATE}, {METRICS_SQL}, {SCOPES_SQL} select coalesce(type, 'unclassified') as type, count(*) as scopes from scopes left join (select * from metrics where snapshot = {LAST_SQL}) m using (scope_id) group by 1")
 add("type_scatter", lambda s, d: figures.type_scatter(balance.metrics(_state(s, d, [LAST])), _src(s, d).scopes(), LAST), f"with {STATE}, {METRICS_SQL}, {SCOPES_SQL} select m.scope_id, split_part(label, '/', -1) as short_label, ccr, ncr, type from metrics m join scopes using (scope_id) where snapshot = {LAST_SQL} and type is not null")
 add("pyramid_transition", lambda s, d: figures.pyramids_of(_state(s, d), [1, 2, 3], [date(y, 6, 30) for y in range(1998, 2002)]), f"with {STATE}, {pyramid_sql('idle_days <= 365.25')} select * from pyr where scope_id in (1, 2, 3) and month(snapshot) = 6 and year(snapshot) >= 1998")
+_GRID = f"with {STATE}, {METRICS_SQL}, {pyramid_sql('idle_days <= 365.25')}, p as (select * from pyr where scope_id in (1, 2, 3) and snapshot = {LAST_SQL})"
+add("pyramid_grid_types", lambda s, d: figures.grid_types(at := _state(s, d, [LAST]), balance.metrics(at), [1, 2, 3], LAST), f"{_GRID} select p.*, type from p left join (select scope_id, type from metrics where snapshot = {LAST_SQL}) m using (scope_id)")
+add("pyramid_grid_centered", lambda s, d: figures.grid_centered(at := _state(s, d, [LAST]), balance.metrics(at), [1, 2, 3], LAST), f"{_GRID} select p.*, ccr, ncr, type from p left join (select scope_id, ccr, ncr, type from metrics where snapshot = {LAST_SQL}) m using (scope_id)")
+add("pyramid_grid_status", lambda s, d: figures.grid_status(_state(s, d, [DATES[11]]), _annual(s, d), [1, 2, 3], DATES[11]), f"with {STATE}, {pyramid_sql('idle_days <= 365.25')}, {pairs_sql()}, {annual_sql()} select pyr.*, quadrant from pyr left join (select scope_id, quadrant from annual where year = {DATES[11].year}) a using (scope_id) where scope_id in (1, 2, 3) and snapshot = timestamp '{DATES[11]}'")
+add("pyramid_single", lambda s, d: figures.pyramids_of(_state(s, d, [LAST]), [2], [LAST]), f"{_GRID} select * from p where scope_id = 2")
+add("last_metrics", lambda s, d: stages.last_metrics(balance.metrics(_state(s, d))), f"with {STATE}, {METRICS_SQL} select scope_id, snapshot, coding, non_coding, new, experienced, total, ccr, ncr, type from metrics qualify row_number() over (partition by scope_id order by snapshot desc) = 1")
 add("balance_by_region", lambda s, d: _by_region(s, d), f"with {ev_sql(scope='region')}, {SPANS_SQL}, {state_sql([LAST])}, {METRICS_SQL} select r_name as value, coding, non_coding, new, experienced, total, ccr, ncr, type from metrics join region on r_regionkey = scope_id")
 add("dev_years", lambda s, d: attract.dev_years(_events(s, d)), f"with {ev_sql()}, {pairs_sql()} select * from pairs")
 add("newcomers", lambda s, d: attract.newcomers(attract.dev_years(_events(s, d))), f"with {ANNUAL} select scope_id, year, devs, newcomers_here, newcomers_total from annual")
@@ -251,6 +364,8 @@ add("attractiveness_annual", lambda s, d: _annual(s, d), f"with {ANNUAL} select
 add("attractiveness_dataset", lambda s, d: _annual(s, d, DEFAULT.but(stickiness_scope="dataset")), f"with {ev_sql()}, {pairs_sql()}, {annual_sql(sticky='dataset')} select * from annual")
 add("quadrant_counts", lambda s, d: attract.quadrant_counts(_annual(s, d)), f"with {ANNUAL} select year, quadrant, count(*) as scopes, any_value(median_magnetism) as median_magnetism, any_value(median_stickiness) as median_stickiness from annual group by 1, 2")
 add("quadrant_grid", lambda s, d: attract.quadrant_grid(_annual(s, d)), f"with {ANNUAL}, g as (select scope_id, cast(unnest(range((select min(year) from annual), (select max(year) + 1 from annual))) as integer) as year from (select distinct scope_id from annual)) select g.scope_id, g.year, case when eligible is null then '-' when not eligible then '*' else upper(quadrant[1]) end as mark from g left join annual a on a.scope_id = g.scope_id and a.year = g.year")
+add("quadrant_rows", lambda s, d: attract.grid_rows(attract.quadrant_grid(_annual(s, d))), f"with {ANNUAL}, g as (select scope_id, cast(unnest(range((select min(year) from annual), (select max(year) + 1 from annual))) as integer) as year from (select distinct scope_id from annual)), k as (select g.scope_id, g.year, case when eligible is null then '-' when not eligible then '*' else upper(quadrant[1]) end as mark from g left join annual a on a.scope_id = g.scope_id and a.year = g.year) select scope_id, min(year) as first, string_agg(mark, '' order by year) as marks from k group by 1")
+add("magnetism_table", lambda s, d: attract.year_table(_annual(s, d), _src(s, d).scopes(), 1997), f"with {ANNUAL}, {SCOPES_SQL} select scope_id, label, quadrant, magnetism, stickiness, devs, newcomers_here from annual left join scopes using (scope_id) where year = 1997 and eligible")
 add("magnet_sticky", lambda s, d: figures.magnet_sticky(_annual(s, d), _src(s, d).scopes(), 1997), f"with {ANNUAL}, {SCOPES_SQL} select scope_id, label, magnetism, stickiness, quadrant from annual join scopes using (scope_id) where year = 1997 and eligible")
 add("tie_high", lambda s, d: _annual(s, d, ties="high"), f"with {ev_sql()}, {pairs_sql()}, {annual_sql(ties='>=')} select * from annual")
 for _n in (5, 20):
@@ -269,6 +384,10 @@ add("projection_errors", lambda s, d: _errors(s, d), f"with {PROJ} select * from
 add("projection_errors_100", lambda s, d: _errors(s, d, DEFAULT.but(min_contributors=100)), f"with {STATE3}, {projection_sql(100)} select * from errs")
 add("projection_mre", lambda s, d: _errors(s, d).select("scope_id", "category", "band", projection.mre(F.col("actual"), F.col("cohort_pred")).alias("mre"), projection.mer(F.col("actual"), F.col("cohort_pred")).alias("mer")), f"with {PROJ} select scope_id, category, band, abs(cohort_pred - actual) / nullif(actual, 0) as mre, abs(cohort_pred - actual) / nullif(cohort_pred, 0) as mer from errs")
 add("projection_overlay", lambda s, d: figures.projection_overlay(_errors(s, d), [0, 1, 2, 3, 4]), f"with {PROJ} select scope_id, category, band, actual, cohort_pred, baseline_pred from errs where scope_id < 5")
+add("projection_frame", lambda s, d: figures.projection_frame(_errors(s, d), "actual"), f"with {PROJ}, t as (select scope_id, unnest(range(max(band) + 1)) as band from errs where category <> 'all' group by 1) select t.scope_id, cast(t.band as integer) as band, {', '.join(f"coalesce(sum(actual) filter (category = '{c}'), 0.0) as {c}" for c in CATEGORIES)} from t left join errs e on e.scope_id = t.scope_id and e.band = t.band and category <> 'all' group by 1, 2")
+add("stored_metrics", lambda s, d: _stored(s, d, "metrics"), f"with {STATE}, {METRICS_SQL} select scope_id, snapshot, coding, non_coding, new, experienced, total, ccr, ncr, type from metrics")
+add("stored_annual", lambda s, d: _stored(s, d, "annual"), f"with {ANNUAL} select * from annual")
+add("stored_projection", lambda s, d: _stored(s, d, "projection"), f"with {PROJ} select * from errs")
 add("abre_table", lambda s, d: projection.error_table(_errors(s, d)), f"with {PROJ} {ERROR_TABLE_SQL}")
 add("wilcoxon_stat", lambda s, d: projection.signed_ranks(_errors(s, d)),
     f"""with {PROJ}, df as (select type, category, abre_cohort - abre_baseline as d, abs(abre_cohort - abre_baseline) > 1e-8 + 1e-5 * abs(abre_baseline) as far from typed),

@@ -13,6 +13,13 @@ _OF = {
     "median_magnetism double, median_stickiness double, quadrant string, left_censored boolean, right_censored boolean",
     "projection": "scope_id long, type string, category string, band int, actual double, cohort_pred double, baseline_pred double, abre_cohort double, abre_baseline double",
 }
+#: The order that each table is shown in; - is descending, nulls are last.
+ORDERS = {
+    "events": ("scope_id", "contributor_id", "timestamp", "event_type"), "spans": ("scope_id", "contributor_id", "span_idx"), "state": ("scope_id", "snapshot", "contributor_id"),
+    "metrics": ("scope_id", "snapshot"), "types": ("type", "label"), "dev_years": ("scope_id", "contributor_id", "year"), "annual": ("year", "scope_id"),
+    "quadrants": ("year", "quadrant", "label"), "magnetism": ("-magnetism", "label"), "projection": ("scope_id", "category", "band"), "pyramid": ("scope_id", "snapshot", "band"),
+    "scopes": ("scope_id",),
+}
 _TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "boolean": BooleanType(), "timestamp": TimestampType()}
 SCHEMAS = {name: StructType([StructField(c, _TYPES[t]) for c, t in (f.split() for f in ddl.split(", "))]) for name, ddl in _OF.items()}
 

@@ -80,9 +80,14 @@ def violations(events: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def check_scopes(scopes: DataFrame, expected: int | None = None) -> None:
-    """Raises unless every scope has a label and their number is as expected."""
-    got = scopes.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("label"), F.lit("")) == "").alias("bare")).first()
-    if got.bare:
-        raise ValueError(f"{got.bare} scopes have no label")
+    """Raises unless scopes has the contract's columns (more may follow) of the contract's types, every scope has a label,
+    none stands twice, and their number is as expected."""
+    want, have = {f.name: f.dataType.simpleString() for f in SCHEMAS["scopes"]}, dict(scopes.dtypes)
+    if wrong := [f"{c} {t}" for c, t in want.items() if have.get(c) != t]:
+        raise TypeError(f"scopes must have {', '.join(wrong)}")
+    per = scopes.groupBy("scope_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.trim("label"), F.lit("")) == "").alias("bare"))
+    got = per.agg(F.count("*").alias("n"), F.coalesce(F.sum("bare"), F.lit(0)).alias("bare"), F.count_if(F.col("n") > 1).alias("twice"), F.count_if(F.col("scope_id").isNull()).alias("nameless")).first()
+    if got.bare or got.twice or got.nameless:
+        raise ValueError(f"{got.bare} scopes have no label, {got.twice} stand more than once, {got.nameless} have no id")
     if expected is not None and got.n != expected:
         raise ValueError(f"{got.n} scopes, {expected} expected")

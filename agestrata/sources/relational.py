@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agestrata.config import DEFAULT, Settings
-from agestrata.operators.identity import alias_map, merge_identities
+from agestrata.operators.identity import alias_map_by_scope, merge_identities
 from agestrata.sources.base import Source, clean
 
 COMMIT_SCOPES = ("root", "family_project_commits", "family_project_id")
@@ -46,8 +46,13 @@ class RelationalSource(Source):
     """table: gives a table by name. Tables: projects, users, commits, project_commits, pull_requests,
     pull_request_history, commit_comments, issues, issue_comments, pull_request_comments, issue_events."""
 
-    def __init__(self, settings: Settings = DEFAULT, *, table: Callable[[str], DataFrame], commit_scope: str = "root", identity_merge: str = "none", exclude: tuple[int, ...] = ()):
+    def __init__(
+        self, settings: Settings = DEFAULT, *, table: Callable[[str], DataFrame] | None = None, spark: SparkSession | None = None, path: str = "", commit_scope: str = "root",
+        identity_merge: str = "none", exclude: tuple[int, ...] = (),
+    ):
+        """Without table, the tables are Parquet files of their names in path."""
         super().__init__(settings)
+        table = table or (lambda name: spark.read.parquet(f"{path}/{name}.parquet"))
         self.table, self.commit_scope, self.identity_merge, self.exclude = table, commit_scope, identity_merge, exclude
 
     def scopes(self) -> DataFrame:
@@ -85,4 +90,16 @@ class RelationalSource(Source):
                 arm = clean(arm.withColumn("event_type", F.lit(kind)))
                 every = arm if every is None else every.unionByName(arm)
         kept = every.join(self.scopes().select("scope_id"), "scope_id", "left_semi")
-        return kept if self.identity_merge == "none" else merge_identities(kept, alias_map(self.table("users"), self.identity_merge))
+        if self.identity_merge == "none":
+            return kept
+        return merge_identities(kept, alias_map_by_scope(kept.select("scope_id", "contributor_id"), self.table("users"), self.identity_merge))
+
+    def identities(self, ids: list[int]) -> DataFrame:
+        """The users of some contributors as they are stored, to look into."""
+        return self.table("users").filter(F.col("id").isin(*ids))
+
+    def projects(self, ids: list[int]) -> DataFrame:
+        """Owner, name and origin of some projects, forks too."""
+        own = self.table("projects").filter(F.col("id").isin(*ids)).select("id", "owner_id", "name", "language", "created_at", "forked_from")
+        users = self.table("users").select(F.col("id").alias("owner_id"), F.col("login").alias("owner"))
+        return own.join(users, "owner_id").select("id", "owner", "name", "language", "created_at", "forked_from")

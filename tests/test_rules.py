@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from agestrata.config import DEFAULT, Settings
 from agestrata.functions import stats
-from agestrata.functions.temporal import anchors, quarter_ends, snapshot_dates
+from agestrata.functions.running import sum_before
+from agestrata.functions.temporal import anchors, anchors_of, quarter_ends, snapshot_dates
 from agestrata.operators import attract, balance, checks, identity, projection, spans, state
 from agestrata.sources import base
 
@@ -144,23 +145,37 @@ def test_tolerance(want, got, ok):
     assert stats.close(want, got, 0.02) is ok
 
 
+# Gate, match, declared, unavailable, status.
 STATUS = [
-    (True, True, "", "ok"), (True, True, "d", "OBSOLETE"), (True, False, "", "FAIL"), (True, False, "d", "known"),
-    (False, True, "", "ok"), (False, True, "d", "ok"), (False, False, "", "~"), (False, False, "d", "known"),
+    (True, True, "", False, "ok"), (True, True, "d", False, "OBSOLETE"), (True, False, "", False, "FAIL"), (True, False, "d", False, "known"),
+    (False, True, "", False, "ok"), (False, True, "d", False, "ok"), (False, False, "", False, "~"), (False, False, "d", False, "known"), (True, True, "d", True, "n/a"),
 ]
+CHECK = "key string, expected string, obtained string, match boolean, gate boolean, unavailable boolean"
 
 
-@pytest.mark.parametrize(("gate", "match", "ref", "want"), STATUS)
-def test_status_of_a_check(gate, match, ref, want):
-    assert checks.Check("k", 1, 1, match, gate, False, ref).status == want
-    assert checks.Check("k", 1, 1, match, gate, True, ref).status == "n/a"
+def test_status_of_checks(spark):
+    some = spark.createDataFrame([(f"k{i}", "1", "1", m, g, u) for i, (g, m, _, u, _) in enumerate(STATUS)], CHECK)
+    declared = spark.createDataFrame([(f"k{i}", d) for i, (_, _, d, _, _) in enumerate(STATUS) if d], checks.DECLARED)
+    assert {r.key: r.status for r in checks.verify(some, declared).collect()} == {f"k{i}": x[-1] for i, x in enumerate(STATUS)}
 
 
-def test_declarations_must_cover_something():
-    some = [checks.Check("a.x", 1, 2, False), checks.Check("b", 1, 1, True)]
-    assert not checks.verify(some, {"a.*": "d"}).fatal
-    assert [c.key for c in checks.verify(some, {"a.*": "d", "gone": "d"}).fatal] == ["gone"]
-    assert [c.status for c in checks.verify(some, {}).fatal] == ["FAIL"]
+def test_declarations_must_cover_something(spark):
+    rows = [("a.x", "1", "2", False, True, False), ("a.b.y", "1", "2", False, True, False), ("b", "1", "1", True, True, False), ("c.z", "1", "1", True, True, False)]
+    some = spark.createDataFrame(rows, CHECK)
+    told = lambda **d: {r.key: (r.status, r.ref) for r in checks.verify(some, spark.createDataFrame([(k.replace("_", "."), v) for k, v in d.items()] or [], checks.DECLARED)).collect()}
+    assert told()["a.x"] == ("FAIL", None)
+    got = checks.verify(some, spark.createDataFrame([("a.*", "wide"), ("a.b.*", "narrow"), ("gone", "g"), ("c.*", "all match")], checks.DECLARED))
+    assert {r.key: (r.status, r.ref) for r in got.collect()} == {
+        "a.x": ("known", "wide"), "a.b.y": ("known", "narrow"), "b": ("ok", None), "c.z": ("ok", "all match"), "gone": ("FAIL", "g"), "c.*": ("OBSOLETE", "all match"),
+    }
+    assert {r.key for r in checks.fatal(got).collect()} == {"gone", "c.*"}
+
+
+def test_expected_facts(spark):
+    expected = [("t.1", "A", None, True, None), ("n.1", None, 0.4055, True, 0.02), ("n.2", None, 0.45, True, 0.02), ("n.0", None, 0.0, False, 0.02), ("none", "A", None, True, None)]
+    facts = [("t.1", "A", None), ("n.1", None, 0.4), ("n.2", None, 0.4), ("n.0", None, 0.01)]
+    got = checks.compare(spark.createDataFrame(expected, checks.EXPECTED), spark.createDataFrame(facts, "key string, text string, number double"))
+    assert {r.key: (r.match, r.unavailable) for r in got.collect()} == {"t.1": (True, False), "n.1": (True, False), "n.2": (False, False), "n.0": (True, False), "none": (False, True)}
 
 
 def test_dirty_rows_are_dropped(spark):
@@ -183,3 +198,53 @@ def test_identities_close_over_chains(spark):
 def test_unknown_source_is_an_error():
     with pytest.raises(ValueError, match="star"):
         base.load("none")
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    users = spark.createDataFrame([(1, "\ta@x\n", "x"), (2, "A@X\u00a0", "y")], "id long, email string, name string")
+    assert {tuple(r) for r in identity.alias_map(users, "email").collect()} == {(2, 1)}
+
+
+def test_people_merge_only_through_their_scope(spark):
+    users = spark.createDataFrame([(1, "a@x", "Ann Lee"), (2, "a@x", "Bo Ray"), (3, "b@x", "Bo Ray")], "id long, email string, name string")
+    people = spark.createDataFrame([(7, 1), (7, 3), (8, 1), (8, 2), (8, 3), (9, 2), (9, 3)], "scope_id long, contributor_id long")
+    got = {tuple(r) for r in identity.alias_map_by_scope(people, users, "email_name").collect()}
+    assert got == {(8, 2, 1), (8, 3, 1), (9, 3, 2)}
+    events = spark.createDataFrame([(7, 3, "commits", T2), (8, 3, "commits", T2)], EVENTS)
+    merged = identity.merge_identities(events, identity.alias_map_by_scope(people, users, "email_name"))
+    assert {(r.scope_id, r.contributor_id) for r in merged.collect()} == {(7, 3), (8, 1)}
+
+
+def test_negative_counts_are_errors(spark):
+    df = spark.createDataFrame([(-1.0, 2.0)], "a double, b double")
+    with pytest.raises(Exception, match="negative"):
+        df.select(projection.abre(F.col("a"), F.col("b"))).collect()
+
+
+def test_scopes_are_checked(spark):
+    ddl = "scope_id long, label string, language string, created_at timestamp"
+    base.check_scopes(spark.createDataFrame([(1, "a/b", None, T2)], ddl), 1)
+    for bad in ([(1, " ", None, T2)], [(1, "a", None, T2), (1, "b", None, T2)], [(None, "a", None, T2)], []):
+        with pytest.raises(ValueError):
+            base.check_scopes(spark.createDataFrame(bad, ddl), 1)
+    with pytest.raises(TypeError, match="created_at timestamp"):
+        base.check_scopes(spark.createDataFrame([(1, "a", "b", "c")], "scope_id long, label string, language string, created_at string"))
+
+
+def test_sums_before_go_over_ranges(spark):
+    df = spark.range(500).selectExpr("id % 3 as k", "cast(id * 7919 % 1009 as double) as x", "id % 5 as v")
+    got = sum_before(df, ["k"], "x", "v").collect()
+    rows = sorted((r.k, r.x, r.v) for r in got)
+    want, at = {}, {}
+    for k, x, v in rows:
+        want[k, x] = at.get(k, 0)
+        at[k] = at.get(k, 0) + v
+    assert len(got) == 500 and {(r.k, r.x): r.below for r in got} == want
+
+
+def test_anchors_must_be_dates_of_the_series():
+    dates = quarter_ends(DEFAULT.start, DEFAULT.end)
+    three = tuple(dates[3:6])
+    assert anchors_of(DEFAULT, dates) == tuple(dates[-3:]) and anchors_of(DEFAULT.but(anchors=three), dates) == three
+    with pytest.raises(ValueError, match="1901-01-01"):
+        anchors_of(DEFAULT.but(anchors=(date(1901, 1, 1), *three[1:])), dates)
