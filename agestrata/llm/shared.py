@@ -1,15 +1,13 @@
-"""What the operators of this package share: reading tables, picking columns, cutting lineage."""
+"""What the operators of this package share: reading tables, picking columns, cutting lineage (as the library does)."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agestrata.functions.lineage import discard as discard
+from agestrata.functions.lineage import written as written
+
 #: A word of the contracts: a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,37 +29,6 @@ def by_place(docs: DataFrame, run) -> DataFrame:
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set and all runs on this machine, a temporary one."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="agestrata-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return f"file://{own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there and lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/agestrata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._agestrata_path = path
-    return out
-
-
-def discard(*written_: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for df in written_:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._agestrata_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def let(value: Column, body) -> Column:
     """Binds value once and hands it to body; without it a lambda would evaluate value again for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
