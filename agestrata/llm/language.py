@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agestrata.llm.shared import by_place, only, table, unit
+from agestrata.llm.shared import by_place, only, table, unit, written
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -24,6 +24,8 @@ EPOCHS = 12
 #: its whole text.
 DOCS_OF_EACH = 400
 WINDOWS_OF_EACH = 3
+#: The most languages whose counts are broadcast.
+SMALL = 10_000
 NONE = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -123,8 +125,9 @@ def learn(docs: DataFrame, docs_of_each: int = DOCS_OF_EACH) -> Model | None:
     the whole text of each; only these windows cross the driver."""
     known = only(docs, "doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.withColumn("u", unit(F.lit("language"), "doc_id"))
-    counts = known.groupBy("lang").count()
-    likely = known.join(counts, "lang").filter(F.col("u") * F.col("count") <= 3 * docs_of_each)
+    counts = written(known.groupBy("lang").count(), "languages")
+    # a row for each language; texts are not shuffled to meet it unless there are very many
+    likely = known.join(F.broadcast(counts) if counts.count() <= SMALL else counts, "lang").filter(F.col("u") * F.col("count") <= 3 * docs_of_each)
     first = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
     sample = likely.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= docs_of_each)
     spare = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1  # places where a window may start

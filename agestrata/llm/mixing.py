@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agestrata.llm.shared import WORD, only, table, unit, written
+from agestrata.llm.shared import WORD, discard, only, table, unit, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -68,66 +68,96 @@ def expected_copies(goal: DataFrame, words: DataFrame, most: int = MOST) -> Data
     return cls.select("source_key", "digits", "source_size", "target", "words", "expected")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target, copies (and p, the inclusion probability beyond whole copies) for every row of docs.
+def _measured(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """docs with what the draw needs of a row: m_size (words), m_source, m_digits, m_id and m_u, its random number."""
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.when(F.col(source).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(source)))
+    out = docs.withColumns({"m_id": F.col(doc_id), "m_source": key, "m_size": size})
+    return out.withColumns({"m_digits": _digits(F.col("m_size")), "m_u": unit(F.lit(seed), "m_id", "m_size")})
 
-    size counts words (null text: 0); a null source is a source of its own, last in order. Ties of rank fall to doc_id,
-    then size; equal rows are drawn one by one. Within a source the words taken reach the target but for less than the
-    gap that no single further document fits better. Null ids take part like others; empty texts have no words and are
-    not taken; empty tables give no rows; other columns are ignored.
-    """
-    slim = only(docs, "doc_id", "text", "source").select(
-        "doc_id",
-        "source",
-        F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")).alias("source_key"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    slim = written(slim.withColumn("digits", _digits(F.col("size"))), "mix")
-    words = slim.groupBy("source_key", "source", "digits").agg(F.sum("size").alias("words"))
+
+def _ranked(measured: DataFrame, goal: DataFrame, join) -> DataFrame:
+    """measured with the goal of its class, m_rank (random odds over inclusion odds, null for certain rows) and m_bin."""
+    drawn = measured.join(join(goal), ["m_source", "m_digits"])
+    odds = F.when(F.col("p") > 0, (F.col("m_u") / (1 - F.col("m_u"))) / (F.col("p") / (1 - F.col("p"))))
+    drawn = drawn.withColumn("m_rank", odds)
+    return drawn.withColumn("m_bin", F.floor(F.col("m_rank") / (1 + F.col("m_rank")) * BINS).cast("int"))
+
+
+def _taken(ranked: DataFrame, picks: DataFrame, join) -> DataFrame:
+    """ranked with copies: the whole ones, and one more up to the place where its source's words run out or at the place
+    of the source's closing document."""
+    place = _place()
+    more = F.coalesce((F.col("m_bin") < F.col("cut")) | ((F.col("m_bin") == F.col("cut")) & (place <= F.col("upto"))) | (place == F.col("last")), F.lit(False))
+    return ranked.join(join(picks), "m_source", "left").withColumn("copies", F.col("whole") + more.cast("int"))
+
+
+def _place() -> Column:
+    """A row's place in the order of its source: rank, then doc_id (null first), then size."""
+    return F.struct(F.col("m_rank").alias("rank"), F.coalesce("m_id", F.lit(-(1 << 63))).alias("id"), F.col("m_size").alias("size"))
+
+
+def _draw(measured: DataFrame, weights, share: float, most: int):
+    """Tables of the draw and how to join them. goal: m_source, m_digits, source_size, target, whole, p, left, a row for
+    each length class of a source; picks: m_source, cut, upto, last, a row for each source. No table has a row for each
+    document, so that texts are never shuffled to meet their copies."""
+    words = measured.groupBy("m_source", "source", "m_digits").agg(F.sum("m_size").alias("words"))
+    words = written(words.toDF("source_key", "source", "digits", "words"), "mix-words")
     sizes = words.groupBy("source_key", "source").agg(F.sum("words").alias("source_size"))
     goal = expected_copies(targets(sizes, weights, share, most), words, most)
     goal = goal.withColumn("whole", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.floor("expected"))
     left = F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source_key"))
-    goal = written(goal.withColumn("left", left).drop("words", "expected"), "mix-goal")
-    small = F.broadcast if goal.count() <= SMALL else (lambda df: df)
-    u = unit(F.lit(seed), "doc_id", "size")
-    odds = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    drawn = slim.drop("source").join(small(goal), ["source_key", "digits"]).withColumn("rank", odds)
-    drawn = drawn.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
-    bins = drawn.filter("p > 0").groupBy("source_key", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-    upto = Window.partitionBy("source_key").orderBy("bin")  # BINS rows at most
+    goal = goal.withColumn("left", left).drop("words", "expected").withColumnsRenamed({"source_key": "m_source", "digits": "m_digits"})
+    goal = written(goal, "mix-goal")
+    join = F.broadcast if goal.count() <= SMALL else (lambda df: df)
+    ranked = written(_ranked(measured, goal, join).select("m_source", "m_id", "m_size", "m_rank", "m_bin", "p", "left"), "mix-ranked")
+    bins = ranked.filter("p > 0").groupBy("m_source", "m_bin").agg(F.sum("m_size").alias("words"), F.first("left").alias("left"))
+    upto = Window.partitionBy("m_source").orderBy("m_bin")  # BINS rows at most
     bins = bins.withColumn("through", F.sum("words").over(upto))
-    cut = F.coalesce(F.min(F.when(F.col("through") > F.col("left"), F.col("bin"))), F.lit(BINS + 1)).alias("cut")
+    cut = F.coalesce(F.min(F.when(F.col("through") > F.col("left"), F.col("m_bin"))), F.lit(BINS + 1)).alias("cut")
     used = F.coalesce(F.sum(F.when(F.col("through") <= F.col("left"), F.col("words"))), F.lit(0)).alias("used")
-    cuts = bins.groupBy("source_key").agg(cut, used)
-    drawn = written(drawn.join(small(cuts), "source_key", "left"), "mix-drawn")
-    # only the bin in which a source's words run out is put in order
-    order = Window.partitionBy("source_key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = drawn.filter("bin = cut").withColumn("through", F.col("used") + F.sum("size").over(order))
-    edge = edge.withColumn("taken", F.col("through") <= F.col("left"))
-    rest = drawn.filter("bin is null or bin <> cut").withColumn("through", F.lit(None).cast("long")).withColumn("taken", F.coalesce(F.col("bin") < F.col("cut"), F.lit(False)))
-    both = written(rest.unionByName(edge), "mix-taken")
+    cuts = written(bins.groupBy("m_source").agg(cut, used), "mix-cuts")
+    # only the bin in which a source's words run out is put in order; rows alike in all three go together
+    near = ranked.filter("p > 0").join(join(cuts), "m_source").filter("m_bin >= cut")
+    order = Window.partitionBy("m_source").orderBy("place")
+    edge = near.filter("m_bin = cut").withColumn("place", _place()).withColumn("through", F.col("used") + F.sum("m_size").over(order))
+    inside = edge.filter(F.col("through") <= F.col("left")).groupBy("m_source").agg(F.max("place").alias("upto"), F.max("through").alias("reached"))
+    ends = cuts.join(inside, "m_source", "left").withColumn("reached", F.coalesce("reached", "used"))
+    ends = written(ends, "mix-ends")
     # the gap that is left is closed by the one document that fits it best, if any brings the sum nearer
-    gaps = both.groupBy("source_key").agg((F.first("left") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("gap"))
-    spare = both.filter("not taken and p > 0 and size > 0").join(small(gaps), "source_key").filter("abs(gap - size) < gap")
-    last = spare.groupBy("source_key").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "doc_id", "size")).alias("last"))
-    same = F.col("rank").eqNullSafe(F.col("last.rank")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("size") == F.col("last.size"))
-    closing = F.col("last").isNotNull() & ~F.col("taken") & same
-    done = both.join(small(last), "source_key", "left")
-    return done.select(
-        "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce(F.col("taken") | closing, F.lit(False)).cast("int")).alias("copies"), "p"
-    )
+    spare = near.select("m_source", "m_bin", "left", _place().alias("place"), "m_size").join(join(ends), "m_source").filter("m_bin > cut or upto is null or place > upto")
+    spare = spare.filter("m_size > 0").groupBy("m_source", "place").agg(F.sum("m_size").alias("more"), F.first(F.col("left") - F.col("reached")).alias("gap"))
+    spare = spare.filter("abs(gap - more) < gap")
+    last = spare.groupBy("m_source").agg(F.min_by("place", F.struct(F.abs(F.col("gap") - F.col("more")), "place")).alias("last"))
+    picks = written(ends.join(last, "m_source", "left").select("m_source", "cut", "upto", "last"), "mix-picks")
+    discard(ranked, cuts, ends)
+    return goal, picks, join
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42) -> DataFrame:
+    """doc_id, size, source_size, target, copies (and p, the inclusion probability beyond whole copies) for every row of docs.
+
+    size counts words (null text: 0); a null source is a source of its own, last in order. Ties of rank fall to doc_id
+    (null first), then size; rows alike in all three share their fate. Within a source the words taken reach the target
+    but for less than the gap that no single further document fits better. Null ids take part like others; empty texts
+    have no words; empty tables give no rows; other columns are ignored.
+    """
+    slim = _measured(only(docs, "doc_id", "text", "source"), "doc_id", "text", "source", seed)
+    slim = written(slim.select("source", F.col("m_id").cast("long").alias("m_id"), "m_source", "m_size", "m_digits", "m_u"), "mix")
+    goal, picks, join = _draw(slim, weights, share, most)
+    return _taken(_ranked(slim, goal, join), picks, join).select(F.col("m_id").alias("doc_id"), F.col("m_size").alias("size"), "source_size", "target", "copies", "p")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42) -> DataFrame:
     """The mix itself: rows of docs with all their columns, each as often as it is taken. Rows that share doc_id and size
-    share their fate; null ids, texts and sources take part as in mix; an empty table gives no rows."""
-    picks = mix(docs, **how).groupBy("doc_id", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    at, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    in a source share their fate; null ids, texts and sources take part as in mix; an empty table gives no rows."""
+    doc_id, text, source = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text", "source"))
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    keyed = plain.withColumn("words", F.coalesce(F.regexp_count(f"_{text}", F.lit(WORD)), F.lit(0)).cast("long"))
-    out = keyed.join(picks, F.col(f"_{at}").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
-    return out.withColumn("time", F.explode(F.sequence(F.lit(1), "copies"))).select(*plain.columns).toDF(*docs.columns)
+    measured = _measured(plain, doc_id, text, source, seed).withColumn("m_id", F.col("m_id").cast("long"))
+    slim = written(measured.select(F.col(source).alias("source"), "m_id", "m_source", "m_size", "m_digits", "m_u"), "mix")
+    goal, picks, join = _draw(slim, weights, share, most)
+    out = _taken(_ranked(measured, goal, join), picks, join)
+    return out.filter("copies > 0").withColumn("time", F.explode(F.sequence(F.lit(1), "copies"))).select(*plain.columns).toDF(*docs.columns)
 
 
 def op8_pareto_mix(spark, sf_dir):

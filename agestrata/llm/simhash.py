@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agestrata.llm.components import components
-from agestrata.llm.shared import only, table, written
+from agestrata.llm.shared import discard, only, table, written
 
 SEED = 42
 SHINGLE = 3
 BITS = 3
 #: Of the stage: words of a shingle, bands, MinHash values of a band.
 STAGE_SHINGLE, BANDS, BAND = 5, 24, 5
+#: The most hashes of texts (8 bytes each) that are broadcast.
+SMALL = 400_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -126,11 +128,14 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(_hashes(x.as_py(), words)).view("<i8") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=("th", "grams"))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "simhash-ends")
+    few = F.broadcast(ends) if ends.count() <= SMALL else ends  # few texts are found without a shuffle of all
     cut = only(docs, "text").select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    sets = written(cut.join(ends, "th", "left_semi").mapInArrow(run, "th long, grams array<long>").groupBy("th").agg(F.first("grams").alias("grams")), "simhash-sets")
+    sets = written(cut.join(few, "th", "left_semi").mapInArrow(run, "th long, grams array<long>").groupBy("th").agg(F.first("grams").alias("grams")), "simhash-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    alike = written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "simhash-alike")
+    discard(sets, ends)
+    return alike
 
 
 def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE) -> DataFrame:
@@ -142,11 +147,12 @@ def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE
     """
     keyed = written(_banded(docs, words), "simhash-bands")
     shared = keyed.groupBy("key").agg(F.min(F.struct("th", "n")).alias("least"), F.max("th").alias("last")).filter("least.th < last")
-    keyed = written(keyed.join(shared.select("key", "least"), "key"), "simhash-shared")
+    banded, keyed = keyed, written(keyed.join(shared.select("key", "least"), "key"), "simhash-shared")
+    discard(banded)
     near = lambda n, m: 5 * F.least(n, m) >= 4 * F.greatest(n, m)
     pairs = keyed.filter((F.col("th") > F.col("least.th")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.th").alias("a"), F.col("th").alias("b")).distinct()
     pairs = written(pairs, "simhash-pairs")
-    first = written(_similar(docs, pairs, words), "simhash-similar")
+    first = _similar(docs, pairs, words)
     of = lambda c: rooted.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}"))
     joins = first.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b")
     above = components(joins).toDF("root", "top")
@@ -154,6 +160,7 @@ def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE
     apart = keyed.select("key", "th", "n").join(topped, "th")
     several = apart.groupBy("key").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x < y").select("key")
     apart = written(apart.join(several, "key", "left_semi"), "simhash-apart")
+    discard(keyed)
     left, right = apart.toDF("a", "key", "n", "top_a"), apart.toDF("b", "key", "m", "top_b")
     rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "simhash-rest")
