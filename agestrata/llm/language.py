@@ -202,7 +202,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def accepted(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows of docs whose language is told with at least this score, with all their columns; texts without a letter
-    go. Where nothing could be learned there is nothing to judge by, and every text with a letter stays."""
+    (null and empty ones too) go. Where nothing could be learned there is nothing to judge by, and every text with a letter
+    stays. Rows of equal text stay or go together, very long texts are read whole, an empty table stays empty."""
     model, at = learn(docs), docs.columns.index("text")
 
     def run(batches):

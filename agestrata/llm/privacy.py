@@ -354,7 +354,8 @@ def find(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
 
 def cleaned(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """docs with all spans redacted in text, and n_chars (if there is one) counted anew where that changed it. Null texts
-    stay null; equal rows stay equal; an empty table stays empty."""
+    stay null, empty ones empty; very long texts are read whole; equal rows stay equal; an empty table stays empty; other
+    columns, also those whose names clash, stay as they are."""
     trees = trees or train()
     text, n = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
