@@ -47,7 +47,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage keeps is written and read back before the next."""
+    """All stages in order; what a stage keeps is written and read back before the next.
+
+    Null, empty and letterless texts go at the first stage; of rows that repeat doc_id and text one stays; null ids, langs
+    and sources take part like others; an empty table gives no rows; extra columns reach the last stage.
+    """
     docs = shared.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
