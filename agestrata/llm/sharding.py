@@ -3,7 +3,8 @@
 The ring has CELLS equal cells; a key falls into the cell of its hash, and the cell belongs to the first
 virtual node clockwise. A shard that has reached its bound is passed over and its keys continue clockwise.
 Keys of one cell are alike to the ring, so the walk is planned on counts by cell (at most CELLS numbers,
-whatever the input), and each row finds its shard from its rank within its cell. No step gathers a shard.
+whatever the input), and each row finds its shard from its rank within its cell. Ranks are counted in parts of a cell,
+equal rows together, and the parts' counts are summed; no step gathers a shard, a key or a cell.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from agestrata.llm.shared import only, table, written
 CELLS = 4096
 VNODES = 64
 SHARDS = 40
+#: Parts that a cell's rows are ranked in, and the most equal rows that are ranked as one.
+PARTS, BLOCK = 64, 10_000
+ORDER = ("at", "doc_id", "text_crc32", "size", "block")
 
 
 def ring(spark, shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -66,13 +70,10 @@ def walk(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int])
     return plan
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for every row of docs; counts of shards differ by one at most.
-
-    A null text has no bytes and the checksum of none; a null doc_id is a key like any other; equal rows are dealt one
-    by one, each with its own slot; an empty table gives no rows; other columns of docs are ignored.
-    """
-    spark = docs.sparkSession
+def _blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, at, cell, part, block, m: rows alike in all that counts are one row with their number m,
+    BLOCK at most; what is above goes to further blocks. A cell's blocks are dealt to PARTS parts by a hash, so that
+    neither one key nor one row that is repeated very often is ever ranked in one task."""
     bytes_ = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     slim = only(docs, "doc_id", "text").select(
         "doc_id",
@@ -80,8 +81,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
         F.crc32(bytes_).alias("text_crc32"),
         F.xxhash64(F.lit("key"), "doc_id").alias("at"),
     )
-    slim = written(slim.withColumn("cell", F.shiftrightunsigned("at", 52).cast("int")), "ring")
-    counts = {r.cell: r["count"] for r in slim.groupBy("cell").count().collect()}  # CELLS rows at most
+    kinds = slim.groupBy(*slim.columns).agg(F.count("*").alias("n"))
+    dealt = kinds.withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {BLOCK} as int)"))))
+    return dealt.select(
+        *slim.columns, "block",
+        F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK).cast("long").alias("m"),
+        F.shiftrightunsigned("at", 52).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(F.lit("part"), *slim.columns, "block"), F.lit(PARTS)).cast("int").alias("part"),
+    )
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for every row of docs; counts of shards differ by one at most.
+
+    A null text has no bytes and the checksum of none; a null doc_id is a key like any other; equal rows are dealt one
+    by one, each with its own slot; an empty table gives no rows; other columns of docs are ignored.
+    """
+    spark = docs.sparkSession
+    dealt = written(_blocks(docs), "ring")
+    counts = {r.cell: r.n for r in dealt.groupBy("cell").agg(F.sum("m").alias("n")).collect()}  # CELLS rows at most
     rows = sum(counts.values())
     room = [rows // shards + (s < rows % shards) for s in range(shards)]
     plan = json.dumps(walk(counts, ring(spark, shards, vnodes), room))
@@ -90,12 +108,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES) -> DataFr
         .select(F.explode(F.from_json(F.lit(plan), "array<array<bigint>>")).alias("p"))
         .select(*[F.col("p")[i].alias(n) for i, n in enumerate(("cell_", "first", "last", "shard", "base"))])
     )
-    order = Window.partitionBy("cell").orderBy("at", "doc_id", "text_crc32", "size")
-    ranked = slim.withColumn("rank", F.row_number().over(order))
+    parts = dealt.groupBy("cell", "part").agg(F.sum("m").alias("n"))
+    parts = parts.select("cell", "part", (F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("cell", "part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumn("through", F.sum("m").over(order)).join(parts, ["cell", "part"])
+    ranked = ranked.withColumn("end", F.col("before") + F.col("through")).withColumn("begin", F.col("end") - F.col("m") + 1)
     # spans has a row for each cell and each shard that fills up: under CELLS + shards rows
-    return ranked.join(
-        F.broadcast(spans), (F.col("cell") == F.col("cell_")) & F.col("rank").between(F.col("first"), F.col("last"))
-    ).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))
+    met = (F.col("cell") == F.col("cell_")) & (F.col("begin") <= F.col("last")) & (F.col("end") >= F.col("first"))
+    own = F.sequence(F.greatest("begin", "first"), F.least("end", "last"))
+    placed = ranked.join(F.broadcast(spans), met).withColumn("rank", F.explode(own))
+    return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))
 
 
 def op9_ring_shards(spark, sf_dir):

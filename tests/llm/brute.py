@@ -144,3 +144,16 @@ def pareto(docs, target, u, most=2, divided=True):
     spare = [(abs(left - n), r, d) for r, d, n in order if d not in taken and n and abs(left - n) < left]
     taken |= {min(spare)[2]} if spare else set()
     return {d: c + (d in taken) for d, c in copies.items()}, p
+
+
+def ring_walk(keys, nodes, room):
+    """keys: (key, cell) in order; nodes: (cell, shard) clockwise. For each key its shard and slot: the first virtual node
+    from its cell on whose shard has room."""
+    taken, out = [0] * len(room), {}
+    for key, cell in keys:
+        i = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        while taken[nodes[i][1]] == room[nodes[i][1]]:
+            i = (i + 1) % len(nodes)
+        out[key] = (nodes[i][1], taken[nodes[i][1]])
+        taken[nodes[i][1]] += 1
+    return out

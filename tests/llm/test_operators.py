@@ -387,6 +387,24 @@ def test_shards_are_even_and_gapless(spark, sf_dir, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_follow_a_plain_walk_of_the_ring(spark):
+    df = spark.range(2000).selectExpr("id as doc_id", "repeat('x', cast(id % 90 as int)) as text")
+    keys = sharding._blocks(df).orderBy("cell", "part", *sharding.ORDER).collect()
+    want = brute.ring_walk([(r.doc_id, r.cell) for r in keys], sharding.ring(spark, 12), [167] * 8 + [166] * 4)
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(df, 12).collect()} == want
+
+
+def test_one_key_and_one_row_that_hold_most_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 7)
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 5 when id % 3 = 1 then id end as doc_id", "case when id % 3 = 1 then cast(id as string) else cast(id % 2 as string) end as text")
+    blocks = sharding._blocks(df).collect()
+    assert max(r.m for r in blocks) == 7 and len({r.part for r in blocks if r.doc_id == 5}) > 30
+    got = sharding.shard(df, 40).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [75] * 40
+    assert len({(r.shard, r.slot) for r in got}) == 3000 and max(r.slot for r in got) == 74
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((r.doc_id, zlib.crc32(r.text.encode())) for r in df.collect())
+
+
 def test_few_rows_move_when_a_shard_is_added(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'t' as text")
     a, b = ({r.doc_id: r.shard for r in sharding.shard(df, n).collect()} for n in (20, 21))
