@@ -1,5 +1,7 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
+from agestrata.llm.codes import SQL as CODES_SQL
+from agestrata.llm.codes import op11_partial_distance_codes
 from agestrata.llm.language import op10_byte_cnn_language
 from agestrata.llm.licenses import SQL as LICENSE_SQL
 from agestrata.llm.licenses import op4_sentence_rule_licenses
@@ -11,6 +13,8 @@ from agestrata.llm.quality import RULES, STOP_WORDS, op3_quality_rules
 from agestrata.llm.sharding import op9_ring_shards
 from agestrata.llm.simhash import op5_pigeonring_simhash
 from agestrata.llm.suffixes import op6_lyndon_suffix_dedup
+from agestrata.llm.tokens import op12_token_counts
+from agestrata.llm.whitening import op13_residue_whitening
 
 QUERIES = {
     "op1_phrase_fingerprints": op1_phrase_fingerprints,
@@ -23,6 +27,9 @@ QUERIES = {
     "op8_pareto_mix": op8_pareto_mix,
     "op9_ring_shards": op9_ring_shards,
     "op10_byte_cnn_language": op10_byte_cnn_language,
+    "op11_partial_distance_codes": op11_partial_distance_codes,
+    "op12_token_counts": op12_token_counts,
+    "op13_residue_whitening": op13_residue_whitening,
 }
 
 RULE_SQL = [
@@ -52,4 +59,4 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from b
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op4_sentence_rule_licenses": LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op4_sentence_rule_licenses": LICENSE_SQL, "op11_partial_distance_codes": CODES_SQL}
