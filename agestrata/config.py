@@ -46,6 +46,8 @@ class Settings:
     stickiness_scope: str = "project"
     pyramid_population: str = "active"
     pyramid_window_months: int = 12
+    #: The number of scopes that a source must have; none: any.
+    expected_scopes: int | None = None
     #: First base, second base and target (also of the types); without them the last three dates of the series.
     anchors: tuple[date, date, date] | None = None
 

@@ -96,8 +96,18 @@ def data(read: Callable[[str], DataFrame], name: str | None, scopes: list[int],
     return {n: FIGURES[n](read, scopes, day, year) for n in names}
 
 
+#: Figures of one point for each scope, of which some can be marked.
+POINTS = ("type-scatter", "magnet-sticky")
+
+
+def highlighted(points: DataFrame, scopes: list[int]) -> DataFrame:
+    """points with highlighted: whether the point is of one of the scopes."""
+    return points.withColumn("highlighted", F.col("scope_id").isin(*scopes))
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown (a report: the limit is its length)."""
-    rows = df.limit(limit).collect()
+    """A table as Markdown; rows beyond the limit, which bounds what a report holds, are counted."""
+    rows = df.limit(limit + 1).collect()
     text = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(text(v) for v in r) + " |" for r in rows]])
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *["| " + " | ".join(text(v) for v in r) + " |" for r in rows[:limit]]]
+    return "\n".join(lines + ([f"\n{df.count() - limit} more rows are left out."] if len(rows) > limit else []))

@@ -1,23 +1,40 @@
-"""Stage tables in a folder, with a manifest of what was written from what.
+"""Stage tables in a folder, with a manifest of what was written from what, by scope.
 
-Tables are plain Parquet, read back with the schema of their stage; state lies in a folder for each snapshot, so that a cut
-by date reads only its own files. The manifest is a table of JSON rows: the last row of a stage tells its key.
+A table lies in folders by unit, a number of scopes that are told by a hash, so that some scopes are replaced without
+touching the units of others however many scopes there are; state also lies in folders by snapshot, so that a cut by date
+reads its own files. Spans and state are bucketed by scope and contributor: what is computed for a contributor from one of
+them, and written as the other, needs no exchange. Events are dealt out by all their columns instead, as one contributor
+may have a large part of all: spans collapse them to days before they meet. A row's file and its place there depend on
+its values and on the number of buckets alone, never on the cluster.
+
+A write goes to a folder aside, which takes the place of the old ones by renaming. The manifest has a row of JSON for each
+table, which says `begun` before the renaming and `done` after it, and rows for the scopes of each (`ok`, or `failed`
+with a reason). A table that isn't `done`, or whose number of files isn't the one noted, is not whole and is made again.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from agestrata.functions.lineage import discard, written
 from agestrata.schemas import ORDERS, SCHEMAS, conform
 
-#: Stages whose table lies in folders by a column.
-FOLDERS = {"state": "snapshot"}
-_MANIFEST = "stage string, key string, rows long, scopes long, at timestamp"
+#: Tables in folders, by which columns; the others are one folder.
+FOLDERS = {"events": ("unit",), "scopes": ("unit",), "spans": ("unit",), "state": ("unit", "snapshot"), "metrics": ("unit",)}
+#: Tables in buckets, by which columns.
+BUCKETED = {name: ("scope_id", "contributor_id") for name in ("spans", "state")}
+#: The times that a table's figures reach from and to.
+TIMES = {"events": ("timestamp", "timestamp"), "spans": ("span_start", "span_end"), "state": ("snapshot", "snapshot"), "metrics": ("snapshot", "snapshot")}
+_MANIFEST = "stage string, status string, key string, version string, rows long, scopes long, first timestamp, last timestamp, digest string, files long, at timestamp"
+_SCOPES = "scope_id long, status string, key string, version string, of string, rows long, contributors long, first timestamp, last timestamp, digest string, reason string, at timestamp"
+_WIDE = "decimal(38,0)"
 
 
 class JsonLines(logging.Formatter):
@@ -31,9 +48,31 @@ class JsonLines(logging.Formatter):
 log = logging.getLogger("agestrata")
 
 
+class Failed(Exception):
+    """Some scopes of a stage couldn't be made."""
+
+
+def breaches(table: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """scope_id, reason: scopes with rows that break a rule, and how many break each."""
+    per = table.groupBy("scope_id").agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    said = [F.when(F.col(n) > 0, F.concat(F.lit(f"{n}: "), F.col(n).cast("string"))) for n in rules]
+    return per.select("scope_id", F.concat_ws(", ", *said).alias("reason")).filter("reason <> ''")
+
+
+def digest_of(columns: list[str]) -> Column:
+    """A number that tells a set of rows, whatever their order; equal rows count each."""
+    return F.coalesce(F.sum(F.xxhash64(*columns).cast(_WIDE)), F.lit(0).cast(_WIDE)).cast("string")
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, units: int = 4, buckets: int = 8):
+        """units: folders that scopes are dealt to, a scoped run rewrites those of its scopes; buckets: files of a folder,
+        choose them so that one holds what a task can. A store that exists keeps the numbers it was made with."""
         self.spark, self.root = spark, root.rstrip("/")
+        self.units, self.buckets = units, buckets
+        if self.has("_layout.json"):
+            kept = json.loads(self.text("_layout.json"))
+            self.units, self.buckets = kept["units"], kept["buckets"]
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,36 +85,188 @@ class Store:
         path, files = self._files(name)
         return files.exists(path)
 
-    def write(self, name: str, df: DataFrame, key: str = "") -> DataFrame:
-        """Replaces a stage's table, notes it in the manifest and returns the table as it is read back."""
-        table = conform(df, name)
-        writer = table.write.mode("overwrite")
-        if name in FOLDERS:
-            writer = table.repartition(FOLDERS[name], F.pmod(F.xxhash64("scope_id"), F.lit(16))).write.mode("overwrite").partitionBy(FOLDERS[name])
-        writer.parquet(self.path(name))
-        out = self.read(name)
-        scopes = F.countDistinct("scope_id") if "scope_id" in out.columns else F.lit(0).cast("long")
-        row = out.agg(F.count("*").alias("rows"), scopes.alias("scopes")).select(F.lit(name).alias("stage"), F.lit(key).alias("key"), "rows", "scopes", F.current_timestamp().alias("at"))
-        row.coalesce(1).write.mode("append").json(self.path("_manifest"))
-        log.info("written", extra={"stage": name})
-        return out
+    def _move(self, old: str, new: str) -> None:
+        """Puts a folder in another's place."""
+        (source, files), (target, _) = self._files(old), self._files(new)
+        files.delete(target, True)
+        files.mkdirs(target.getParent())
+        if not files.rename(source, target):
+            raise OSError(f"{self.path(old)} can't be moved to {self.path(new)}")
+
+    def _count(self, name: str) -> int:
+        path, files = self._files(name)
+        return files.getContentSummary(path).getFileCount() if files.exists(path) else 0
+
+    def _table(self, name: str, at: str) -> str:
+        """The name in the session's catalog of a bucketed table that lies in a folder."""
+        return f"agestrata_{uuid.uuid5(uuid.NAMESPACE_URL, self.path(at)).hex}_{name}"
+
+    # ---- writing ----
+
+    def _aside(self, name: str, table: DataFrame, seen: Observation, rules: dict[str, Column]) -> str:
+        """Writes a table to a new folder, in its folders, buckets and order; seen gets its rows, its digest and how many
+        rows break each rule on the way. They are taken in the tasks that write: one that is run again counts once."""
+        at = f"_aside/{name}-{uuid.uuid4().hex}"
+        order = [c for c in ORDERS[name] if c not in FOLDERS.get(name, ())]
+        figures = (F.count("*").alias("rows"), digest_of(SCHEMAS[name].names).alias("digest"), *[F.count_if(c).alias(f"rule_{n}") for n, c in rules.items()])
+        if name in BUCKETED:
+            by = BUCKETED[name]
+            # tables that come from buckets already are dealt out like this, and Spark leaves the exchange out
+            dealt = table.withColumn("unit", self._unit()).repartition(self.buckets, *by).observe(seen, *figures)
+            writer = dealt.write.mode("overwrite").partitionBy(*FOLDERS[name]).bucketBy(self.buckets, *by).sortBy(*order)
+            writer.format("parquet").option("path", self.path(at)).saveAsTable(self._table(name, at))
+            self.spark.sql(f"drop table {self._table(name, at)}")
+        elif name in FOLDERS:
+            by = (self.buckets, *table.columns) if name == "events" else (self.units, "unit")
+            dealt = table.withColumn("unit", self._unit()).repartition(*by).observe(seen, *figures)
+            dealt.sortWithinPartitions("unit", *order).write.partitionBy(*FOLDERS[name]).parquet(self.path(at))
+        else:
+            table.observe(seen, *figures).write.parquet(self.path(at))
+        return at
+
+    def _unit(self) -> Column:
+        return F.pmod(F.xxhash64("scope_id"), F.lit(self.units)).cast("int")
+
+    def _note(self, name: str, **entry) -> None:
+        """The manifest's row of a table."""
+        self.put(f"_manifest/{name}.json", json.dumps({"stage": name, "at": datetime.now(UTC).isoformat(timespec="microseconds")} | entry))
+
+    def write(
+        self, name: str, df: DataFrame, key: str = "", scopes: DataFrame | None = None, of: DataFrame | None = None, rules: dict[str, Column] | None = None, fail_fast: bool = False
+    ) -> DataFrame:
+        """Writes a stage's table, notes it in the manifest and returns the table as it is read back.
+
+        scopes (scope_id): df has the rows of these scopes only, and those of the others stay as they are; None: df is
+        the whole table. of (scope_id, of): the scopes it is made of with the digest of their input, all of which get an
+        entry, those without a row too. rules: scopes with rows that break one are listed as failed and have no rows, the
+        others are written; with fail_fast nothing is written then. Rows and rules are counted while the table is written,
+        and the scopes that break one are looked for only if there are any.
+        """
+        if not self.has("_layout.json"):
+            self.put("_layout.json", json.dumps({"units": self.units, "buckets": self.buckets}))
+        table, version = conform(df, name), uuid.uuid4().hex
+        touched = None
+        if scopes is not None:
+            touched = sorted(r.unit for r in scopes.select(self._unit().alias("unit")).distinct().collect())
+            kept = self._read(name).filter(F.col("unit").isin(*touched)).join(scopes.select("scope_id"), "scope_id", "left_anti")
+            table = table.unionByName(kept.select(*table.columns))
+        seen, failed, rules = Observation(), None, rules or {}
+        aside = self._aside(name, table, seen, rules)
+        if any(seen.get[f"rule_{n}"] for n in rules):
+            first_try = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(aside))
+            failed, seen = written(breaches(first_try, rules), "breaches"), Observation()
+            if not fail_fast:
+                again = self._aside(name, first_try.join(failed, "scope_id", "left_anti"), seen, {})
+            self._files(aside)[1].delete(self._files(aside)[0], True)
+            if fail_fast:
+                raise Failed(f"{name}: " + "; ".join(f"scope {r.scope_id}, {r.reason}" for r in failed.orderBy("scope_id").limit(20).collect()))
+            aside = again
+        self._note(name, status="begun", version=version)
+        if touched is None:
+            self._move(aside, name)
+        else:
+            for unit in touched:
+                if self.has(f"{aside}/unit={unit}"):
+                    self._move(f"{aside}/unit={unit}", f"{name}/unit={unit}")
+                else:
+                    path, files = self._files(f"{name}/unit={unit}")
+                    files.delete(path, True)
+            path, files = self._files(aside)
+            files.delete(path, True)
+        out = self._read(name)
+        per = written(self._figures(name, out), "figures")
+        anew = F.lit(True) if touched is None else self._unit().isin(*touched)
+        total = lambda c, which=F.lit(True): F.coalesce(F.sum(F.when(which, F.col(c).cast(_WIDE))), F.lit(0).cast(_WIDE))
+        got = per.agg(
+            total("rows", anew).alias("new_rows"), total("digest", anew).cast("string").alias("new_digest"), total("rows").alias("rows"), total("digest").cast("string").alias("digest"),
+            F.count("scope_id").alias("scopes"), F.min("first").cast("string").alias("first"), F.max("last").cast("string").alias("last"),
+        ).first()
+        if (int(got.new_rows), got.new_digest) != (seen.get["rows"], seen.get["digest"]):
+            raise OSError(f"{name} reads back as {got}, not {seen.get}")
+        if of is not None:
+            entries = of.select("scope_id", "of").join(per, "scope_id", "left").withColumns({"rows": F.coalesce("rows", F.lit(0)), "status": F.lit("ok"), "reason": F.lit(None).cast("string")})
+            if failed is not None:
+                entries = entries.drop("reason").join(failed, "scope_id", "left").withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
+            entries = entries.withColumns({"key": F.lit(key), "version": F.lit(version), "at": F.current_timestamp()})
+            entries.select(*[c.split()[0] for c in _SCOPES.split(", ")]).coalesce(1).write.mode("append").json(self.path(f"_scopes/{name}"))
+        self._note(name, status="done", key=key, version=version, rows=int(got.rows), scopes=got.scopes, first=got["first"], last=got["last"], digest=got.digest, files=self._count(name))
+        discard(per)
+        log.info("written", extra={"stage": name, "rows": seen.get["rows"]})
+        return self.read(name)
+
+    def _figures(self, name: str, table: DataFrame) -> DataFrame:
+        """scope_id, rows, contributors, first, last, digest: a row for each scope of a table, or one of a global table
+        without scopes."""
+        first, last = (F.col(c) for c in TIMES[name]) if name in TIMES else (F.lit(None).cast("timestamp"),) * 2
+        # counted by contributor first, distinct people are a sum; a bucketed table has them in one place
+        keys = ["scope_id"] if "scope_id" in table.columns else []
+        people = "contributor_id" in table.columns
+        own = table.groupBy(*keys, *(["contributor_id"] if people else [])).agg(
+            F.count("*").alias("rows"), F.min(first).alias("first"), F.max(last).alias("last"), digest_of(SCHEMAS[name].names).cast(_WIDE).alias("digest")
+        )
+        return own.groupBy(*keys).agg(
+            F.sum("rows").alias("rows"), (F.count("*") if people else F.lit(None).cast("long")).alias("contributors"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("digest").cast("string").alias("digest")
+        )
+
+    # ---- reading ----
+
+    def _read(self, name: str) -> DataFrame:
+        """The table as it lies there, with its unit."""
+        if name not in FOLDERS:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+        if name not in BUCKETED:
+            return self.spark.read.schema(StructType([*SCHEMAS[name], StructField("unit", IntegerType())])).parquet(self.path(name))
+        own, by = self._table(name, name), ", ".join(BUCKETED[name])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name]) + ", unit int"
+        order = ", ".join(c for c in ORDERS[name] if c not in FOLDERS[name])
+        self.spark.sql(f"drop table if exists {own}")
+        self.spark.sql(f"create table {own} ({columns}) using parquet partitioned by ({', '.join(FOLDERS[name])}) clustered by ({by}) sorted by ({order}) into {self.buckets} buckets location '{self.path(name)}'")
+        self.spark.sql(f"alter table {own} recover partitions")
+        return self.spark.table(own)
+
+    def whole(self, name: str) -> bool:
+        """Whether the table's last write has ended and all its files are there."""
+        if not self.has(f"_manifest/{name}.json"):
+            return False
+        last = json.loads(self.text(f"_manifest/{name}.json"))
+        return last["status"] == "done" and self.has(name) and self._count(name) == last["files"]
 
     def read(self, name: str) -> DataFrame:
         if not self.has(name):
             raise ValueError(f"there is no table {name} in {self.root}; run its stage first")
-        reader = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
-        return reader.select(*SCHEMAS[name].names)
+        if not self.whole(name):
+            raise ValueError(f"the table {name} in {self.root} isn't whole; run its stage again")
+        return self._read(name).select(*SCHEMAS[name].names)
+
+    # ---- the manifest ----
 
     def manifest(self) -> DataFrame:
-        """The last entry of each stage."""
+        """A row for each table that is done: stage, status, key, version, rows, scopes, first, last, digest, files, at."""
         if not self.has("_manifest"):
             return self.spark.createDataFrame([], _MANIFEST)
-        rows = self.spark.read.schema(_MANIFEST).json(self.path("_manifest"))
-        return rows.groupBy("stage").agg(F.max_by(F.struct("key", "rows", "scopes", "at"), "at").alias("last")).select("stage", "last.*")
+        return self.spark.read.schema(_MANIFEST).json(self.path("_manifest")).filter("status = 'done'")
+
+    def scope_entries(self, name: str) -> DataFrame:
+        """The last entry of each scope of a table: scope_id, status, key, version, of, rows, contributors, first, last,
+        digest, reason, at."""
+        if not self.has(f"_scopes/{name}"):
+            return self.spark.createDataFrame([], _SCOPES)
+        rows = self.spark.read.schema(_SCOPES).json(self.path(f"_scopes/{name}"))
+        rest = [c for c in rows.columns if c != "scope_id"]
+        return rows.groupBy("scope_id").agg(F.max_by(F.struct(*rest), "at").alias("last_")).select("scope_id", "last_.*")
 
     def keys(self) -> dict[str, str]:
         return {r.stage: r.key for r in self.manifest().collect()}
 
+    def text(self, name: str) -> str:
+        """A small text file."""
+        path, files = self._files(name)
+        stream = files.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def put(self, name: str, text: str) -> str:
         """A small text file: a report."""
         path, files = self._files(name)

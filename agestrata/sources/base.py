@@ -64,19 +64,23 @@ def clean(raw: DataFrame) -> DataFrame:
     ).filter("contributor_id is not null and timestamp is not null")
 
 
-def violations(events: DataFrame, now: Column | None = None) -> DataFrame:
-    """rule, rows: how many rows break each rule of the contract, in one pass. Raises if columns or types are not the contract's."""
-    want = [(f.name, f.dataType.simpleString()) for f in SCHEMAS["events"]]
-    if events.dtypes != want:
-        raise TypeError(f"events must have {want}, not {events.dtypes}")
-    rules = {
+def rules(now: Column | None = None) -> dict[str, Column]:
+    """What no event may be, by name of the rule."""
+    return {
         "null_contributor": F.col("contributor_id").isNull(),
         "null_timestamp": F.col("timestamp").isNull(),
         "unknown_type": ~F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False)),
         "future_timestamp": F.coalesce(F.col("timestamp") > (F.current_timestamp() if now is None else now), F.lit(False)),
     }
-    one = events.agg(*[F.count_if(c).alias(name) for name, c in rules.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in rules])).alias("v")).select("v.rule", "v.rows")
+
+
+def violations(events: DataFrame, now: Column | None = None) -> DataFrame:
+    """rule, rows: how many rows break each rule of the contract, in one pass. Raises if columns or types are not the contract's."""
+    want = [(f.name, f.dataType.simpleString()) for f in SCHEMAS["events"]]
+    if events.dtypes != want:
+        raise TypeError(f"events must have {want}, not {events.dtypes}")
+    one = events.agg(*[F.count_if(c).alias(name) for name, c in rules(now).items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in rules()])).alias("v")).select("v.rule", "v.rows")
 
 
 def check_scopes(scopes: DataFrame, expected: int | None = None) -> None:

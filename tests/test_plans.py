@@ -119,6 +119,11 @@ def test_log_lines_are_json():
     assert json.loads(JsonLines().format(r)).items() >= {"level": "INFO", "message": "written x", "stage": "metrics"}.items()
 
 
+def test_long_tables_say_what_they_leave_out(spark):
+    df = spark.range(12).orderBy("id")
+    assert figures.markdown(df, 12).count("\n") == 13 and figures.markdown(df, 10).endswith("| 9 |\n\n2 more rows are left out.")
+
+
 def test_commands(spark, sf_dir, tmp_path, capsys):
     base = ["--store", f"file://{tmp_path}/s", "--path", sf_dir, "--start", "1997-03-31", "--end", "1998-03-31"]
     assert commands.main([*base, "run-all"], spark) == 0 and commands.main([*base, "run-all"], spark) == 0
@@ -128,9 +133,175 @@ def test_commands(spark, sf_dir, tmp_path, capsys):
     some = Store(spark, base[1]).read("events").first().scope_id
     assert commands.main([*base, "plot", "--figure", "pyramid-single", "--scope", str(some)], spark) == 0
     assert "pyramid-single" in capsys.readouterr().out
+    assert commands.main([*base, "plot", "--list"], spark) == 0 and "magnet-sticky" in (said := capsys.readouterr().out) and "pyramid-single (of chosen scopes)" in said
+    assert commands.main([*base, "plot", "--figure", "type-scatter", "--highlight", str(some), "--label", "lit"], spark) == 0
+    points = spark.read.option("header", True).csv(capsys.readouterr().out.split(" ", 1)[1].strip())
+    assert {r.scope_id for r in points.filter("highlighted = 'true'").collect()} == {str(some)}
+    with pytest.raises(ValueError, match="no points of scopes"):
+        commands.main([*base, "plot", "--figure", "abre-table", "--highlight", str(some)], spark)
+    assert commands.main([*base, "run-all", "--run", "--label", "mine"], spark) == 0 and "-mine/summary" in capsys.readouterr().out
+    assert commands.main([*base, "extract", "--scope", str(some), "--force", "--fail-fast"], spark) == 0 and "ran: extract" in capsys.readouterr().out
     there = Store(spark, base[1]).read("metrics").filter("snapshot = timestamp '1998-03-31'").first().scope_id
     (tmp_path / "expected.json").write_text(f'{{"key": "types.{there}", "text": "Z"}}\n{{"key": "types.count.Q", "number": 1.0, "gate": false}}\n')
     (tmp_path / "declared.json").write_text(f'{{"key": "types.{there}", "ref": "told"}}\n')
     check = [*base, "validate", "--expected", f"file://{tmp_path}/expected.json", "--declared", f"file://{tmp_path}/declared.json"]
     assert commands.main(check, spark) == 1  # nothing has the second key
+    assert commands.main([*check, "--verbose", "--run", "--label", "v"], spark) == 1 and "types.count.Q" in (said := capsys.readouterr().out) and "-v/validation.md" in said
     assert "n/a" in (tmp_path / "s/validation.md").read_text() and "known" in (tmp_path / "s/validation.md").read_text()
+
+
+# ---- runs by scope ----
+
+
+class Some(StarSource):
+    """A source whose events can be spoilt or grow, as a real one does between runs."""
+
+    more = None
+
+    def events(self):
+        own = super().events()
+        return own if self.more is None else own.unionByName(self.more)
+
+
+def content(store, name):
+    return sorted(map(tuple, store.read(name).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def spans_of(spark, sf_dir, tmp_path_factory):
+    """Makes a store with the stages that go by scope."""
+
+    def make(source, **how):
+        store = Store(spark, f"file://{tmp_path_factory.mktemp('units')}/s", **how)
+        for stage in ("extract", "classify"):
+            stages.run(store, source, SHORT, only=stage)
+        return store
+
+    return make
+
+
+def test_a_scoped_run_leaves_the_rows_of_others(spark, sf_dir, spans_of):
+    source = Some(SHORT, spark=spark, path=sf_dir)
+    store = spans_of(source)
+    before = {n: content(store, n) for n in ("events", "scopes", "spans")}
+    assert stages.run(store, source, SHORT, only="extract", scopes=[3], force=True) == ["extract"]
+    assert {n: content(store, n) for n in before} == before
+    # nothing to do where content is the same; one more event of scope 3 makes that scope's spans again, and no other's
+    assert stages.run(store, source, SHORT, only="classify") == []
+    versions = {r.scope_id: r.version for r in store.scope_entries("spans").collect()}
+    Some.more = spark.createDataFrame([(3, 999, "commits", datetime(1998, 1, 1))], before_schema := store.read("events").schema)
+    try:
+        assert stages.run(store, source, SHORT, only="extract", scopes=[3], force=True) == ["extract"]
+        assert stages.run(store, source, SHORT, only="classify") == ["classify"]
+    finally:
+        Some.more = None
+    after = {r.scope_id: r.version for r in store.scope_entries("spans").collect()}
+    assert [s for s in after if after[s] != versions[s]] == [3] and before_schema == store.read("events").schema
+    assert set(content(store, "spans")) - set(before["spans"]) == {(3, 999, datetime(1998, 1, 1), datetime(1998, 1, 1), 0, datetime(1998, 1, 1), None)}
+    assert stages.run(store, source, SHORT, only="extract", force=True) == ["extract"] and content(store, "events") == before["events"]
+
+
+def test_stages_of_the_whole_dataset_refuse_scopes(spark, sf_dir, filled):
+    source = StarSource(SHORT, spark=spark, path=sf_dir)
+    for stage in stages.GLOBAL:
+        with pytest.raises(ValueError, match="whole dataset"):
+            stages.run(filled, source, SHORT, only=stage, scopes=[3])
+
+
+def test_a_failing_scope_is_listed_and_the_others_written(spark, sf_dir, spans_of, tmp_path):
+    source = Some(SHORT, spark=spark, path=sf_dir)
+    good = spans_of(source)
+    Some.more = spark.createDataFrame([(3, 5, "dances", datetime(1998, 1, 1)), (3, 5, "commits", datetime(2999, 1, 1)), (4, 5, "commits", datetime(2999, 1, 1))], good.read("events").schema)
+    store = Store(spark, f"file://{tmp_path}/s")
+    try:
+        with pytest.raises(stages.Failed, match="scope 3, unknown_type: 1, future_timestamp: 1; scope 4, future_timestamp: 1"):
+            stages.run(store, source, SHORT, only="extract", fail_fast=True)
+        assert not store.has("events")
+        with pytest.raises(stages.Failed, match="2 scopes failed"):
+            stages.run(store, source, SHORT)
+    finally:
+        Some.more = None
+    assert {r.scope_id for r in stages.failures(store).collect()} == {3, 4} and not store.has("spans")
+    assert content(store, "events") == [r for r in content(good, "events") if r[0] not in (3, 4)]
+    # mended, only those two are made again
+    assert stages.run(store, source, SHORT, only="extract") == ["extract"] and stages.failures(store).isEmpty()
+    versions = {r.scope_id: r.version for r in store.scope_entries("events").collect()}
+    assert content(store, "events") == content(good, "events") and versions[3] == versions[4] and sum(v == versions[3] for v in versions.values()) == 2
+
+
+def test_a_broken_table_is_made_again(spark, sf_dir, spans_of):
+    source = Some(SHORT, spark=spark, path=sf_dir)
+    store = spans_of(source)
+    want = content(store, "spans")
+    path, files = store._files("spans")
+    part = next(f for f in store.spark.read.parquet(store.path("spans")).inputFiles())
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(part), False)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"), False)
+    with pytest.raises(ValueError, match="isn't whole"):
+        store.read("spans")
+    assert stages.run(store, source, SHORT, only="classify") == ["classify"] and content(store, "spans") == want
+    # killed between the renaming and the note: the manifest says begun
+    store._note("spans", status="begun", version="x")
+    assert stages.run(store, source, SHORT, only="classify", scopes=[3]) == ["classify"] and content(store, "spans") == want
+    # killed before the renaming: what lies aside is nothing to a reader
+    store._aside("spans", store.read("spans").limit(1), __import__("pyspark.sql").sql.Observation(), {})
+    assert content(store, "spans") == want
+
+
+def test_contributors_stay_in_their_buckets(spark, sf_dir, spans_of):
+    """From stored spans to state nothing is exchanged, events are days before they are exchanged, and a bucketed table
+    has a file for each bucket and folder."""
+    from agestrata.operators import spans, state
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    store = spans_of(Some(SHORT, spark=spark, path=sf_dir), units=2, buckets=5)
+    own = store.read("spans")
+    at = state.state_at(own, None, SHORT)
+    for df in (at, at.repartition(5, "scope_id", "contributor_id")):
+        assert "Bucketed: true" in plan(df) and "Exchange" not in plan(df)
+    made = plan(spans.activity_spans(store.read("events"), SHORT))
+    assert made.rindex("Exchange") < made.rindex("partial_min(timestamp")
+    assert len(own.inputFiles()) <= 2 * 5
+
+
+def test_stored_content_is_the_same_whatever_the_partitions(spark, sf_dir, spans_of):
+    source = Some(SHORT, spark=spark, path=sf_dir)
+    stores, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            stores.append(spans_of(source))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    a, b = ({r.stage: (r.rows, r.digest, r.files) for r in s.manifest().collect()} for s in stores)
+    assert a == b and len(a) == 3
+
+    def files(store):
+        """The rows of each file in the order they lie in, by folder and bucket."""
+        at = F.input_file_name()
+        rows = store.spark.read.parquet(store.path("events")).select(F.regexp_extract(at, r"unit=\d+", 0).alias("u"), F.regexp_extract(at, r"part-(\d+)-", 1).alias("b"), F.monotonically_increasing_id().alias("i"), "*")
+        out = {}
+        for r in rows.orderBy("u", "b", "i").collect():
+            out.setdefault((r.u, r.b), []).append((r.scope_id, r.contributor_id, r.timestamp, r.event_type))
+        return out
+
+    one, two = map(files, stores)
+    assert one == two and all(rows == sorted(rows) for rows in one.values())
+
+
+def test_manifest_figures_are_those_of_the_summary(filled):
+    from agestrata.operators import spans
+
+    want = {tuple(r) for r in spans.scope_summary(filled.read("events")).collect()}
+    got = filled.scope_entries("events").filter("rows > 0").select("scope_id", "rows", "contributors", "first", "last")
+    assert {tuple(r) for r in got.collect()} == want
+    row = {r.stage: r for r in filled.manifest().collect()}["events"]
+    assert (row.rows, row.scopes, row["first"], row["last"]) == (sum(r[1] for r in want), len(want), min(r[3] for r in want), max(r[4] for r in want))
+
+
+def test_the_number_of_scopes_is_guarded(spark, sf_dir, tmp_path):
+    few = SHORT.but(expected_scopes=24)
+    with pytest.raises(ValueError, match="25 scopes, 24 expected"):
+        stages.run(Store(spark, f"file://{tmp_path}/s"), StarSource(few, spark=spark, path=sf_dir), few)
