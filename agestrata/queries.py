@@ -14,7 +14,7 @@ from agestrata.operators import attract, balance, checks, figures, identity, pro
 from agestrata.sources import base
 from agestrata.plans import stages
 from agestrata.plans.store import Store
-from agestrata.sources.relational import RelationalSource, commits_by_scope
+from agestrata.sources.relational import RelationalSource, commits_by_scope, jdbc
 from agestrata.sources.star import StarSource
 from agestrata.streaming.spans import click_events, session_spans
 
@@ -186,6 +186,35 @@ def _relational(spark, d, taxonomy: str, mode: str, merge: str = "none") -> Rela
     return RelationalSource(DEFAULT.but(taxonomy=taxonomy), table=_hosting(spark, d), commit_scope=mode, identity_merge=merge)
 
 
+#: A database inside Spark's own JVM, whose driver comes with Spark.
+_DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+#: The columns by whose ranges the larger tables of the database are read.
+JDBC_KEYS = {"commits": "id", "pull_requests": "id", "pull_request_history": "pull_request_id", "issues": "id", "issue_events": "issue_id"}
+
+
+def _in_database(spark, d, taxonomy: str):
+    """A reader of the hosting tables in a database of their own, loaded with all rows of those that a taxonomy needs. On
+    a cluster, where other machines can't see a database inside the driver's JVM, the tables themselves are read."""
+    table = _hosting(spark, d)
+    if not spark.sparkContext.master.startswith("local["):
+        return table
+    url = f"jdbc:derby:memory:agestrata{uuid.uuid4().hex}"
+    parents = {"commit_comments": "commits", "issue_comments": "issues", "issue_events": "issues", "pull_request_comments": "pull_requests", "pull_requests": "pull_request_history"}
+    needed = {"projects", "users", *TAXONOMIES[taxonomy].active}
+    needed |= {parents[t] for t in needed if t in parents} | {"pull_request_history"}
+    for k, name in enumerate(sorted(needed)):
+        df = table(name)
+        options = {"driver": _DERBY, "batchsize": "5000"}
+        if "action" in df.columns:  # it is compared, which this database can't do with the large objects it has for texts
+            options["createTableColumnTypes"] = "action varchar(20)"
+        df.repartition(4).write.jdbc(f"{url};create=true" if not k else url, name, "append", options)
+    return jdbc(spark, url, JDBC_KEYS, 4, driver=_DERBY)
+
+
+def _jdbc_events(spark, d, taxonomy: str = "prose"):
+    return RelationalSource(DEFAULT.but(taxonomy=taxonomy), table=_in_database(spark, d, taxonomy)).events()
+
+
 _NAME = "regexp_replace(trim(lower(name)), '\\s+', ' ', 'g')"
 MERGED_SQL = f"""people as (select distinct scope_id, contributor_id as id from rel),
 keys0 as (select id, 'e:' || trim(lower(email)) as key from users where trim(lower(email)) like '_%@%' union all select id, 'n:' || {_NAME} from users where {_NAME} like '% %' and {_NAME} <> 'system administrator'),
@@ -331,6 +360,7 @@ for _m, _q in _FAMILY.items():
 add("relational_scopes", lambda s, d: _relational(s, d, "union", "root").scopes(), f"with {_hosting_sql()} select scope_id, label, language, created_at from rscopes")
 for _n, _t, _m in (("relational_events", "union", "root"), ("relational_events_family", "prose", "family_project_commits")):
     add(_n, lambda s, d, t=_t, m=_m: _relational(s, d, t, m).events(), f"with {_hosting_sql()}, {_relational_sql(_t, _m)} select * from rel")
+add("jdbc_events", _jdbc_events, f"with {_hosting_sql()}, {_relational_sql('prose', 'root')} select * from rel")
 add("merged_events", lambda s, d: _relational(s, d, "prose", "root", "email_name").events(),
     f"with recursive {_hosting_sql()}, {_relational_sql('prose', 'root')}, {MERGED_SQL} select rel.scope_id, coalesce(canonical, contributor_id) as contributor_id, event_type, timestamp from rel left join least on least.scope_id = rel.scope_id and least.id = rel.contributor_id")
 add("relational_projects", lambda s, d: _relational(s, d, "prose", "root").projects([2, 3, 5]), f"with {_hosting_sql()} select p.id, login as owner, name, language, created_at, forked_from from projects p join logins u on u.id = owner_id where p.id in (2, 3, 5)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,36 @@ from agestrata.sources.base import Source, clean
 COMMIT_SCOPES = ("root", "family_project_commits", "family_project_id")
 
 
-def jdbc(spark: SparkSession, url: str, keys: dict[str, tuple[str, int, int]], partitions: int = 32, **options) -> Callable[[str], DataFrame]:
-    """A reader of tables; those named in keys (column, lowest, highest value) are read in so many ranges at once."""
+class Unreachable(Exception):
+    """A table of a database can't be read."""
+
+
+def jdbc(spark: SparkSession, url: str, keys: dict[str, str], partitions: int = 32, **options) -> Callable[[str], DataFrame]:
+    """A reader of a database's tables. keys: a numeric or time column by table; such a table is read in so many ranges of
+    it at once, between the ends that the database itself gives. Filters and columns go to the database, by Spark. What
+    the database refuses is an error that names the table and the place, without user or password."""
+    place = re.sub(r"//[^/@]*@", "//", url).split(";")[0].split("?")[0]
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+
+    def load(name: str, **more) -> DataFrame:
+        try:
+            return spark.read.format("jdbc").options(url=url, **(options | more)).load()
+        except Exception as e:
+            raise Unreachable(f"{name} at {place} can't be read: {str(e).strip().splitlines()[0]}") from e
 
     def read(name: str) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
-        if name in keys:
-            column, low, high = keys[name]
-            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=partitions)
-        return reader.load()
+        if name not in keys:
+            return load(name, dbtable=name)
+        column = quoted(keys[name])
+        try:
+            low, high = load(name, query=f"select min({column}) as low, max({column}) as high from {name}").first()
+        except Unreachable:
+            raise
+        except Exception as e:
+            raise Unreachable(f"{name} at {place} can't be read: {str(e).strip().splitlines()[0]}") from e
+        if low is None:
+            return load(name, dbtable=name)
+        return load(name, dbtable=name, partitionColumn=keys[name], lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
 
     return read
 
