@@ -47,6 +47,32 @@ def activity_spans(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     return conform(spans, "spans")
 
 
+def with_late(spans: DataFrame, late: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The spans of the contributors to whom late events belong, made anew from their spans and those events: what
+    activity_spans gives of all their events, which needn't be read again. Other contributors' spans are as they were and
+    not among the rows; late events that were there already change nothing.
+
+    Late events are spans by themselves first, so that what meets a contributor's old spans is a row for each stretch.
+    Spans that touch or overlap, or lie within the limit of each other, are one.
+    """
+    new = activity_spans(late, settings)
+    columns = [*KEY, "span_start", "span_end", "init_c", "init_d"]
+    old = spans.join(new.select(*KEY).distinct(), list(KEY), "left_semi")
+    every = old.select(*columns).unionByName(new.select(*columns))
+    mine = Window.partitionBy(*KEY)
+    in_time = mine.orderBy("span_start", "span_end")
+    reach = F.max(F.unix_micros("span_end")).over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    marked = every.withColumn("_new", F.coalesce((F.unix_micros("span_start") - reach > settings.gap_us).cast("int"), F.lit(0)))
+    marked = marked.select(
+        *KEY, "span_start", "span_end", F.sum("_new").over(in_time.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("span_idx"),
+        F.min("init_c").over(mine).alias("init_c"), F.min("init_d").over(mine).alias("init_d"),
+    )
+    made = marked.groupBy(*KEY, "span_idx").agg(
+        F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.first("init_c").alias("init_c"), F.first("init_d").alias("init_d")
+    )
+    return conform(made, "spans")
+
+
 def span_summary(spans: DataFrame) -> DataFrame:
     """Per scope: contributors, those who ever coded, spans, and spans that are not their contributor's first."""
     people = spans.groupBy(*KEY).agg(F.count("*").alias("n"), F.first("init_c").isNotNull().alias("coded"))

@@ -15,6 +15,7 @@ from agestrata.functions.lineage import discard, written
 from agestrata.functions.temporal import anchors_of, midnight, quarter_ends
 from agestrata.operators import attract, balance, projection, spans, state
 from agestrata.plans.store import Failed, Store, log
+from agestrata.schemas import SCHEMAS
 from agestrata.sources.base import Source, check_scopes, rules, violations
 
 #: Stages in order, the tables of each and the stages it reads.
@@ -150,6 +151,35 @@ def run(
     return ran
 
 
+def add_late(store: Store, late: DataFrame, settings: Settings = DEFAULT) -> list[int]:
+    """Takes late events into the stored events and spans, and returns their scopes. Only units of these scopes are
+    written, and only spans of contributors with late events are made anew; what later stages then find changed, they
+    make again by scope. Events that are stored already are left out, so a batch that is taken in again changes nothing.
+    """
+    columns = SCHEMAS["events"].names
+    events, spans_ = store.read("events"), store.read("spans")
+    keyed = late.select(*columns).distinct()
+    known = events.join(keyed.select("scope_id").distinct(), "scope_id", "left_semi")
+    fresh = written(keyed.join(known, columns, "left_anti"), "late")
+    entries = {name: store.scope_entries(name).filter("status = 'ok'") for name in ("events", "spans")}
+    if not (unknown := fresh.join(entries["events"], "scope_id", "left_anti")).isEmpty():
+        raise ValueError(f"the store has no scope {unknown.first().scope_id}")
+    touched = sorted(r.scope_id for r in fresh.select("scope_id").distinct().collect())
+    if touched:
+        keys = store.keys()
+        scopes = fresh.select("scope_id").distinct()
+        made = spans.with_late(spans_, fresh, settings)
+        rest = spans_.join(scopes, "scope_id", "left_semi").join(fresh.select(*spans.KEY).distinct(), list(spans.KEY), "left_anti")
+        made = written(rest.unionByName(made), "late-spans")
+        of = entries["events"].join(scopes, "scope_id", "left_semi").select("scope_id", "of")
+        store.write("events", events.join(scopes, "scope_id", "left_semi").unionByName(fresh), keys["events"], scopes, of, rules())
+        of = store.scope_entries("events").join(scopes, "scope_id", "left_semi").select("scope_id", F.col("digest").alias("of"))
+        store.write("spans", made, keys["spans"], scopes, of)
+        discard(made)
+    discard(fresh)
+    return touched
+
+
 def failures(store: Store, stage: str = "extract") -> DataFrame:
     """scope_id, reason: the scopes that failed when a stage was last run for them."""
     return store.scope_entries(STAGES[stage][0][0]).filter("status = 'failed'").select("scope_id", "reason")

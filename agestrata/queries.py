@@ -234,6 +234,15 @@ def _stored(spark, d, name: str):
     return store.read(name)
 
 
+def _late_spans(spark, d):
+    """Spans of two thirds of all events, into which the last third is taken."""
+    events = _events(spark, d)
+    late = F.pmod(F.xxhash64(*events.columns), F.lit(3)) == 0
+    early = written(spans.activity_spans(events.filter(~late)), "early-spans")
+    made = written(spans.with_late(early, events.filter(late)), "late-spans")
+    return made.unionByName(early.join(made.select(*spans.KEY).distinct(), list(spans.KEY), "left_anti"))
+
+
 # ---- SQL blocks ----
 
 
@@ -367,6 +376,7 @@ add("relational_projects", lambda s, d: _relational(s, d, "prose", "root").proje
 add("firsts", lambda s, d: spans.firsts(_events(s, d)), f"with {ev_sql()}, {SPANS_SQL} select * from fi")
 for _sc in ("nation", "region", "supplier"):
     add("activity_spans" + ("" if _sc == "nation" else f"_{_sc}"), lambda s, d, sc=_sc: spans.activity_spans(_events(s, d, scope=sc)), f"with {ev_sql(scope=_sc)}, {SPANS_SQL} select scope_id, contributor_id, span_start, span_end, span_idx, init_c, init_d from spans")
+add("late_spans", _late_spans, f"with {ev_sql()}, {SPANS_SQL} select scope_id, contributor_id, span_start, span_end, span_idx, init_c, init_d from spans")
 add("span_summary", lambda s, d: spans.span_summary(spans.activity_spans(_events(s, d))), f"with {ev_sql()}, {SPANS_SQL} select scope_id, count(distinct contributor_id) as contributors, count(distinct case when init_c is not null then contributor_id end) as ever_coded, count(*) as spans, count(*) filter (span_idx > 0) as later_spans from spans group by 1")
 add("snapshot_dates", lambda s, d: snapshot_dates(s, DEFAULT.start, DEFAULT.end), "select cast(last_day(x) as timestamp) as snapshot from (select unnest(generate_series(date '1995-03-01', date '2001-09-01', interval 3 month)) as x)")
 add("state_at_snapshot", lambda s, d: _state(s, d), f"with {STATE} select * from state")

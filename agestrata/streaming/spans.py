@@ -1,4 +1,8 @@
-"""Activity spans of a stream: sessions by inactivity, final once the watermark has passed them."""
+"""Activity spans of a stream, by either policy for late events.
+
+Sessions by inactivity are final once the watermark has passed them, and what comes later is dropped; or each batch is
+taken into stored spans, however late its events are.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from agestrata.config import DEFAULT, Settings
+from agestrata.plans.stages import add_late
+from agestrata.plans.store import Store
+from agestrata.schemas import SCHEMAS
+
 
 def click_events(frame: DataFrame) -> DataFrame:
     """scope, contributor_id, timestamp from the events table; times without a zone become instants, as watermarks need."""
@@ -26,3 +35,10 @@ def start(spark: SparkSession, path: str, schema, out: str, checkpoint: str, gap
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
     spans = session_spans(click_events(stream), gap, lateness)
     return spans.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow(store: Store, path: str, checkpoint: str, settings: Settings = DEFAULT, files: int = 8) -> StreamingQuery:
+    """Takes files of canonical events that arrive in path into the stored events and spans. Nothing is too late; a batch
+    that is run again after a failure changes nothing."""
+    stream = store.spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", files).parquet(path)
+    return stream.writeStream.foreachBatch(lambda batch, _: add_late(store, batch, settings) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,7 +14,7 @@ from agestrata import queries as star
 ROOT = Path(__file__).resolve().parent.parent
 #: One query of each kind; the driver compares all.
 SOME = (
-    "events_canonical scope_summary contract_violations side_counts_union identity_email_name commit_scope_family_project_commits firsts activity_spans_region "
+    "events_canonical scope_summary contract_violations side_counts_union identity_email_name commit_scope_family_project_commits firsts activity_spans_region late_spans "
     "snapshot_dates state_at_snapshot state_accumulated_age pyramid_active12m balance_metrics_supplier type_table type_counts pyramid_transition balance_by_region "
     "retention_dataset attractiveness_annual quadrant_grid tie_high newcomer_variant_C projection_eligible_cumulative projection_errors abre_table wilcoxon_stat term_split check_cells band_l1 session_spans"
 ).split()

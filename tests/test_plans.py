@@ -2,9 +2,11 @@
 
 import json
 import logging
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from agestrata import __main__ as commands
@@ -305,3 +307,50 @@ def test_the_number_of_scopes_is_guarded(spark, sf_dir, tmp_path):
     few = SHORT.but(expected_scopes=24)
     with pytest.raises(ValueError, match="25 scopes, 24 expected"):
         stages.run(Store(spark, f"file://{tmp_path}/s"), StarSource(few, spark=spark, path=sf_dir), few)
+
+
+# ---- late events ----
+
+
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(0, 400), st.booleans(), st.booleans()), min_size=1, max_size=30))
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+def test_any_split_of_events_gives_the_spans_of_the_whole(spark, drawn):
+    from agestrata.operators import spans
+
+    rows = [(7, who, "commits" if coding else "issue_events", datetime(1998, 1, 1) + timedelta(days=day * 4.56)) for who, day, coding, _ in drawn]
+    schema = "scope_id long, contributor_id long, event_type string, timestamp timestamp"
+    early, late = (spark.createDataFrame([r for r, d in zip(rows, drawn, strict=True) if d[3] == of], schema) for of in (False, True))
+    old = spans.activity_spans(early, SHORT)
+    made = spans.with_late(old, late, SHORT)
+    people = {r.contributor_id for r in late.collect()}
+    want = {tuple(r) for r in spans.activity_spans(early.unionByName(late), SHORT).collect()}
+    assert {tuple(r) for r in made.collect()} == {r for r in want if r[1] in people}
+    assert {tuple(r) for r in spans.with_late(made, late, SHORT).collect()} == {tuple(r) for r in made.collect()}
+
+
+def test_late_files_end_in_the_store_of_the_whole(spark, sf_dir, spans_of, tmp_path):
+    from agestrata.streaming.spans import follow
+
+    source = Some(SHORT, spark=spark, path=sf_dir)
+    whole, events = spans_of(source), source.events()
+    some = sorted(r.scope_id for r in events.select("scope_id").distinct().collect())[2:5]
+    late = F.col("scope_id").isin(*some) & (F.pmod(F.xxhash64("contributor_id", "timestamp"), F.lit(3)) == 0)
+    early = Some(SHORT, spark=spark, path=sf_dir)
+    early.events = lambda: events.filter(~late)
+    store = spans_of(early)
+    stages.run(store, early, SHORT, only="snapshots")
+    versions = {r.scope_id: r.version for r in store.scope_entries("spans").collect()}
+    events.filter(late).repartition(3).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second time nothing is new
+        follow(store, str(tmp_path / "in"), str(tmp_path / "ck"), SHORT, 2).awaitTermination(300)
+    assert stages.add_late(store, events.filter(late), SHORT) == []
+    distinct = lambda s, name: set(content(s, name))
+    assert distinct(store, "events") == distinct(whole, "events") and content(store, "spans") == content(whole, "spans")
+    after = {r.scope_id: r.version for r in store.scope_entries("spans").collect()}
+    assert {s for s in after if after[s] != versions[s]} == set(some)
+    # state is made again for these scopes alone
+    assert stages.run(store, early, SHORT, only="snapshots") == ["snapshots"]
+    stages.run(whole, source, SHORT, only="snapshots")
+    assert content(store, "state") == content(whole, "state")
+    with pytest.raises(ValueError, match="no scope 999"):
+        stages.add_late(store, events.limit(1).withColumn("scope_id", F.lit(999).cast("long")), SHORT)
