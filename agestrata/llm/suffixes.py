@@ -6,6 +6,9 @@ alike throughout (by a cryptographic digest) are one text with a count. The diff
 their suffixes sorted by linear grouping construction, so that windows that are equal become neighbours; a window repeats
 if its text counts twice or an equal neighbour stands beside it.
 
+Texts that stand more than once are looked at once, with a count; all their windows repeat. So a page that a million rows
+hold costs no more than one that two rows hold.
+
 An anchor whose texts have more than LIMIT bytes is split by longer anchors, again and again until its suffix array
 fits: a window holds, beside its anchor, half of its remaining bytes either left or right of it; with these the anchor
 is longer and says more, and equal windows still meet. In the end an anchor is a whole window, which has one text.
@@ -27,8 +30,11 @@ GRAM = 64
 CHUNK = 1 << 20
 #: The most bytes of one suffix array; anchors that have more are split by longer anchors.
 LIMIT = 200_000
-#: Bytes whose suffixes one task sorts, about; the number of tasks follows the input.
-TASK = 1_500_000
+#: Bytes whose suffixes one task sorts, about; the number of tasks follows the input up to a bound, then tasks grow.
+TASK, TASKS = 1_500_000, 10_000
+#: Texts that stand more than once are broadcast up to so many (32 bytes each); beyond, the join is shuffled, a text's rows
+#: dealt over SALTS keys.
+SMALL, SALTS = 400_000, 16
 _R = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
 _U = np.uint64
@@ -159,8 +165,8 @@ def _digests(parts) -> np.ndarray:
 
 def runs(raw: bytes, span: int = SPAN, gram: int = GRAM):
     """Arrays for each run of windows: hash of its anchor, digest of all its bytes (two numbers), first and last start,
-    and where in it the anchor begins."""
-    parts, view = [], memoryview(raw)
+    and where in it the anchor begins. They come in parts, as a text of one letter has a run for each window."""
+    view = memoryview(raw)
     for lo in range(0, max(0, len(raw) - span + 1), CHUNK):
         b = np.frombuffer(raw, np.uint8, min(CHUNK + span - 1, len(raw) - lo), lo)
         sums, inverse = _sums(b, _R), _power(_R, len(b))[1]
@@ -175,8 +181,7 @@ def runs(raw: bytes, span: int = SPAN, gram: int = GRAM):
         s = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         e = np.append(s[1:], len(anchor)) - 1
         same = _digests([view[x:y] for x, y in zip((s + lo).tolist(), (e + lo + span).tolist(), strict=True)])
-        parts.append((h[anchor[s]].view(np.int64), same[:, 0], same[:, 1], s + lo, e + lo, anchor[s] - s))
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+        yield h[anchor[s]].view(np.int64), same[:, 0], same[:, 1], s + lo, e + lo, anchor[s] - s
 
 
 def longer(raw: bytes, at: int, gram: int, span: int) -> list[tuple[int, bytes, int, bytes]]:
@@ -193,19 +198,50 @@ def longer(raw: bytes, at: int, gram: int, span: int) -> list[tuple[int, bytes,
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, raw, and what tells rows apart: id (null: the least), th (hash of the text). Rows alike in both are alike."""
+    """doc_id, raw, id (null: the least), and what tells a text: th (a hash) and tc (another, with the length)."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
     slim = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), raw.alias("raw"))
-    return slim.select("doc_id", "raw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("raw").alias("th"))
-
-
-RUN = "id long, th long, h long, c long, d long, s int, e int, at int"
+    other = F.crc32("raw") * F.lit(1 << 31) + F.octet_length("raw")
+    return slim.select("doc_id", "raw", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("raw").alias("th"), other.alias("tc"))
+
+
+class _Texts:
+    """The different texts of documents, each once: a row of the least id stands for all rows of a text."""
+
+    def __init__(self, docs: DataFrame):
+        self.rows = _keyed(docs)
+        per = self.rows.groupBy("th", "tc", "id").agg(F.count("*").alias("m"))
+        kinds = per.groupBy("th", "tc").agg(F.sum("m").alias("times"), F.min(F.struct("id", "m")).alias("first")).filter("times > 1")
+        self.several = written(kinds.select(F.col("th").alias("_th"), F.col("tc").alias("_tc"), "times", F.col("first.id").alias("first"), F.col("first.m").alias("m")), "several")
+        self.small = self.several.count() <= SMALL
+
+    def counted(self) -> DataFrame:
+        """All rows with times, first and m of their text; null where it stands once."""
+        same = (F.col("th") == F.col("_th")) & (F.col("tc") == F.col("_tc"))
+        if self.small:
+            return self.rows.join(F.broadcast(self.several), same, "left").drop("_th", "_tc")
+        dealt = self.rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        every = self.several.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return dealt.join(every, same & (F.col("_salt") == F.col("_at")), "left").drop("_th", "_tc", "_salt", "_at")
+
+    def once(self) -> DataFrame:
+        """id, th, raw, times: a row for each different text."""
+        columns = ("id", "th", "raw", F.coalesce("times", F.lit(1)).alias("times"))
+        one = self.counted().filter("times is null or (id = first and m = 1)").select(*columns)
+        if self.several.filter("m > 1").isEmpty():
+            return one
+        # rows that repeat id and text: one of them, whichever
+        return one.unionByName(self.counted().filter("id = first and m > 1").dropDuplicates(["id", "th"]).select(*columns))
+
+
+RUN = "id long, th long, times long, h long, c long, d long, s int, e int, at int"
 PART = "root long, root_c long, root_d long, base int, h long, c long, d long, n long, raw binary, at int, gram int"
 KIND = ("h", "c", "d")
 ROOT = ("root", "root_c", "root_d", "base")
 
 
-def _all_runs(docs: DataFrame, span: int) -> DataFrame:
+def _all_runs(texts: DataFrame, span: int) -> DataFrame:
+    """Rows of RUN of texts (id, th, raw, times)."""
     names = [c.split()[0] for c in RUN.split(", ")]
 
     def run(batches):
@@ -213,28 +249,29 @@ def _all_runs(docs: DataFrame, span: int) -> DataFrame:
 
         def batch(got):
             cols = [np.concatenate(x) for x in zip(*got, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols[:5]] + [pa.array(x, pa.int32()) for x in cols[5:]], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols[:6]] + [pa.array(x, pa.int32()) for x in cols[6:]], names=names)
 
         for b in batches:
             got, held = [], 0
             for k in range(b.num_rows):
-                own = runs(b.column(2)[k].as_py(), span)
-                if len(own[0]):
-                    got.append((np.full(len(own[0]), b.column(0)[k].as_py()), np.full(len(own[0]), b.column(1)[k].as_py()), *own))
-                    held += len(own[0])
-                if held > 100_000:
-                    yield batch(got)
-                    got, held = [], 0
+                of = [b.column(c)[k].as_py() for c in (0, 1, 3)]
+                for part in runs(b.column(2)[k].as_py(), span):
+                    n = len(part[0])
+                    got.append((*[np.full(n, x) for x in of], *part))
+                    held += n
+                    if held > 100_000:
+                        yield batch(got)
+                        got, held = [], 0
             if got:
                 yield batch(got)
 
-    return _keyed(docs).select("id", "th", "raw").mapInArrow(run, RUN)
+    return texts.select("id", "th", "raw", "times").mapInArrow(run, RUN)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+def _texts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
     """A row of PART for each of the wanted runs (id, th, h, c, d, n, s, e, at), being its own root, and large."""
     per = wanted.groupBy("id", "th").agg(F.collect_list(F.struct(*KIND, "n", "s", "e", "at", "large")).alias("of"))
-    both = _keyed(docs).select("id", "th", "raw").join(per, ["id", "th"]).dropDuplicates(["id", "th"])
+    both = texts.select("id", "th", "raw").join(per, ["id", "th"])
     cut = both.select("raw", F.explode("of").alias("x")).select(F.expr(f"substring(raw, x.s + 1, x.e - x.s + {span})").alias("raw"), "x.*")
     return cut.select(
         F.col("h").alias("root"), F.col("c").alias("root_c"), F.col("d").alias("root_d"), F.lit(0).alias("base"),
@@ -267,7 +304,7 @@ def _sorted_groups(texts: DataFrame, span: int, size: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=("h", "c", "d", "a", "b"))
 
-    tasks = max(1, -(-size // TASK))
+    tasks = min(TASKS, max(1, -(-size // TASK)))
     return texts.select(*KIND, "raw").repartition(tasks, "h").sortWithinPartitions(*KIND).mapInArrow(run, "h long, c long, d long, a long, b long")
 
 
@@ -293,9 +330,10 @@ def _longer(texts: DataFrame, span: int) -> DataFrame:
     return texts.select(*names).mapInArrow(run, PART)
 
 
-def _split(texts: DataFrame, span: int, limit: int) -> list[DataFrame]:
-    """Tables of root, root_c, root_d, a, b: stretches of windows that repeat, of texts whose anchors are too large."""
-    out = []
+def _split(texts: DataFrame, span: int, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of root, root_c, root_d, a, b: stretches of windows that repeat, of texts whose anchors are too large; and the
+    written tables behind them."""
+    out, made = [], []
     while True:
         parts = written(_longer(texts, span), "longer-parts")
         kinds = parts.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min(F.struct(*ROOT)).alias("one"), F.max(F.length("raw")).alias("bytes"), F.max("gram").alias("gram"))
@@ -311,40 +349,45 @@ def _split(texts: DataFrame, span: int, limit: int) -> list[DataFrame]:
             found = written(_sorted_groups(wanted.filter("not large"), span, size), "longer-sorted")
             single = kinds.filter("n = 1").select(*KIND, *[f"one.{x}" for x in ROOT])
             out.append(single.join(found, [*KIND]).select(*ROOT[:3], (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b")))
+            made.append(found)
+        made += [parts, kinds, groups, wanted]
         texts = wanted.filter("large")
         if groups.filter("large").isEmpty():
-            return out
+            return out, made
 
 
-def repeats(docs: DataFrame, span: int = SPAN, limit: int = LIMIT) -> DataFrame:
-    """id, th, spans: for documents with repeated windows, the stretches of window starts (lo, hi) that repeat.
+def repeats(once: DataFrame, span: int = SPAN, limit: int = LIMIT) -> DataFrame:
+    """id, th, spans: for texts (id, th, raw, times) with repeated windows, the stretches of window starts (lo, hi) that repeat.
 
     Tables that a join shares out by a key which many rows may have are written before: Spark then splits that key.
     """
-    every = written(_all_runs(docs, span), "runs")
+    every = written(_all_runs(once, span), "runs")
     differ = (F.min("c") < F.max("c")) | (F.min("d") < F.max("d"))
-    anchors = written(every.groupBy("h").agg(F.count("*").alias("n"), differ.alias("mixed")).filter("n > 1").select("h", "mixed"), "anchors")
+    anchors = written(every.groupBy("h").agg(F.sum("times").alias("n"), differ.alias("mixed")).filter("n > 1").select("h", "mixed"), "anchors")
     shared = written(every.join(anchors, "h"), "shared-runs")
     discard(every, anchors)
-    kinds = written(shared.filter("mixed").groupBy(*KIND).agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s", "e", "at")).alias("one")), "run-kinds")
+    kinds = written(shared.filter("mixed").groupBy(*KIND).agg(F.sum("times").alias("n"), F.min(F.struct("id", "th", "s", "e", "at")).alias("one")), "run-kinds")
     # an anchor all of whose texts count twice leaves nothing to decide
     groups = kinds.groupBy("h").agg(F.sum(F.col("one.e") - F.col("one.s") + span).alias("bytes"), F.min("n").alias("fewest")).filter("fewest = 1")
     groups = written(groups.select("h", "bytes", (F.col("bytes") > limit).alias("large")), "anchor-sizes")
     wanted = kinds.join(groups.select("h", "large"), "h").select(*KIND, "n", "large", "one.*")
-    texts = written(_texts(docs, wanted, span), "run-texts")
+    texts = written(_texts(once, wanted, span), "run-texts")
     several = shared.filter("mixed").join(kinds.filter("n > 1").select(*KIND), [*KIND], "left_semi")
     found = [shared.filter("not mixed").unionByName(several).select("id", "th", F.col("s").alias("lo"), F.col("e").alias("hi"))]
     single = kinds.filter("n = 1").select(*KIND, "one.id", "one.th", "one.s")
     parts = []
     if (size := groups.filter("not large").agg(F.sum("bytes").alias("n")).first().n) is not None:
         parts.append(written(_sorted_groups(texts.filter("not large"), span, size), "sorted-groups"))
+    made = [*parts]
     if not groups.filter("large").isEmpty():
-        parts += [x.toDF(*KIND, "a", "b") for x in _split(texts.filter("large"), span, limit)]
+        longer_, tables = _split(texts.filter("large"), span, limit)
+        parts += [x.toDF(*KIND, "a", "b") for x in longer_]
+        made += tables
     for x in parts:
         found.append(single.join(x, [*KIND]).select("id", "th", (F.col("s") + F.col("a")).cast("int").alias("lo"), (F.col("s") + F.col("b")).cast("int").alias("hi")))
     spans = reduce(DataFrame.unionByName, found).groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = written(spans, "repeated-spans")
-    discard(shared, kinds, groups, texts)
+    discard(shared, kinds, groups, texts, *made)
     return spans
 
 
@@ -386,7 +429,12 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"))
 
-    both = _keyed(docs).join(repeats(docs, span), ["id", "th"], "left").select("doc_id", "raw", "spans")
+    texts = _Texts(docs)
+    rows, spans = texts.counted(), repeats(texts.once(), span)
+    # a text that stands more than once has no window that doesn't
+    whole = F.when(F.octet_length("raw") >= span, F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("raw") - span).alias("hi"))))
+    several = rows.filter("times is not null").select("doc_id", "raw", whole.alias("spans"))
+    both = rows.filter("times is null").join(spans, ["id", "th"], "left").select("doc_id", "raw", "spans").unionByName(several)
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import textwrap
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +247,38 @@ def test_longer_anchors_deal_every_window_once(left, right, gram, data):
     assert sorted(dealt) == list(range(last - first + 1))
 
 
+def test_many_equal_rows_are_one_text(spark, monkeypatch):
+    """5,000 rows of one text, with equal, null and own ids, take as long as two; no row of spans grows with them."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    page, other, short = word(3000), word(3000), "too short"
+    near = other[:1000] + page[500:1200] + other[1700:]
+    few = spark.createDataFrame([(1, other), (2, near), (3, short), (3, short), (4, other + page[:399])], "doc_id long, text string")
+    many = [spark.range(5000).select(i.cast("long").alias("doc_id"), F.lit(page).alias("text")) for i in (F.lit(9), F.lit(None), F.col("id") + 100)]
+    for small in (suffixes.SMALL, 0):
+        monkeypatch.setattr(suffixes, "SMALL", small)
+        for copies in many if small else many[1:2]:
+            began = time.monotonic()
+            rows = few.unionByName(copies)
+            once = suffixes._Texts(rows).once()
+            assert once.groupBy("times").count().filter("times > 2").collect() == [(5000, 1)] and once.count() == 5
+            runs = suffixes._all_runs(once, suffixes.SPAN)
+            assert runs.count() < 200
+            got = suffixes.without_repeats(rows).select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).groupBy("doc_id", "n_removed", "n_spans", "sha").count().collect()
+            pages = [r for r in got if r.doc_id not in (1, 2, 3, 4)]
+            assert sum(r["count"] for r in pages) == 5000 and {(r.n_removed, r.n_spans, r.sha) for r in pages} == {(3000, 1, sha(b""))}
+            raws = [t.encode() for t in (other, near, short, short, other + page[:399], page, page)]
+            cuts = brute.repeats(raws, 400)
+            want = Counter((i, sum(b - a for a, b in cut), len(cut)) for i, cut in zip((1, 2, 3, 3, 4), cuts, strict=False))
+            assert Counter({(r.doc_id, r.n_removed, r.n_spans): r["count"] for r in got if r not in pages}) == want
+            assert time.monotonic() - began < 90
+
+
+def test_a_text_of_one_letter_comes_in_parts():
+    parts = list(suffixes.runs(b"a" * (suffixes.CHUNK + 1000)))
+    assert len(parts) == 2 and sum(len(p[0]) for p in parts) == suffixes.CHUNK + 601 and {x for p in parts for x in p[0].tolist()} == {int(parts[0][0][0])}
+
+
 def test_repeats_of_all_documents(small, texts):
     ids = sorted(texts)
     raws = [(texts[i] or "").encode() for i in ids]
