@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -72,17 +73,23 @@ _GROUP = re.compile(r"[0-9]+")
 _BETWEEN = frozenset(" ().-/")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
 #: A key or a token of access: a long run of letters and digits; candidates hold some of both or begin as keys do.
-_SECRET = re.compile(r"[A-Za-z0-9_/+-]{16,200}={0,2}")
+_SECRET = re.compile(r"eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{4,}){1,2}|[A-Za-z0-9_/+-]{16,}={0,2}")
+#: What is said to be a password, of any length: a run without white space, if not a plain word.
+_TOLD = re.compile(r"(?i)\b(?:pass(?:word|wort|wd)|pwd|kennwort|mot de passe|contraseña)\b ?(?:[:=]|(?:is|ist|est|es)\b) ?[\"'`]?([^\s\"'`]+)")
+_WORD = re.compile(r"[^\W\d_]+")
 _MARKS = (" at ", "[at]", "(at)", " AT ", "[AT]", "(AT)")
 _SPELT = re.compile(r"(?:\[at\]|\(at\)| at )\s?[\w-]{1,63}(?:(?:\.|\s?(?:\[dot\]|\(dot\)| dot )\s?)[\w-]{2,63}){1,3}", re.I)
 _SPELT_LOCAL = re.compile(r"[\w.+-]{1,64}\s?\Z")
 _CUES = {
-    "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|mobile|cell|call|fax|telefon|tél|téléphone|teléfono|móvil|handy)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|mobile?|cell|call|fax|telefon|tél|téléphone|teléfono|móvil|handy)\b"),
     "iban": re.compile(r"(?i)\b(?:iban|account|konto|compte|cuenta|bank)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|social)\b"),
     "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|kontakt|correo|courriel)\b"),
-    "secret": re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|bearer|credential|auth(?:orization)?)\b"),
+    "secret": re.compile(r"(?i)(?:token|secret|pass(?:word|wort|wd)|pwd|kennwort|mot de passe|contraseña|api[ _-]?key|access[ _-]?key|bearer|credential|auth(?:orization)?)\b"),
 }
+#: National numbers: a zero and pairs; nine digits that begin as those of phones do.
+_PAIRS, _THREES = re.compile(r"0[1-9](?:[ .-]?[0-9]{2}){4}"), re.compile(r"[6-9][0-9]{2}[ .-]?[0-9]{3}[ .-]?[0-9]{3}")
+_SAID = re.compile(r"(?i)(?:pass(?:word|wort|wd)|pwd|kennwort|mot de passe|contraseña) ?(?:[:=]|is|ist|est|es) ?[\"'`]?\Z")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _AGAINST = re.compile(r"(?i)\b(?:order|invoice|version|ref|isbn|page|date|total|price|part|serial|build|room|no|commit|sha\d*|md5|checksum|digest|uuid|file|path)\b")
 # How keys of well-known services begin.
@@ -119,6 +126,8 @@ def candidates(text: str) -> list[Span]:
                 out.append(("ssn", a, b))
         elif n == 9:
             out.append(("ssn", a, b))
+            if text[a] in "6789":
+                out.append(("phone", a, b))
         elif n == 10 or n == 11:
             out.append(("phone", a, b))
     out += [("iban", *m.span()) for m in _IBAN.finditer(text)]
@@ -126,6 +135,11 @@ def candidates(text: str) -> list[Span]:
         digits = sum(map(m.group().count, "0123456789"))
         if 2 <= digits < m.end() - m.start() - 1 or m.group().startswith(_KEY_STARTS):
             out.append(("secret", *m.span()))
+    known = {c for c in out if c[0] == "secret"}
+    for m in _TOLD.finditer(text):
+        told = m.group(1).rstrip(".,;:)")
+        if told and not _WORD.fullmatch(told) and (span := ("secret", m.start(1), m.start(1) + len(told))) not in known:
+            out.append(span)
     for mark in _MARKS:
         at = text.find(mark)
         while at >= 0:
@@ -153,6 +167,7 @@ def features(text: str, span: Span) -> list[float]:
         float(bool(_CUES[kind].search(near))), float(bool(_AGAINST.search(near))), float(near.rstrip().endswith(":")),
         len(d) / (b - a), len(set(s)) / (b - a), float(kind == "secret" and s.startswith(_KEY_STARTS)), float(s.count("_") + s.count("+")),
         float(bool(re.search(r"[:=]\s?[\"'`]?\Z", near))), float(s != s.lower() and s != s.upper()), float(_HEX.fullmatch(s) is not None),
+        float(d[:1] == "0"), float(bool(_PAIRS.fullmatch(s))), float(bool(_THREES.fullmatch(s))), float(kind == "secret" and bool(_SAID.search(text[max(0, a - 24) : a]))),
     ]
 
 
@@ -195,7 +210,7 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]) -
         rows[2 * node + 1], rows[2 * node + 2] = at[~up], at[up]
     for k in range(8):
         at = rows[7 + k]
-        leaf[k] = 0.3 * -g[at].sum() / (h[at].sum() + 1) if len(at) else 0.0
+        leaf[k] = 0.5 * -g[at].sum() / (h[at].sum() + 1) if len(at) else 0.0
     return feature, limit, leaf
 
 
@@ -222,11 +237,20 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         lambda: "ghp_" + code(36), lambda: "sk-" + code(40), lambda: code(42, letters + "+/") + pick(["=", "==", ""]), lambda: f"{code(10)}-{code(12)}_{num(3)}",
     ])(), "secret")
 
+    # German, French and Spanish numbers as they are written at home
+    national = lambda: pick([
+        lambda: f"0{pick(['30', '40', '89', '221', '711', '351', '6221'])}{pick([' ', '/', '-', ' / '])}{num(int(rng.integers(6, 9)))}", lambda: f"01{pick('567')}{num(1)}{pick([' ', '-', '/', ''])}{num(int(rng.integers(7, 9)))}",
+        lambda: f"(0{pick(['30', '40', '89', '69'])}) {num(int(rng.integers(6, 9)))}", lambda: f"0{pick(['30', '89', '221', '711'])} {num(3)} {num(2)} {num(2)}",
+        lambda: (sep := pick([" ", ".", "-", ""])).join([f"0{pick('1234567')}", *(num(2) for _ in range(4))]),
+        lambda: (sep := pick([" ", " ", "-", ""])).join([f"{pick('6789')}{num(2)}", num(3), num(3)]), lambda: f"{pick('69')}{num(1)} {num(3)} {num(2)} {num(2)}", lambda: f"{pick('69')}{num(2)} {num(2)} {num(2)} {num(2)}",
+    ])()
+    short = lambda: word() + num(int(rng.integers(1, 4))) + pick(["", "!", "#", "?x"])
     good = [
         secret, secret,
         lambda: (f"({area()}) {area()}-{num(4)}", "phone"), lambda: (f"{area()}-{area()}-{num(4)}", "phone"),
         lambda: (f"{area()}.{area()}.{num(4)}", "phone"), lambda: (f"{area()} {area()} {num(4)}", "phone"),
         lambda: (f"{int(rng.integers(1, 9))}{num(2)}-{int(rng.integers(10, 99))}-{int(rng.integers(1000, 9999))}", "ssn"),
+        lambda: (national(), "phone"), lambda: (national(), "phone"), lambda: (short(), "told"),
         lambda: (iban(), "iban"), lambda: (f"{word()}.{word()} [at] {word()} [dot] {pick(['com', 'org', 'net'])}", "email"),
         lambda: (f"{word()}(at){word()}.{pick(['com', 'org', 'de'])}", "email"),
     ]
@@ -237,14 +261,16 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         lambda: f"{num(3)}-{num(3)}-{num(5)}", lambda: f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}", lambda: hexed(40), lambda: hexed(64),
         lambda: f"{word()}-{word()}-{num(4)}-{num(2)}-{word()}", lambda: f"/{word()}/{word()}{num(2)}/{word()}_{num(3)}", lambda: f"{word()}_{word()}_{num(2)}_{word()}", lambda: word() * 3 + num(3),
     ]
-    cues = {"secret": ['token = "', "token: ", "api_key=", 'api key: "', "password: ", 'secret = "', "Authorization: Bearer ", "access_key = '", "credential "], "phone": ["phone", "tel:", "call", "mobile"], "ssn": ["SSN", "social security", "ssn:"], "iban": ["IBAN", "account", "iban:"], "email": ["mail", "contact", "email:"]}
+    cues = {"secret": ['token = "', "token: ", "api_key=", 'api key: "', "password: ", 'secret = "', "Authorization: Bearer ", "access_key = '", "credential "], "phone": ["phone", "tel:", "call", "mobile"], "national": ["Tel.", "tel", "Telefon:", "Handy", "Fax", "tél", "Tél. :", "téléphone", "teléfono", "móvil:", "Mobil:", "call", "phone"], "told": ["password: ", "Passwort: ", "passwd=", "mot de passe : ", "contraseña: ", "pwd: ", "password is ", "Kennwort ist "], "ssn": ["SSN", "social security", "ssn:"], "iban": ["IBAN", "account", "iban:"], "email": ["mail", "contact", "email:"]}
     rows, labels, kinds = [], [], []
     for k in range(n):
         lead = " ".join(word() for _ in range(int(rng.integers(0, 6))))
         tail = " ".join(word() for _ in range(int(rng.integers(0, 6))))
         if k % 2:
             s, kind = pick(good)()
-            cue = pick(cues[kind]) + " " * (kind != "secret") if rng.random() < (0.9 if kind in ("ssn", "email", "secret") else 0.5) else ""
+            home = kind == "phone" and not re.match(r"\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}", s)
+            cue = pick(cues["national" if home else kind]) + " " * (kind not in ("secret", "told")) if rng.random() < (1.0 if kind == "told" else 0.9 if home or kind in ("ssn", "email", "secret") else 0.5) else ""
+            kind = "secret" if kind == "told" else kind
             if kind == "secret" and not cue and not s.startswith(_KEY_STARTS):
                 cue = "token "
         else:
@@ -254,7 +280,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         if beside := kind in ("phone", "ssn") and rng.random() < 0.4:
             text += pick(["", "", f"{int(rng.integers(1900, 2100))} ", f"{int(rng.integers(1, 1000))} "])
         right.add((kind, len(text), len(text) + len(s)))
-        text += s
+        text += s + cue[-1:] * (cue[-1:] in ("'", '"'))
         for _ in range(int(rng.integers(0, 3)) if beside else 0):
             s, other = pick(good[2:7])()
             text += pick([" ", " ", " / ", "  "])
@@ -271,7 +297,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.array(rows), np.array(labels), kinds
 
 
-def train(n: int = 2000, rounds: int = 40, precision: float = 0.99) -> Trees:
+def train(n: int = 3000, rounds: int = 50, precision: float = 0.99) -> Trees:
     """Trees from n snippets; a further n calibrate them: a logistic curve over the margin, then for each kind the least
     chance at which that share of the selected spans is right."""
     x, y, _ = examples(n, 1)
@@ -299,15 +325,28 @@ def train(n: int = 2000, rounds: int = 40, precision: float = 0.99) -> Trees:
 
 
 def further_spans(text: str, base: list[Span], trees: Trees) -> list[Span]:
-    """Candidates that the trees select, best first, none overlapping a base span or a better one."""
+    """Candidates that the trees select, best first, none overlapping a better one, nor a base span unless it holds all of it."""
     if not (found := candidates(text)):
         return []
     chance = trees.chance(np.array([features(text, c) for c in found]))
-    taken, out = list(base), []
+    taken: list[tuple[int, int, bool]] = []  # begin, end, whether of base spans; apart from each other and in order
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], b), True)
+        else:
+            taken.append((a, b, True))
+    out = []
     for k in sorted(range(len(found)), key=lambda k: (-chance[k], found[k])):
         kind, a, b = found[k]
-        if chance[k] >= trees.least.get(kind, 2.0) and all(b <= s or e <= a for _, s, e in taken):
-            taken.append(found[k])
+        if chance[k] < trees.least.get(kind, 2.0):
+            continue
+        first = last = bisect_right(taken, (a, a))
+        if first and taken[first - 1][1] > a:
+            continue
+        while last < len(taken) and taken[last][0] < b:
+            last += 1
+        if all(own and end <= b for _, end, own in taken[first:last]):
+            taken[first:last] = [(a, b, False)]
             out.append(found[k])
     return out
 
