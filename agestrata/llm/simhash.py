@@ -8,7 +8,9 @@ Only different fingerprints are compared; documents of equal fingerprint are one
 
 The pipeline's stage also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; most of
 them differ in over 3 bits, and segments short enough for 11 bits would meet in nearly all pairs. Candidates share a band
-of MinHash values (at 0.8 a pair shares none with a chance of 0.00007), and each is settled by its shingles themselves.
+of MinHash values (at 0.8 a pair shares none with a chance of 0.00007), and each is settled by its shingles themselves. Texts
+that share much but not enough, such as a template with own words, all meet in bands; where many are still apart, those
+are compared only if their rarest shingles meet, which similar texts' must.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SHINGLE = 3
 BITS = 3
 #: Of the stage: words of a shingle, bands, MinHash values of a band.
 STAGE_SHINGLE, BANDS, BAND = 5, 24, 5
+#: Texts of a band that are compared with each other; of larger bands, those whose rarest shingles meet.
+FEW = 16
 #: The most hashes of texts (8 bytes each) that are broadcast.
 SMALL = 400_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -117,8 +121,8 @@ def _banded(docs: DataFrame, words: int) -> DataFrame:
     return cut.mapInArrow(run, "th long, n long, keys array<long>").select("th", "n", F.explode("keys").alias("key")).distinct()
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Of pairs (a, b: hashes of texts) those whose shingle sets have a similarity of 0.8 or more, by comparing the sets."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """th, grams: the different shingles of the wanted texts (th)."""
 
     def run(batches):
         import numpy as np
@@ -128,28 +132,66 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             sets = [np.unique(_hashes(x.as_py(), words)).view("<i8") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=("th", "grams"))
 
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "simhash-ends")
+    ends = written(wanted.distinct(), "simhash-ends")
     few = F.broadcast(ends) if ends.count() <= SMALL else ends  # few texts are found without a shuffle of all
     cut = only(docs, "text").select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     sets = written(cut.join(few, "th", "left_semi").mapInArrow(run, "th long, grams array<long>").groupBy("th").agg(F.first("grams").alias("grams")), "simhash-sets")
+    discard(ends)
+    return sets
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """Of pairs (a, b: hashes of texts) those whose shingle sets have a similarity of 0.8 or more, by comparing the sets."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("th")), words)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     alike = written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "simhash-alike")
-    discard(sets, ends)
+    discard(sets)
     return alike
 
 
+def near(n: Column, m: Column) -> Column:
+    """Whether sets of so many elements can be 0.8 similar."""
+    return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+
+
+def rare_pairs(sets: DataFrame, tops: DataFrame) -> DataFrame:
+    """a, b (a < b): pairs of texts of different top that share one of their rarest shingles; among them all that are 0.8
+    similar. sets: th, grams; tops: th, n (size of grams), top.
+
+    With shingles in one order for all, the first that two similar texts have in common is among the first n - 4/5 n + 1
+    of the larger set, and the first n - 8/9 n + 1 of the smaller one, as they have that many in common. The rarest come
+    first. So texts that share a template, but less than 0.8 of all, don't meet in it.
+    """
+    each = written(sets.select("th", F.explode("grams").alias("g")), "simhash-grams")
+    often = written(each.groupBy("g").agg(F.count("*").alias("texts")).filter("texts > 1"), "simhash-often")
+    # shingles of one text alone are the rarest; what counts of them is how many there are
+    shared = each.join(often, "g").groupBy("th").agg(F.array_sort(F.collect_list(F.struct("texts", "g"))).alias("shared"))
+    of = shared.join(tops, "th").select("th", "n", "top", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("i", "s"))
+    at, n = F.col("own") + F.col("i"), F.col("n")
+    first = of.filter(at <= n - F.expr("(4 * n + 4) div 5")).select("th", "n", "top", "s.g", (at <= n - F.expr("(8 * n + 8) div 9")).alias("smaller"))
+    first = written(first, "simhash-rarest")
+    y = first.filter("smaller").toDF("y", "m", "top_y", "g", "_")
+    lesser = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("y") < F.col("th")))
+    both = first.join(y, "g").filter(lesser & (F.col("top") != F.col("top_y")) & near(F.col("n"), F.col("m")))
+    pairs = written(both.select(F.least("th", "y").alias("a"), F.greatest("th", "y").alias("b")).distinct(), "simhash-rare")
+    discard(each, often, first)
+    return pairs
+
+
 def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE) -> DataFrame:
     """a, b: hashes of texts that are similar, as far as rooted (th, root) has them apart: enough of the pairs for the
     same components as all of them.
 
-    First each text of a band's group is compared with the least one; then, with what these links join known, all that
-    are still apart. So a large group of near copies doesn't meet itself in pairs.
+    First each text of a band's group is compared with the least one; then, with what these links join known, those that
+    are still apart: all of a small group, and of large ones those whose rarest shingles meet. So neither a large group of
+    near copies nor one of texts that share a template meets itself in pairs.
     """
     keyed = written(_banded(docs, words), "simhash-bands")
     shared = keyed.groupBy("key").agg(F.min(F.struct("th", "n")).alias("least"), F.max("th").alias("last")).filter("least.th < last")
     banded, keyed = keyed, written(keyed.join(shared.select("key", "least"), "key"), "simhash-shared")
     discard(banded)
-    near = lambda n, m: 5 * F.least(n, m) >= 4 * F.greatest(n, m)
     pairs = keyed.filter((F.col("th") > F.col("least.th")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.th").alias("a"), F.col("th").alias("b")).distinct()
     pairs = written(pairs, "simhash-pairs")
     first = _similar(docs, pairs, words)
@@ -161,8 +203,14 @@ def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE
     several = apart.groupBy("key").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x < y").select("key")
     apart = written(apart.join(several, "key", "left_semi"), "simhash-apart")
     discard(keyed)
-    left, right = apart.toDF("a", "key", "n", "top_a"), apart.toDF("b", "key", "m", "top_b")
+    many = written(apart.groupBy("key").count().filter(F.col("count") > FEW).select("key"), "simhash-many")
+    few = apart.join(many, "key", "left_anti").select("th", "key", "n", "top")
+    left, right = few.toDF("a", "key", "n", "top_a"), few.toDF("b", "key", "m", "top_b")
     rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    if not many.isEmpty():
+        crowd = written(apart.join(many, "key", "left_semi").select("th", "n", "top").distinct(), "simhash-crowd")
+        sets = _sets(docs, crowd.select("th"), words)
+        rest = rest.unionByName(rare_pairs(sets, crowd)).distinct()
     rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "simhash-rest")
     return first.unionByName(_similar(docs, rest, words))
 

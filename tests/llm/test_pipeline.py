@@ -87,3 +87,39 @@ def test_similar_links_join_what_all_pairs_join(spark):
     rooted = spark.createDataFrame([(a, a) for a in order], "th long, root long")
     got = {(r.a, r.b) for r in simhash.similar_links(docs, rooted).collect()}
     assert want and got <= want and dict(components.components(spark.createDataFrame(list(want), "a long, b long")).collect()) == dict(components.components(spark.createDataFrame(list(got), "a long, b long")).collect())
+
+
+def test_texts_of_one_template_don_t_meet_in_pairs(spark, monkeypatch):
+    """Texts that share 0.7 are compared a few times each, however many; those of them that are 0.8 similar are linked."""
+    rng = np.random.default_rng(5)
+    head = [f"t{x}" for x in range(200)]
+    own = lambda n: [f"o{x}" for x in rng.integers(0, 10**9, n)]
+    texts = [" ".join(head + own(40)) for _ in range(500)]
+    for k in range(0, 60, 3):  # near copies of some: a few words differ, also of another length
+        words = texts[k].split()
+        words[50:52] = own(2)
+        texts.append(" ".join(words))
+        texts.append(" ".join(texts[k].split() + own(10)))
+    texts += [" ".join(head + own(20)) for _ in range(3)]  # the template itself is most of these
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    similar = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda docs, pairs, words: asked.append(pairs.count()) or similar(docs, pairs, words))
+    got = {r.doc_id: r.component_id for r in simhash._grouped(df, 3, True).collect()}
+    assert sum(asked) < 40 * len(texts)
+    assert got == {d: c for d, _, c in brute.simhash_groups(list(enumerate(texts)), similar=True)}
+
+
+def test_rare_pairs_hold_all_similar_ones(spark):
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(400, int(rng.integers(5, 60)), replace=False)
+        for _ in range(int(rng.integers(1, 5))):
+            kept = base[rng.random(len(base)) > rng.choice([0.0, 0.1, 0.2])]
+            sets.append(sorted({*kept.tolist(), *rng.choice(400, int(rng.integers(0, 5))).tolist(), 7}))
+    rows = [(k, s) for k, s in enumerate(sets)]
+    got = simhash.rare_pairs(spark.createDataFrame(rows, "th long, grams array<long>"), spark.createDataFrame([(k, len(s), k) for k, s in rows], "th long, n long, top long"))
+    found = {(r.a, r.b) for r in got.collect()}
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
+    assert len(want) > 30 and want <= found and len(found) < len(sets) ** 2 / 4
