@@ -170,11 +170,13 @@ def rare_pairs(sets: DataFrame, tops: DataFrame) -> DataFrame:
     shared = each.join(often, "g").groupBy("th").agg(F.array_sort(F.collect_list(F.struct("texts", "g"))).alias("shared"))
     of = shared.join(tops, "th").select("th", "n", "top", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("i", "s"))
     at, n = F.col("own") + F.col("i"), F.col("n")
-    first = of.filter(at <= n - F.expr("(4 * n + 4) div 5")).select("th", "n", "top", "s.g", (at <= n - F.expr("(8 * n + 8) div 9")).alias("smaller"))
+    first = of.filter(at <= n - F.expr("(4 * n + 4) div 5")).select("th", "n", "top", "s.g", (n - at).alias("rest"), (at <= n - F.expr("(8 * n + 8) div 9")).alias("smaller"))
     first = written(first, "simhash-rarest")
-    y = first.filter("smaller").toDF("y", "m", "top_y", "g", "_")
+    y = first.filter("smaller").toDF("y", "m", "top_y", "g", "rest_y", "_")
     lesser = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("y") < F.col("th")))
-    both = first.join(y, "g").filter(lesser & (F.col("top") != F.col("top_y")) & near(F.col("n"), F.col("m")))
+    # what follows the first common one in both must be enough for 4/9 of both sizes together
+    enough = 9 * F.least("rest", "rest_y") >= 4 * (F.col("n") + F.col("m"))
+    both = first.join(y, "g").filter(lesser & enough & (F.col("top") != F.col("top_y")) & near(F.col("n"), F.col("m")))
     pairs = written(both.select(F.least("th", "y").alias("a"), F.greatest("th", "y").alias("b")).distinct(), "simhash-rare")
     discard(each, often, first)
     return pairs
