@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agestrata.config import CODING, DEFAULT, Settings
+from agestrata.functions.lineage import written
+from agestrata.functions.running import medians
 from agestrata.operators.state import at_year
 from agestrata.schemas import conform
 
@@ -59,8 +61,9 @@ def annual(pairs: DataFrame, settings: Settings = DEFAULT, first: str = "global"
     per = per.withColumn("magnetism", F.try_divide(F.col("newcomers_here").cast("double"), F.col("newcomers_total").cast("double")))
     per = per.withColumn("stickiness", F.when(~F.col("right_censored"), F.try_divide(F.col("retained").cast("double"), F.col("devs").cast("double"))))
     per = per.withColumn("eligible", (F.col("devs") > settings.min_active_devs) & F.col("magnetism").isNotNull() & F.col("stickiness").isNotNull())
-    medians = per.filter("eligible").groupBy("year").agg(F.median("magnetism").alias("median_magnetism"), F.median("stickiness").alias("median_stickiness"))
-    per = per.join(F.broadcast(medians), "year", "left")
+    per = written(per, "annual")  # medians, labels and whatever is made of the result start from it
+    for ratio in ("magnetism", "stickiness"):
+        per = per.join(F.broadcast(medians(per.filter("eligible"), ["year"], ratio, f"median_{ratio}")), "year", "left")
     high = (lambda c, m: F.col(c) >= F.col(m)) if ties == "high" else (lambda c, m: F.col(c) > F.col(m))
     magnet, sticky = high("magnetism", "median_magnetism"), high("stickiness", "median_stickiness")
     quadrant = F.when(~F.col("eligible"), None)

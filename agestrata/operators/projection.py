@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agestrata.config import CATEGORIES, DEFAULT, Settings
-from agestrata.functions.running import sum_before
-from agestrata.functions.stats import rank_sum_p, signed_rank_p
+from agestrata.functions.lineage import written
+from agestrata.functions.running import medians, sum_before
+from agestrata.functions.stats import signed_rank_z, signs_p, two_sided
 from agestrata.functions.temporal import midnight
 from agestrata.operators.balance import dense_bands
 from agestrata.operators.state import at_date
 from agestrata.schemas import conform
 
 SERIES = (*CATEGORIES, "all")
+METHODS = ("cohort", "baseline")
 
 
 def eligible(state: DataFrame, base: date, settings: Settings = DEFAULT) -> DataFrame:
@@ -89,32 +91,65 @@ def complete(table: DataFrame) -> DataFrame:
 
 def error_table(table: DataFrame) -> DataFrame:
     """type, projects, pairs, then the median errors of each series by both methods, over complete pairs."""
-    cells = [F.median(F.when(F.col("category") == c, F.col(f"abre_{m}"))).alias(f"{c}_{m}") for c in SERIES for m in ("cohort", "baseline")]
-    return _by_type(complete(table)).groupBy("type").agg(F.countDistinct("scope_id").alias("projects"), F.count_if(F.col("category") == "all").alias("pairs"), *cells)
-
-
-def signed_ranks(table: DataFrame) -> DataFrame:
-    """Per type and series, the statistics of the paired signed-rank test: n, zeros, w_plus, w_minus, ties, far. Equal
-    differences are aggregated first, so a rank is a running sum over distinct values."""
+    pairs = _by_type(written(complete(table), "pairs"))
+    methods = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"abre_{m}").alias("x")) for m in METHODS])).alias("of")
+    middle = medians(pairs.select("type", "category", methods).select("type", "category", "of.*"), ["type", "category", "method"], "x")
+    cell = lambda c, m: F.max(F.when((F.col("category") == c) & (F.col("method") == m), F.col("median"))).alias(f"{c}_{m}")
+    cells = middle.groupBy("type").agg(*[cell(c, m) for c in SERIES for m in METHODS])
+    sizes = pairs.groupBy("type").agg(F.countDistinct("scope_id").alias("projects"), F.count_if(F.col("category") == "all").alias("pairs"))
+    return sizes.join(cells, "type")
+
+
+def _ranked(table: DataFrame) -> DataFrame:
+    """type, category, size, t, up, far, rank: the different sizes of paired differences (0 included, with rank 0), how
+    many have each, how many of them are positive, and their mean rank. Equal differences are aggregated first, so a rank
+    is a running sum over distinct values."""
     d = F.col("abre_cohort") - F.col("abre_baseline")
     pairs = _by_type(complete(table)).withColumn("d", d).withColumn("far", F.abs(d) > 1e-8 + 1e-5 * F.abs("abre_baseline"))
     keys = ["type", "category"]
     values = pairs.groupBy(*keys, F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"), F.count_if("far").alias("far"))
     nonzero = F.col("size") > 0
     ranked = sum_before(values.withColumn("_t", F.when(nonzero, F.col("t")).otherwise(0)), keys, "size", "_t")
-    ranked = ranked.withColumn("rank", F.when(nonzero, F.col("below") + (F.col("t") + 1) / 2).otherwise(0.0))
+    return ranked.withColumn("rank", F.when(nonzero, F.col("below") + (F.col("t") + 1) / 2).otherwise(0.0))
+
+
+def _statistics(ranked: DataFrame) -> DataFrame:
+    nonzero = F.col("size") > 0
     t = F.when(nonzero, F.col("t")).otherwise(0)
-    return ranked.groupBy(*keys).agg(
+    return ranked.groupBy("type", "category").agg(
         F.sum(t).alias("n"), F.sum(F.when(nonzero, 0).otherwise(F.col("t"))).cast("long").alias("zeros"),
         F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.when(nonzero, F.col("rank") * (F.col("t") - F.col("up"))).otherwise(0.0)).alias("w_minus"),
         F.sum(t * t * t - t).cast("double").alias("ties"), F.sum("far").alias("far"),
     )
 
 
-def signed_rank_table(table: DataFrame, method: str = "auto") -> DataFrame:
-    """type, category, p: a row for each type and series, so the last step runs on a few collected numbers."""
-    rows = [(r.type, r.category, signed_rank_p(r.n, r.w_plus, r.w_minus, r.zeros, r.ties, r.far, method)) for r in signed_ranks(table).collect()]
-    return table.sparkSession.createDataFrame(rows, "type string, category string, p double")
+def signed_ranks(table: DataFrame) -> DataFrame:
+    """Per type and series, the statistics of the paired signed-rank test: n, zeros, w_plus, w_minus, ties, far."""
+    return _statistics(_ranked(table))
+
+
+def signed_rank_table(table: DataFrame, method: str = "auto", exact_up_to: int = 300) -> DataFrame:
+    """type, category, p of the paired signed-rank test, two-sided; zeros are left out of the ranks.
+
+    auto: exact up to 50 differences without zeros or ties, else by the normal distribution. exact: over all signs of the
+    ranks, ties included, and null beyond exact_up_to differences, which bounds the shares that a row holds. p is null
+    without differences, or if all of them are rounding.
+    """
+    if method not in ("auto", "exact"):
+        raise ValueError(f"unknown method {method!r}")
+    keys, ranked = ["type", "category"], _ranked(table)
+    w = F.least("w_plus", "w_minus")
+    stat = _statistics(ranked).filter("n > 0 and far > 0").select(*keys, "n", "zeros", "ties", w.alias("w"))
+    plain = (F.col("n") <= 50) & (F.col("zeros") == 0) & (F.col("ties") == 0)
+    stat = stat.withColumn("exact", plain if method == "auto" else F.col("n") <= exact_up_to)
+    of = ranked.filter("size > 0").join(stat.filter("exact").select(*keys, (2 * F.col("w")).cast("int").alias("w2")), keys)
+    # as many ranks as differences, which are bounded where the test is exact
+    rows = F.transform(F.array_sort(F.collect_list(F.struct((2 * F.col("rank")).cast("int").alias("r"), F.col("t").cast("int").alias("t")))), lambda v: F.array_repeat(v["r"], v["t"]))
+    listed = of.groupBy(*keys, "w2").agg(F.flatten(rows).alias("ranks"))
+    exact = listed.select(*keys, signs_p(F.col("ranks"), F.col("w2")).alias("exact_p"))
+    normal = F.when(~F.col("exact"), two_sided(signed_rank_z(F.col("n"), F.col("w"), F.col("ties")))) if method == "auto" else F.lit(None).cast("double")
+    p = stat.join(exact, keys, "left").select(*keys, F.coalesce("exact_p", normal).alias("p"))
+    return ranked.select(*keys).distinct().join(p, keys, "left")
 
 
 def significance(p_table: DataFrame, level: float = 0.05) -> DataFrame:
@@ -125,15 +160,16 @@ def significance(p_table: DataFrame, level: float = 0.05) -> DataFrame:
 def term_split(table: DataFrame, cut: int = 4) -> DataFrame:
     """One row: medians and numbers of short (band below cut) and long cohorts of all contributors, rank sum and z."""
     v = table.filter("category = 'all' and abre_cohort is not null").select(F.col("abre_cohort").alias("x"), (F.col("band") < cut).alias("short"))
+    v = written(v, "terms")
     values = v.groupBy("x").agg(F.count("*").alias("t"), F.count_if("short").alias("s"))
-    ranks = sum_before(values, [], "x", "t")
-    r1 = ranks.agg(F.sum((F.col("below") + (F.col("t") + 1) / 2) * F.col("s")).alias("r1"))
-    med = v.agg(F.median(F.when(F.col("short"), F.col("x"))).alias("short_median"), F.median(F.when(~F.col("short"), F.col("x"))).alias("long_median"), F.count_if("short").alias("short_n"), F.count_if(~F.col("short")).alias("long_n"))
+    r1 = sum_before(values, [], "x", "t").agg(F.sum((F.col("below") + (F.col("t") + 1) / 2) * F.col("s")).alias("r1"))
+    middle = medians(v, ["short"], "x").agg(F.max(F.when(F.col("short"), F.col("median"))).alias("short_median"), F.max(F.when(~F.col("short"), F.col("median"))).alias("long_median"))
+    sizes = v.agg(F.count_if("short").alias("short_n"), F.count_if(~F.col("short")).alias("long_n"))
     n1, n2 = F.col("short_n").cast("double"), F.col("long_n").cast("double")
     z = F.when((n1 > 0) & (n2 > 0), (F.col("r1") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))
-    return med.crossJoin(r1).withColumn("z", z)
+    return middle.crossJoin(sizes).crossJoin(r1).withColumn("z", z)  # rows of one each
 
 
-def term_split_p(table: DataFrame, cut: int = 4) -> dict:
-    r = term_split(table, cut).first().asDict()
-    return r | {"p": rank_sum_p(r["z"])}
+def term_split_p(table: DataFrame, cut: int = 4) -> DataFrame:
+    """term_split with p, two-sided, without corrections for ties or continuity."""
+    return term_split(table, cut).withColumn("p", two_sided(F.col("z")))

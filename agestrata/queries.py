@@ -341,8 +341,38 @@ STATE = f"{ev_sql()}, {SPANS_SQL}, {state_sql(DATES)}"
 STATE3 = f"{ev_sql()}, {SPANS_SQL}, {state_sql(THREE)}, {METRICS_SQL}"
 PROJ = f"{STATE3}, {projection_sql()}"
 ANNUAL = f"{ev_sql()}, {pairs_sql()}, {annual_sql()}"
+TERMS_SQL = f"""{PROJ}, v as (select abre_cohort as x, band < 4 as short from errs where category = 'all' and abre_cohort is not null),
+rk as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 as r from v),
+g as (select median(x) filter (short) as short_median, median(x) filter (not short) as long_median, count(*) filter (short) as short_n, count(*) filter (not short) as long_n, sum(r) filter (short) as r1 from rk),
+terms as (select short_median, long_median, short_n, long_n, r1, case when short_n > 0 and long_n > 0 then (r1 - short_n * (short_n + long_n + 1) / 2) / sqrt(cast(short_n as double) * long_n * (short_n + long_n + 1) / 12) end as z from g)"""
 LAST_SQL = f"timestamp '{LAST} 00:00:00'"
 
+
+def tail_sql(z: str) -> str:
+    """P(|Z| >= |z|) of a standard normal Z, its density summed by Simpson's rule."""
+    return f"greatest(0, 1 - 2 * (select sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-({z} * i / 4000) ** 2 / 2)) from range(4001) r(i)) * abs({z}) / 12000 / sqrt(2 * pi()))"
+
+
+WILCOXON_SQL = """df as (select type, category, abre_cohort - abre_baseline as d, abs(abre_cohort - abre_baseline) > 1e-8 + 1e-5 * abs(abre_baseline) as far from typed),
+rk as (select type, category, d, rank() over (partition by type, category order by abs(d)) + (count(*) over (partition by type, category, abs(d)) - 1) / 2 as r, count(*) over (partition by type, category, abs(d)) as t from df where d <> 0),
+al as (select type, category, count(*) filter (d = 0) as zeros, count(*) filter (far) as far from df group by 1, 2),
+stat as (select al.type, al.category, count(r) as n, zeros, coalesce(sum(r) filter (d > 0), 0.0) as w_plus, coalesce(sum(r) filter (d < 0), 0.0) as w_minus, coalesce(sum(cast(t * t - 1 as double)), 0.0) as ties, far
+ from al left join rk on al.type = rk.type and al.category = rk.category group by al.type, al.category, zeros, far)"""
+
+
+def _wilcoxon_p_sql(exact: str, beyond: str = tail_sql("z")) -> str:
+    """Signs are tried rank by rank: each sum of ranks so far, with the share of signs that give it."""
+    return f"""with recursive {PROJ}, {WILCOXON_SQL},
+sized as (select *, least(w_plus, w_minus) as w, n * (n + 1) * (2 * n + 1) / 24 - ties / 48 as spread, {exact} as exact from stat where n > 0 and far > 0),
+zs as (select *, case when spread > 0 then abs(w - n * (n + 1) / 4) / sqrt(spread) end as z from sized),
+steps as (select rk.type, rk.category, cast(2 * r as integer) as r, cast(2 * w as integer) as w, row_number() over (partition by rk.type, rk.category order by r) as k from rk join sized on rk.type = sized.type and rk.category = sized.category where exact),
+dist(type, category, k, s, share) as (select distinct type, category, cast(0 as bigint), 0, cast(1 as double) from steps union all
+ select d.type, d.category, st.k, d.s + st.r * u.x, sum(d.share) / 2 from dist d join steps st on st.type = d.type and st.category = d.category and st.k = d.k + 1, (values (0), (1)) u(x)
+ where d.s + st.r * u.x <= st.w group by all),
+ends as (select dist.type, dist.category, least(1, 2 * sum(share)) as p from dist join sized on sized.type = dist.type and sized.category = dist.category and dist.k = n group by all)
+select stat.type, stat.category, round(case when exact then ends.p when z is not null then {beyond} end, 9) as p
+from stat left join zs on zs.type = stat.type and zs.category = stat.category left join ends on ends.type = stat.type and ends.category = stat.category"""
+
 # Expected medians for the cell checks.
 EXPECTED = [("All types", "all", 0.4, 0.5), ("All types", "coding", 0.5, 0.5), ("C", "all", 0.35, 0.4), ("C", "non_coding", 0.0, 0.2), ("B", "moved", 0.6, 0.5)]
 
@@ -429,18 +459,12 @@ add("stored_metrics", lambda s, d: _stored(s, d, "metrics"), f"with {STATE}, {ME
 add("stored_annual", lambda s, d: _stored(s, d, "annual"), f"with {ANNUAL} select * from annual")
 add("stored_projection", lambda s, d: _stored(s, d, "projection"), f"with {PROJ} select * from errs")
 add("abre_table", lambda s, d: projection.error_table(_errors(s, d)), f"with {PROJ} {ERROR_TABLE_SQL}")
-add("wilcoxon_stat", lambda s, d: projection.signed_ranks(_errors(s, d)),
-    f"""with {PROJ}, df as (select type, category, abre_cohort - abre_baseline as d, abs(abre_cohort - abre_baseline) > 1e-8 + 1e-5 * abs(abre_baseline) as far from typed),
-rk as (select type, category, d, rank() over (partition by type, category order by abs(d)) + (count(*) over (partition by type, category, abs(d)) - 1) / 2 as r, count(*) over (partition by type, category, abs(d)) as t from df where d <> 0),
-al as (select type, category, count(*) filter (d = 0) as zeros, count(*) filter (far) as far from df group by 1, 2)
-select al.type, al.category, count(r) as n, zeros, coalesce(sum(r) filter (d > 0), 0.0) as w_plus, coalesce(sum(r) filter (d < 0), 0.0) as w_minus, coalesce(sum(cast(t * t - 1 as double)), 0.0) as ties, far
-from al left join rk on al.type = rk.type and al.category = rk.category group by al.type, al.category, zeros, far""")
-add("wilcoxon_p", lambda s, d: projection.signed_rank_table(_errors(s, d)))
-add("term_split", lambda s, d: projection.term_split(_errors(s, d)).withColumn("z", F.round("z", 9)),
-    f"""with {PROJ}, v as (select abre_cohort as x, band < 4 as short from errs where category = 'all' and abre_cohort is not null),
-rk as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 as r from v),
-g as (select median(x) filter (short) as short_median, median(x) filter (not short) as long_median, count(*) filter (short) as short_n, count(*) filter (not short) as long_n, sum(r) filter (short) as r1 from rk)
-select short_median, long_median, short_n, long_n, r1, round(case when short_n > 0 and long_n > 0 then (r1 - short_n * (short_n + long_n + 1) / 2) / sqrt(cast(short_n as double) * long_n * (short_n + long_n + 1) / 12) end, 9) as z from g""")
+add("wilcoxon_stat", lambda s, d: projection.signed_ranks(_errors(s, d)), f"with {PROJ}, {WILCOXON_SQL} select * from stat")
+add("wilcoxon_p", lambda s, d: projection.signed_rank_table(_errors(s, d)).withColumn("p", F.round("p", 9)), _wilcoxon_p_sql("n <= 50 and zeros = 0 and ties = 0"))
+add("wilcoxon_exact_p", lambda s, d: projection.signed_rank_table(_errors(s, d), "exact").withColumn("p", F.round("p", 9)), _wilcoxon_p_sql("n <= 300", beyond="null"))
+add("term_split", lambda s, d: projection.term_split(_errors(s, d)).withColumn("z", F.round("z", 9)), f"with {TERMS_SQL} select * replace (round(z, 9) as z) from terms")
+add("term_split_p", lambda s, d: projection.term_split_p(_errors(s, d)).withColumn("z", F.round("z", 9)).withColumn("p", F.round("p", 9)),
+    f"with {TERMS_SQL} select * replace (round(z, 9) as z), round(case when z is not null then {tail_sql('z')} end, 9) as p from terms")
 add("check_cells", lambda s, d: checks.check_cells(s.createDataFrame(EXPECTED, "type string, category string, cohort double, baseline double"), checks.long_error_table(projection.error_table(_errors(s, d))), 0.3),
     f"""with {PROJ}, et as ({ERROR_TABLE_SQL}), lg as ({" union all ".join(f"select type, '{c}' as category, {c}_cohort as got_cohort, {c}_baseline as got_baseline from et" for c in projection.SERIES)}),
 ex(type, category, cohort, baseline) as (values {", ".join(f"('{t}', '{c}', cast({a} as double), cast({b} as double))" for t, c, a, b in EXPECTED)})

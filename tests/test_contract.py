@@ -16,7 +16,7 @@ ROOT = Path(__file__).resolve().parent.parent
 SOME = (
     "events_canonical scope_summary contract_violations side_counts_union identity_email_name commit_scope_family_project_commits firsts activity_spans_region late_spans "
     "snapshot_dates state_at_snapshot state_accumulated_age pyramid_active12m balance_metrics_supplier type_table type_counts pyramid_transition balance_by_region "
-    "retention_dataset attractiveness_annual quadrant_grid tie_high newcomer_variant_C projection_eligible_cumulative projection_errors abre_table wilcoxon_stat term_split check_cells band_l1 session_spans"
+    "retention_dataset attractiveness_annual quadrant_grid tie_high newcomer_variant_C projection_eligible_cumulative projection_errors abre_table wilcoxon_stat wilcoxon_p wilcoxon_exact_p term_split_p check_cells band_l1 session_spans"
 ).split()
 
 

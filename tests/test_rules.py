@@ -1,15 +1,17 @@
 """Exact rules at boundaries: dates, settings, spans, bands, ratios, errors, rank tests, checks."""
 
 from datetime import date, datetime, timedelta
+from math import erfc, isnan, sqrt
+from pathlib import Path
+from random import Random
 
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from agestrata.config import DEFAULT, Settings
 from agestrata.functions import stats
-from agestrata.functions.running import sum_before
+from agestrata.functions.lineage import shared_dir
+from agestrata.functions.running import medians, sum_before
 from agestrata.functions.temporal import anchors, anchors_of, quarter_ends, snapshot_dates
 from agestrata.operators import attract, balance, checks, identity, projection, spans, state
 from agestrata.sources import base
@@ -123,26 +125,31 @@ def test_balanced_errors(spark):
     assert got == [None if w is None else pytest.approx(w) for _, _, w in pairs]
 
 
-def test_exact_signed_rank():
-    assert stats.signed_rank_p(5, 15.0, 0.0, 0, 0.0, 5) == pytest.approx(2 / 32)
-    assert stats.signed_rank_p(0, 0.0, 0.0, 3, 0.0, 0) is None
-    assert stats.rank_sum_p(0.0) == 1 and stats.rank_sum_p(None) is None
-
-
-@given(st.sets(st.floats(-100, 100).filter(lambda x: abs(x) > 1e-3), min_size=1, max_size=9))
-def test_exact_signed_rank_counts_all_signs(values):
-    order = sorted(values, key=abs)
-    if len({abs(v) for v in order}) < len(order):
-        return
-    n, up = len(order), sum(k + 1 for k, v in enumerate(order) if v > 0)
-    low = min(up, n * (n + 1) // 2 - up)
-    signs = [sum(k + 1 for k in range(n) if s >> k & 1) for s in range(1 << n)]
-    assert stats.signed_rank_p(n, up, n * (n + 1) / 2 - up, 0, 0.0, n) == pytest.approx(min(1, 2 * sum(x <= low for x in signs) / 2**n))
-
-
-@pytest.mark.parametrize(("want", "got", "ok"), [(0.4055, 0.4, True), (0.45, 0.4, False), (0, 0.01, True), (0, 0.05, False), (float("nan"), 1, False), (1, None, False)])
-def test_tolerance(want, got, ok):
-    assert stats.close(want, got, 0.02) is ok
+def test_normal_tails(spark):
+    zs = [0.0, 1e-9, 0.5, 1.0, 1.959963984540054, 2.5, 2.8284271, 2.8284272, 3.0, 5.0, 9.0, 30.0, -2.0]
+    got = spark.createDataFrame([(i, z) for i, z in enumerate([*zs, None])], "i int, z double").select("i", stats.two_sided(F.col("z")).alias("p")).orderBy("i").collect()
+    assert [r.p for r in got[:-1]] == pytest.approx([erfc(abs(z) / sqrt(2)) for z in zs], rel=1e-10) and got[-1].p is None
+
+
+def test_exact_signed_rank_counts_all_signs(spark):
+    draw = Random(5)
+    sets = {f"{k}": [draw.choice([-3, -2, -1, 0, 1, 2, 3, 4, 5]) for _ in range(k % 11 + 1)] for k in range(60)} | {"five": [1, 2, 3, 4, 5], "none": [0, 0, 0]}
+    rows = [(i, t, "all", float(max(0, v)), float(max(0, -v))) for t, vs in sets.items() for i, v in enumerate(vs)]
+    table = spark.createDataFrame(rows, "scope_id int, type string, category string, abre_cohort double, abre_baseline double")
+    got = {r.type: r.p for r in projection.signed_rank_table(table, "exact").collect()}
+    assert set(got) == set(sets) | {"All types"}
+    for t, vs in sets.items():
+        size = sorted(abs(v) for v in vs if v)
+        rank = {x: size.index(x) + (size.count(x) + 1) / 2 for x in size}
+        up, all_ = sum(rank[v] for v in vs if v > 0), len(size) * (len(size) + 1) / 2
+        sums = [sum(rank[x] for k, x in enumerate(size) if s >> k & 1) for s in range(1 << len(size))]
+        want = min(1, 2 * sum(x <= min(up, all_ - up) for x in sums) / len(sums)) if size else None
+        assert got[t] == (None if want is None else pytest.approx(want, abs=1e-12)), (t, vs)
+    assert got["five"] == 2 / 32 and got["All types"] is None  # more differences than exact_up_to
+    auto = {r.type: r.p for r in projection.signed_rank_table(table).collect()}
+    assert auto["five"] == 2 / 32 and auto["none"] is None and 0 < auto["All types"] < 1
+    with pytest.raises(ValueError, match="neither"):
+        projection.signed_rank_table(table, "neither")
 
 
 # Gate, match, declared, unavailable, status.
@@ -242,6 +249,26 @@ def test_sums_before_go_over_ranges(spark):
     assert len(got) == 500 and {(r.k, r.x): r.below for r in got} == want
 
 
+def test_medians_go_over_ranges(spark):
+    inf, nan = float("inf"), float("nan")
+    odd = [("odd", x) for x in (1.0, None, 2.0, 2.0)] + [("inf", x) for x in (inf, inf, 1.0, inf)] + [("far", x) for x in (-inf, inf)] + [("nan", x) for x in (1.0, nan, 2.0)] + [("none", None)] + [("two", 1.0), ("two", 2.0)]
+    hot = [("hot", float(i * 7919 % 1009)) for i in range(3000)] + [("ties", 4.0)] * 500
+    df = spark.createDataFrame(odd + hot, "k string, x double")
+    got = {r.k: r.median for r in medians(df, ["k"], "x").collect()}
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("x").alias("m")).collect()}
+    assert isnan(got.pop("far")) and isnan(want.pop("far")) and want.pop("none") is None and got == want
+    before = set(Path(shared_dir(spark).removeprefix("file://")).glob("agestrata-ranges-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a group would be put together again
+    try:
+        assert medians(df.filter("k = 'hot'"), ["k"], "x").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (ranges,) = set(Path(shared_dir(spark).removeprefix("file://")).glob("agestrata-ranges-*")) - before
+    rows = [spark.read.parquet(str(f)).count() for f in ranges.glob("*.parquet")]
+    assert len(rows) > 1 and sum(rows) == 1009 and max(rows) < 600  # one group over several tasks
+    assert medians(df.filter("k = 'two'"), [], "x").collect()[0].median == 1.5 and medians(df.limit(0), ["k"], "x").count() == 0
+
+
 def test_anchors_must_be_dates_of_the_series():
     dates = quarter_ends(DEFAULT.start, DEFAULT.end)
     three = tuple(dates[3:6])
