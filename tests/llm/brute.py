@@ -1,5 +1,6 @@
 """Plain versions of the operators, a document (or a pair) at a time."""
 
+import math
 import re
 
 import xxhash
@@ -157,3 +158,86 @@ def ring_walk(keys, nodes, room):
         out[key] = (nodes[i][1], taken[nodes[i][1]])
         taken[nodes[i][1]] += 1
     return out
+
+
+FULL = (1 << 64) - 1
+
+
+def _stir(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & FULL
+    return x ^ x >> 31
+
+
+def _tossed(own, left):
+    """Twice the lowest place where own and left differ, and own's bit there."""
+    place = next((b for b in range(64) if (own ^ left) >> b & 1), 0)
+    return 2 * place + (own >> place & 1)
+
+
+def phrase_names(symbols, factors):
+    """The names of the next level, symbol by symbol. factors: the odd numbers that names are made with."""
+    merged, runs = [], []
+    for x in symbols:  # a run of one symbol is a symbol of its own
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    for x, many in runs:
+        merged.append(x if many == 1 else _stir((x * factors[62] + many * factors[63]) & FULL))
+    labels = merged
+    for _ in range(4):  # 32 or 64 bits, then 7, 4 and 3: labels from 0 to 5 are left
+        labels = [_tossed(x, labels[i - 1] if i else x ^ 1) for i, x in enumerate(labels)]
+    assert all(x < 6 for x in labels)
+    phrases = []
+    for i, x in enumerate(merged):
+        if not phrases or 0 < i < len(merged) - 1 and labels[i - 1] < labels[i] > labels[i + 1]:
+            phrases.append([])
+        phrases[-1].append(x)
+    return [_stir((sum(x * factors[j % 32] for j, x in enumerate(of)) + len(of) * factors[33]) & FULL) for of in phrases]
+
+
+def phrase_sketch(text, factors, levels=2, bins=128):
+    """The byte of each bin that has a name, by bin."""
+    names = [ord(c) for c in text or ""]
+    for _ in range(levels):
+        names = phrase_names(names, factors)
+    least = {}
+    for name in names:
+        h = _stir((name + 0x9E3779B97F4A7C15) & FULL)
+        least[h % bins] = min(h // bins, least.get(h % bins, FULL))
+    return {b: _stir(v) >> 56 for b, v in least.items()}
+
+
+def phrase_text(sketch, bins=128):
+    """Bytes of all bins, then which are set, the first bin as the highest bit."""
+    held = sum(1 << (bins - 1 - b) for b in sketch)
+    return bytes(sketch.get(b, 0) for b in range(bins)).hex() + f"{held:0{bins // 4}x}"
+
+
+def phrase_likeness(a, b):
+    either = len(a.keys() | b.keys())
+    raw = sum(a[k] == b[k] for k in a.keys() & b.keys()) / either if either else 1.0
+    return min(1.0, max(0.0, (raw - 1 / 256) / (1 - 1 / 256)))
+
+
+def language_of_windows(text, model, widths, filters, window):
+    """Probability of each language: a window at a time, a filter at a time, each at every place."""
+    raw = text.lower().encode("utf-8", "replace")
+    total, weight = 0.0, 0
+    for lo in range(0, max(1, len(raw)), window):
+        part = raw[lo : lo + window]
+        seen = [model.embed[b].astype(float) for b in part.ljust(window + max(widths) - 1, bytes(1))]
+        hidden = []
+        for f in range(len(widths) * filters):
+            wide = widths[f // filters]
+            taps = model.conv[:, f].reshape(max(widths), -1).astype(float)
+            assert not taps[wide:].any()
+            best = max(sum(float(seen[i + j] @ taps[j]) for j in range(wide)) for i in range(window))
+            hidden.append(max(0.0, best + float(model.bias[f])))
+        scores = [sum(h * float(w) for h, w in zip(hidden, model.dense[:, k], strict=True)) + float(model.out[k]) for k in range(len(model.langs))]
+        odds = [math.exp(x - max(scores)) for x in scores]
+        size = max(1, len(part))
+        total = [t + size * o / sum(odds) for t, o in zip(total or [0.0] * len(odds), odds, strict=True)]
+        weight += size
+    return [t / weight for t in total]

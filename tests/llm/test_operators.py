@@ -33,19 +33,26 @@ def sha(s):
 
 def test_fingerprints_of_edited_texts(small, texts):
     got = {r.doc_id: r for r in phrases.edited(small).collect()}
-    order = sorted(texts, reverse=True)
+    order, factors = sorted(texts, reverse=True), [int(x) for x in phrases._FACTORS]
+    plain = {d: brute.phrase_sketch(t, factors) for d, t in texts.items()}
     assert set(got) == set(texts)
     for d, after in zip(order, [*order[1:], order[0]], strict=True):
         t, n = texts[d] or "", texts[after] or ""
         new = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        edited = brute.phrase_sketch(new, factors)
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == sha(new)
-        (v, ve, vn), (f, fe, fn) = (list(map(lambda x: x[None], xs)) for xs in phrases.sketches([t, new, n]))
-        assert got[d].fingerprint == phrases.as_text(v, f)[0] and got[d].edited_fingerprint == phrases.as_text(ve, fe)[0]
-        assert got[d].near_edited == pytest.approx(phrases.likeness(v, ve, f, fe)[0]) and got[d].near_next == pytest.approx(phrases.likeness(v, vn, f, fn)[0])
+        assert got[d].fingerprint == brute.phrase_text(plain[d]) and got[d].edited_fingerprint == brute.phrase_text(edited)
+        assert got[d].near_edited == pytest.approx(brute.phrase_likeness(plain[d], edited)) and got[d].near_next == pytest.approx(brute.phrase_likeness(plain[d], plain[after]))
     long = [r for r in got.values() if r.n_chars > 1000]
     assert np.mean([r.near_edited for r in long]) > 0.2 > np.mean([r.near_next for r in long])
 
 
+def test_fingerprints_of_odd_rows(odd):
+    factors = [int(x) for x in phrases._FACTORS]
+    got = Counter(rows(phrases.fingerprint(odd)))
+    assert got == Counter((r.doc_id, brute.phrase_text(brute.phrase_sketch(r.text, factors))) for r in odd.collect())
+
+
 def test_equal_substrings_share_phrases_at_any_offset():
     rng = random.Random(3)
     core = "".join(rng.choice("abcdefgh ") for _ in range(3000))
@@ -467,6 +474,13 @@ def test_languages_don_t_hang_on_batches(small, texts):
     assert [x[0][0] for x in one] == whole[0][:40] and np.allclose([x[1][0] for x in one], whole[1][:40], atol=1e-4)
 
 
+def test_languages_by_a_plain_network(small, odd, texts):
+    model = language.learn(small)
+    some = [t for k, t in sorted(texts.items()) if t and len(t) < 2_000][:25] + [r.text for r in odd.collect() if r.text and len(r.text) < 2_000]
+    for t, got in zip(some, language.probabilities(some, model), strict=True):
+        assert np.allclose(got, brute.language_of_windows(t, model, language.WIDTHS, language.FILTERS, language.WINDOW), atol=1e-4)
+
+
 # odd rows
 
 EVERY = {
