@@ -220,7 +220,7 @@ def op4_sentence_rule_licenses(spark, sf_dir):
 
 
 def _sql() -> str:
-    """The same scan in SQL, one row for each sentence, then one step for each rule."""
+    """The same scan in SQL, one row for each sentence or run of pieces that is known, then one step for each rule."""
     norm = lambda c: rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9.]+', ' ', 'g'), '(^| )\.+', '\1', 'g'), '\.+( |$)', '\1', 'g'))"
     rows = ", ".join(f"('{s}', '{i}')" for s, i in known().items())
     steps, prev = [], "seq"
@@ -228,13 +228,20 @@ def _sql() -> str:
         p = rule_pattern(rule)
         steps.append(f"r{k} as (select doc_id, sentences, found || case when regexp_matches(rest, '{p}') and not list_contains(found, '{name}') then ['{name}'] else [] end as found, regexp_replace(rest, '{p}', '', 'g') as rest from {prev})")
         prev = f"r{k}"
+    # without looking around: line ends are doubled, so that a mark may use up the one behind it, and each piece stands
+    # between line ends of its own
+    piece = PIECE.replace("(?=[\\x20\\x09-\\x0D])", "[\\x20\\x09-\\x0D]")
+    made = "\n(?:" + "|".join(re.escape(x).replace("\\ ", "(?: |\n\n)") for x in sorted(known(), key=lambda x: (-len(x), x))) + ")\n"
+    split = f"regexp_split_to_array(regexp_replace(s, '[\\x0A\\x0D]', chr(10) || chr(10), 'g'), '{piece}')"
     return rf"""
 with known(sentence, id) as (values {rows}),
-cut as (select doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{SPLIT}')) as s, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{SPLIT}'), 1) as i from documents),
+cut as (select doc_id, unnest(regexp_split_to_array(text, '{SPLIT}')) as s, generate_subscripts(regexp_split_to_array(text, '{SPLIT}'), 1) as i
+  from (select doc_id, lower(text) as text from documents) where regexp_matches(text, '{HINTS}')),
 whole as (select doc_id, i, s, {norm("s")} as n from cut),
-lines as (select doc_id, i, unnest(case when n in (select sentence from known) then [s] else regexp_split_to_array(s, '[\x0A\x0D]+') end) as l,
-  generate_subscripts(case when n in (select sentence from known) then [s] else regexp_split_to_array(s, '[\x0A\x0D]+') end, 1) as j from whole),
-named as (select doc_id, i, j, id from lines join known on sentence = {norm("l")}),
+pieced as (select doc_id, i, array_to_string(list_transform(list_filter(list_transform({split}, lambda x: {norm("x")}), lambda x: x <> ''), lambda x: chr(10) || x || chr(10)), '') as s from whole where n not in (select sentence from known)),
+found as (select doc_id, i, 1 as j, n as l from whole union all
+  select doc_id, i, generate_subscripts(x, 1), unnest(x) from (select doc_id, i, regexp_extract_all(s, '{made}') as x from pieced)),
+named as (select doc_id, i, j, id from found join known on sentence = trim(replace(l, chr(10) || chr(10), ' '), chr(10))),
 per as (select doc_id, string_agg(id, ',' order by i, j) as sentences, string_agg('<' || id || '>', '' order by i, j) as rest from named group by doc_id),
 seq as (select d.doc_id, coalesce(sentences, '') as sentences, cast([] as varchar[]) as found, coalesce(rest, '') as rest from documents d left join per on per.doc_id = d.doc_id),
 {", ".join(steps)}

@@ -160,6 +160,31 @@ def test_licences_shown_and_not_shown(spark):
     assert all(got[100 + k].unmatched == 0 for k in range(len(bodies)))
 
 
+def test_pieces_in_any_order_as_by_sql(spark, tmp_path):
+    """Sentences cut by semicolons, list marks and line ends, beside other words, give the same rows by SQL."""
+    draw, sentences = random.Random(17), sorted(x for xs in licenses.SENTENCES.values() for x in xs)
+    between = ["; ", ": ", "\n", "\r\n", ";\n  1. ", "\n(a) ", "\n * b) ", "\n3.\n", "\n1.\n2. ", ":\n- ", ".\n\n", "! ", "\n\n", "; a) of this software; ", " # "]
+    texts = []
+    for _ in range(300):
+        text = ""
+        for _ in range(draw.randint(1, 5)):
+            words = draw.choice([*sentences, "Some other words about a licence", "a) x"]).split(" ")
+            for w in words:
+                text += w + (draw.choice(between) if draw.random() < 0.03 else " ")
+            text = text.rstrip(" ") + draw.choice(between)
+        texts.append(draw.choice([str, str.upper, str.title])(text))
+    df = spark.createDataFrame([*enumerate(texts), (300, None), (301, "")], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    want = sorted(con.execute(licenses.SQL).fetchall())
+    assert sorted(tuple(r) for r in licenses.scan(df).collect()) == want
+    # many are found that a cut into sentences alone doesn't show
+    known = licenses.known()
+    alone = [sum(licenses.normal(x) in known for x in re.split(licenses.SPLIT, t)) for t in texts]
+    assert sum(n > k for (_, found, _, _), k in zip(want, alone) for n in [len(found.split(",")) if found else 0]) > 50
+
+
 def test_wrapped_notices_as_by_sql(spark, tmp_path):
     texts = ["A.\nAll rights\nreserved.", "All rights  reserved", "All rights-reserved.", "All rights reserved.", "nothing of it"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
