@@ -350,7 +350,7 @@ LAST_SQL = f"timestamp '{LAST} 00:00:00'"
 
 def tail_sql(z: str) -> str:
     """P(|Z| >= |z|) of a standard normal Z, its density summed by Simpson's rule."""
-    return f"greatest(0, 1 - 2 * (select sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-({z} * i / 4000) ** 2 / 2)) from range(4001) r(i)) * abs({z}) / 12000 / sqrt(2 * pi()))"
+    return f"greatest(0, 1 - 2 * (select sum(case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-(({z} * i / 4000) ** 2) / 2)) from range(4001) r(i)) * abs({z}) / 12000 / sqrt(2 * pi()))"
 
 
 WILCOXON_SQL = """df as (select type, category, abre_cohort - abre_baseline as d, abs(abre_cohort - abre_baseline) > 1e-8 + 1e-5 * abs(abre_baseline) as far from typed),

@@ -5,6 +5,7 @@ from math import erfc, isnan, sqrt
 from pathlib import Path
 from random import Random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from agestrata.functions.lineage import shared_dir
 from agestrata.functions.running import medians, sum_before
 from agestrata.functions.temporal import anchors, anchors_of, quarter_ends, snapshot_dates
 from agestrata.operators import attract, balance, checks, identity, projection, spans, state
+from agestrata.queries import tail_sql
 from agestrata.sources import base
 
 EVENTS = "scope_id long, contributor_id long, event_type string, timestamp timestamp"
@@ -131,6 +133,12 @@ def test_normal_tails(spark):
     assert [r.p for r in got[:-1]] == pytest.approx([erfc(abs(z) / sqrt(2)) for z in zs], rel=1e-10) and got[-1].p is None
 
 
+def test_normal_tails_of_sql():
+    zs = [0.0, 0.5, 1.959963984540054, -2.5, 5.0]
+    got = duckdb.sql(f"select {tail_sql('z')} from (values {', '.join(f'({z}::double)' for z in zs)}) v(z)").fetchall()
+    assert [p for (p,) in got] == pytest.approx([erfc(abs(z) / sqrt(2)) for z in zs], abs=1e-11)
+
+
 def test_exact_signed_rank_counts_all_signs(spark):
     draw = Random(5)
     sets = {f"{k}": [draw.choice([-3, -2, -1, 0, 1, 2, 3, 4, 5]) for _ in range(k % 11 + 1)] for k in range(60)} | {"five": [1, 2, 3, 4, 5], "none": [0, 0, 0]}
