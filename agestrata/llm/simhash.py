@@ -4,7 +4,9 @@ A fingerprint of 64 bits is a ring of four segments of 16. If two differ in 3 bi
 the cumulative differences of the chain stay within 0, 1, 2, 3 (the proportional budgets, rounded down). The first two
 links of the chain are found by equality: one side is stored by the two segments, the other asks with its own first
 segment and with its second one as it is or with one bit changed. The third link and the full distance prune the rest.
-Only different fingerprints are compared; documents of equal fingerprint are one group from the start.
+Only different fingerprints are compared; documents of equal fingerprint are one group from the start. Joins of tables
+that grow with the documents go by sorting: by the size of a table's files Spark would broadcast what a plan makes 68 times
+as many rows of, through the driver.
 
 The pipeline's stage also links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; most of
 them differ in over 3 bits, and segments short enough for 11 bits would meet in nearly all pairs. Candidates share a band
@@ -87,7 +89,7 @@ def links(fps: DataFrame) -> DataFrame:
     asked = turned.select(F.col("fp").alias("a"), "i", "ring", F.explode(F.transform(changes, lambda c: F.col("ring").bitwiseAND(two).bitwiseXOR(c))).alias("key"))
     differ = F.col("ring").bitwiseXOR(F.col("ring_b"))
     third = F.bit_count(differ.bitwiseAND(three)) <= 2
-    return asked.join(stored, ["i", "key"]).filter(F.col("a") < F.col("b")).filter(third & (F.bit_count(differ) <= BITS)).select("a", "b")
+    return asked.join(stored.hint("merge"), ["i", "key"]).filter(F.col("a") < F.col("b")).filter(third & (F.bit_count(differ) <= BITS)).select("a", "b")
 
 
 def bands(text: bytes | None, words: int = STAGE_SHINGLE) -> tuple[int, list[int]]:
@@ -133,7 +135,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=("th", "grams"))
 
     ends = written(wanted.distinct(), "simhash-ends")
-    few = F.broadcast(ends) if ends.count() <= SMALL else ends  # few texts are found without a shuffle of all
+    few = F.broadcast(ends) if ends.count() <= SMALL else ends.hint("merge")  # few texts are found without a shuffle of all
     cut = only(docs, "text").select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     sets = written(cut.join(few, "th", "left_semi").mapInArrow(run, "th long, grams array<long>").groupBy("th").agg(F.first("grams").alias("grams")), "simhash-sets")
     discard(ends)
@@ -145,7 +147,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     if pairs.isEmpty():
         return pairs.select("a", "b")
     sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("th")), words)
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    both = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     alike = written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "simhash-alike")
     discard(sets)
     return alike
@@ -167,8 +169,8 @@ def rare_pairs(sets: DataFrame, tops: DataFrame) -> DataFrame:
     each = written(sets.select("th", F.explode("grams").alias("g")), "simhash-grams")
     often = written(each.groupBy("g").agg(F.count("*").alias("texts")).filter("texts > 1"), "simhash-often")
     # shingles of one text alone are the rarest; what counts of them is how many there are
-    shared = each.join(often, "g").groupBy("th").agg(F.array_sort(F.collect_list(F.struct("texts", "g"))).alias("shared"))
-    of = shared.join(tops, "th").select("th", "n", "top", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("i", "s"))
+    shared = each.join(often.hint("merge"), "g").groupBy("th").agg(F.array_sort(F.collect_list(F.struct("texts", "g"))).alias("shared"))
+    of = shared.join(tops.hint("merge"), "th").select("th", "n", "top", (F.col("n") - F.size("shared")).alias("own"), F.posexplode("shared").alias("i", "s"))
     at, n = F.col("own") + F.col("i"), F.col("n")
     first = of.filter(at <= n - F.expr("(4 * n + 4) div 5")).select("th", "n", "top", "s.g", (n - at).alias("rest"), (at <= n - F.expr("(8 * n + 8) div 9")).alias("smaller"))
     first = written(first, "simhash-rarest")
@@ -176,7 +178,7 @@ def rare_pairs(sets: DataFrame, tops: DataFrame) -> DataFrame:
     lesser = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("y") < F.col("th")))
     # what follows the first common one in both must be enough for 4/9 of both sizes together
     enough = 9 * F.least("rest", "rest_y") >= 4 * (F.col("n") + F.col("m"))
-    both = first.join(y, "g").filter(lesser & enough & (F.col("top") != F.col("top_y")) & near(F.col("n"), F.col("m")))
+    both = first.join(y.hint("merge"), "g").filter(lesser & enough & (F.col("top") != F.col("top_y")) & near(F.col("n"), F.col("m")))
     pairs = written(both.select(F.least("th", "y").alias("a"), F.greatest("th", "y").alias("b")).distinct(), "simhash-rare")
     discard(each, often, first)
     return pairs
@@ -192,28 +194,28 @@ def similar_links(docs: DataFrame, rooted: DataFrame, words: int = STAGE_SHINGLE
     """
     keyed = written(_banded(docs, words), "simhash-bands")
     shared = keyed.groupBy("key").agg(F.min(F.struct("th", "n")).alias("least"), F.max("th").alias("last")).filter("least.th < last")
-    banded, keyed = keyed, written(keyed.join(shared.select("key", "least"), "key"), "simhash-shared")
+    banded, keyed = keyed, written(keyed.join(shared.select("key", "least").hint("merge"), "key"), "simhash-shared")
     discard(banded)
     pairs = keyed.filter((F.col("th") > F.col("least.th")) & near(F.col("n"), F.col("least.n"))).select(F.col("least.th").alias("a"), F.col("th").alias("b")).distinct()
     pairs = written(pairs, "simhash-pairs")
     first = _similar(docs, pairs, words)
-    of = lambda c: rooted.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}"))
+    of = lambda c: rooted.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
     joins = first.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b")
     above = components(joins).toDF("root", "top")
-    topped = written(rooted.join(above, "root", "left").select("th", F.coalesce("top", "root").alias("top")), "simhash-tops")
-    apart = keyed.select("key", "th", "n").join(topped, "th")
+    topped = written(rooted.join(above.hint("merge"), "root", "left").select("th", F.coalesce("top", "root").alias("top")), "simhash-tops")
+    apart = keyed.select("key", "th", "n").join(topped.hint("merge"), "th")
     several = apart.groupBy("key").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x < y").select("key")
-    apart = written(apart.join(several, "key", "left_semi"), "simhash-apart")
+    apart = written(apart.join(several.hint("merge"), "key", "left_semi"), "simhash-apart")
     discard(keyed)
     many = written(apart.groupBy("key").count().filter(F.col("count") > FEW).select("key"), "simhash-many")
-    few = apart.join(many, "key", "left_anti").select("th", "key", "n", "top")
+    few = apart.join(many.hint("merge"), "key", "left_anti").select("th", "key", "n", "top")
     left, right = few.toDF("a", "key", "n", "top_a"), few.toDF("b", "key", "m", "top_b")
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
+    rest = left.join(right.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.col("top_a") != F.col("top_b")) & near(F.col("n"), F.col("m"))).select("a", "b").distinct()
     if not many.isEmpty():
-        crowd = written(apart.join(many, "key", "left_semi").select("th", "n", "top").distinct(), "simhash-crowd")
+        crowd = written(apart.join(many.hint("merge"), "key", "left_semi").select("th", "n", "top").distinct(), "simhash-crowd")
         sets = _sets(docs, crowd.select("th"), words)
         rest = rest.unionByName(rare_pairs(sets, crowd)).distinct()
-    rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "simhash-rest")
+    rest = written(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "simhash-rest")
     return first.unionByName(_similar(docs, rest, words))
 
 
@@ -223,16 +225,16 @@ def _grouped(docs: DataFrame, words: int, similar: bool = False) -> DataFrame:
     slim = written(fingerprints(docs, words), "simhash")
     fps = written(slim.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(links(fps.select("fp")))
-    rooted = fps.join(roots, fps["fp"] == roots["v"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(roots.toDF("fp", "root").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "simhash-roots")
     if similar:
-        texts = written(slim.select("th", "fp").distinct().join(rooted, "fp").select("th", "root"), "simhash-texts")
-        of = lambda c: texts.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}"))
+        texts = written(slim.select("th", "fp").distinct().join(rooted.hint("merge"), "fp").select("th", "root"), "simhash-texts")
+        of = lambda c: texts.select(F.col("th").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
         more = similar_links(docs, texts).join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         above = components(more).toDF("root", "top")
-        rooted = written(rooted.join(above, "root", "left").select("fp", "first", F.coalesce("top", "root").alias("root")), "simhash-roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
-    return slim.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
+        rooted = written(rooted.join(above.hint("merge"), "root", "left").select("fp", "first", F.coalesce("top", "root").alias("root")), "simhash-roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")).hint("merge"), "root").select("fp", "root", "component_id")
+    return slim.join(named.hint("merge"), "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def groups(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -254,7 +256,7 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, similar: bool = False) ->
     at, text = docs.columns.index("doc_id"), docs.columns.index("text")
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     key = F.col(f"_{at}").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(f"_{text}") == F.col("kept_th"))
-    out = plain.join(kept, key, "left_semi")
+    out = plain.join(kept.hint("merge"), key, "left_semi")
     again = out.groupBy(f"_{at}", F.xxhash64(f"_{text}")).count().filter("count > 1")
     return (out if again.isEmpty() else out.dropDuplicates([f"_{at}", f"_{text}"])).toDF(*docs.columns)
 

@@ -123,3 +123,17 @@ def test_rare_pairs_hold_all_similar_ones(spark):
     found = {(r.a, r.b) for r in got.collect()}
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})}
     assert len(want) > 30 and want <= found and len(found) < len(sets) ** 2 / 4
+
+
+def test_nothing_that_grows_is_broadcast(spark, small, monkeypatch):
+    """By the size of their files, these tables would all be broadcast; only the bounded hashes of texts may be."""
+    from agestrata.functions import components as stars
+
+    plans, write = [], simhash.written
+    note = lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name)
+    monkeypatch.setattr(simhash, "written", note)
+    monkeypatch.setattr(stars, "written", note)
+    out = simhash.one_of_each(small, similar=True)
+    plans += [("kept", out._jdf.queryExecution().executedPlan().toString()), ("links", simhash.links(spark.range(9).toDF("fp"))._jdf.queryExecution().executedPlan().toString())]
+    assert sorted({name for name, plan in plans if "Broadcast" in plan} - {"simhash-sets"}) == []
+    assert out.count() > 0
