@@ -283,3 +283,12 @@ def test_anchors_must_be_dates_of_the_series():
     assert anchors_of(DEFAULT, dates) == tuple(dates[-3:]) and anchors_of(DEFAULT.but(anchors=three), dates) == three
     with pytest.raises(ValueError, match="1901-01-01"):
         anchors_of(DEFAULT.but(anchors=(date(1901, 1, 1), *three[1:])), dates)
+
+
+def test_state_and_spans_hold_no_table_of_groups(spark, sf_dir):
+    """Spans and state pass in one order of time, so a task holds a sort that can spill; only days are aggregated, twice."""
+    from agestrata import queries
+
+    plan = queries._state(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate(") == 2  # by day, before and after the shuffle
+    assert plan.count("Sort [scope_id") == 1
