@@ -292,3 +292,10 @@ def test_state_and_spans_hold_no_table_of_groups(spark, sf_dir):
     plan = queries._state(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate(") == 2  # by day, before and after the shuffle
     assert plan.count("Sort [scope_id") == 1
+
+
+def test_pyramid_reads_state_once(spark, sf_dir):
+    from agestrata import queries
+
+    plan = balance.pyramid(queries._state(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem") == 1
