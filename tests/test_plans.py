@@ -354,3 +354,27 @@ def test_late_files_end_in_the_store_of_the_whole(spark, sf_dir, spans_of, tmp_p
     assert content(store, "state") == content(whole, "state")
     with pytest.raises(ValueError, match="no scope 999"):
         stages.add_late(store, events.limit(1).withColumn("scope_id", F.lit(999).cast("long")), SHORT)
+
+
+def test_state_of_all_scopes_is_written_as_it_comes(spark, sf_dir, tmp_path, monkeypatch):
+    """No task sorts it, its files are in order all the same, and its people are counted without a table of them."""
+    from agestrata.operators import state
+    from agestrata.plans import store as at
+
+    many, once = [], at._files_at_once
+    monkeypatch.setattr(at, "_files_at_once", lambda spark_, n: many.append(n) or once(spark_, n))
+    store = Store(spark, f"file://{tmp_path}/s", units=2, buckets=3)
+    source = StarSource(SHORT, spark=spark, path=sf_dir)
+    for name in ("extract", "classify", "snapshots"):
+        stages.run(store, source, SHORT, only=name)
+    assert many == [0, at.AT_ONCE + 1, at.AT_ONCE + 1] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    own = store.read("state")
+    assert own.exceptAll(state.state_at(store.read("spans"), None, SHORT)).isEmpty() and own.count() == state.state_at(store.read("spans"), None, SHORT).count()
+    files = {}
+    lie = spark.read.parquet(store.path("state")).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"), "scope_id", "contributor_id")
+    for r in lie.orderBy("i").collect():
+        files.setdefault(r.f, []).append((r.scope_id, r.contributor_id))
+    assert len(files) <= 2 * 3 * 5 and all(rows == sorted(rows) for rows in files.values())
+    for name in ("spans", "state"):
+        want = {tuple(r) for r in store.read(name).groupBy("scope_id").agg(F.countDistinct("contributor_id")).collect()}
+        assert {tuple(r) for r in store.scope_entries(name).filter("rows > 0").select("scope_id", "contributors").collect()} == want
