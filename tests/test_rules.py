@@ -299,3 +299,18 @@ def test_pyramid_reads_state_once(spark, sf_dir):
 
     plan = balance.pyramid(queries._state(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem") == 1
+
+
+def test_spans_are_shared_out_by_the_size_of_the_input(spark, sf_dir, monkeypatch):
+    """However large the input, a task has as much: all that spans need goes to as many tasks as the files' size says."""
+    from agestrata import queries
+    from agestrata.sources import star
+
+    want = {tuple(r) for r in queries._spans(spark, sf_dir).collect()}
+    monkeypatch.setattr(star, "TASK", 1 << 10)
+    many = star.StarSource(spark=spark, path=sf_dir).tasks()
+    got = queries._spans(spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert many > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert plan.count("Exchange hashpartitioning") == plan.count(f", {many}), REPARTITION_BY_NUM") == 4  # both sides of the join, by day, by contributor
+    assert {tuple(r) for r in got.collect()} == want
