@@ -12,6 +12,9 @@ hold costs no more than one that two rows hold.
 An anchor whose texts have more than LIMIT bytes is split by longer anchors, again and again until its suffix array
 fits: a window holds, beside its anchor, half of its remaining bytes either left or right of it; with these the anchor
 is longer and says more, and equal windows still meet. In the end an anchor is a whole window, which has one text.
+
+Before its suffix array, an anchor's texts lose the windows at their ends whose longer anchors, LEVELS times over, no other
+of the texts has: those have no equal. All others are the suffix array's to decide.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ GRAM = 64
 CHUNK = 1 << 20
 #: The most bytes of one suffix array; anchors that have more are split by longer anchors.
 LIMIT = 200_000
+#: How often anchors are made longer before a suffix array: 64, 232, 316 bytes.
+LEVELS = 2
 #: Bytes whose suffixes one task sorts, about; the number of tasks follows the input up to a bound, then tasks grow.
 TASK, TASKS = 1_500_000, 10_000
 #: Texts that stand more than once are broadcast up to so many (32 bytes each); beyond, the join is shuffled, a text's rows
@@ -197,6 +202,24 @@ def longer(raw: bytes, at: int, gram: int, span: int) -> list[tuple[int, bytes,
     return out
 
 
+def may_repeat(texts: list[tuple[bytes, int, int]], span: int, levels: int = LEVELS) -> list[tuple[int, int, int]]:
+    """What a suffix array has to look at, of texts (bytes, where their anchor begins, its length): k, begin and end in the
+    k-th text. Windows outside have a longer anchor that no other text has, and so no equal."""
+    parts = [(k, 0, *t) for k, t in enumerate(texts)]
+    for _ in range(levels):
+        cut, held = [], {}
+        for k, base, raw, at, gram in parts:
+            for first, part, begin, anchor in longer(raw, at, gram, span):
+                cut.append((k, base + first, part, begin, anchor))
+                held[anchor] = k if held.get(anchor, k) == k else -1
+        parts = [(k, base, part, begin, len(anchor)) for k, base, part, begin, anchor in cut if held[anchor] < 0]
+    ends: dict[int, tuple[int, int]] = {}
+    for k, base, part, _, _ in parts:
+        lo, hi = ends.get(k, (base, 0))
+        ends[k] = min(lo, base), max(hi, base + len(part))
+    return [(k, *x) for k, x in sorted(ends.items())]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, raw, id (null: the least), and what tells a text: th (a hash) and tc (another, with the length)."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
@@ -281,31 +304,32 @@ def _texts(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
 
 def _sorted_groups(texts: DataFrame, span: int, size: int) -> DataFrame:
     """h, c, d, a, b: stretches of equal windows in each different text (rows of PART without large groups), by the
-    suffix array of all texts of its anchor. size: bytes of all of them."""
+    suffix array of what may repeat of all texts of its anchor. size: bytes of all of them."""
 
     def run(batches):
         import pyarrow as pa
 
         def solve(keys, ts, rows):
-            for key, found in zip(keys, equal_windows(ts, span), strict=True):
-                rows += [(*key, a, b) for a, b in found]
+            if left := may_repeat(ts, span):
+                for (k, lo, _), found in zip(left, equal_windows([ts[k][0][lo:hi] for k, lo, hi in left], span), strict=True):
+                    rows += [(*keys[k], lo + a, lo + b) for a, b in found]
 
         rows, keys, ts = [], [], []
         for batch in batches:
-            for h, c, d, raw in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            for h, c, d, *text in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
                 if keys and keys[0][0] != h:
                     solve(keys, ts, rows)
                     keys, ts = [], []
                 if not keys or keys[-1] != (h, c, d):
                     keys.append((h, c, d))
-                    ts.append(raw)
+                    ts.append(tuple(text))
         if keys:
             solve(keys, ts, rows)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=("h", "c", "d", "a", "b"))
 
     tasks = min(TASKS, max(1, -(-size // TASK)))
-    return texts.select(*KIND, "raw").repartition(tasks, "h").sortWithinPartitions(*KIND).mapInArrow(run, "h long, c long, d long, a long, b long")
+    return texts.select(*KIND, "raw", "at", "gram").repartition(tasks, "h").sortWithinPartitions(*KIND).mapInArrow(run, "h long, c long, d long, a long, b long")
 
 
 def _longer(texts: DataFrame, span: int) -> DataFrame:

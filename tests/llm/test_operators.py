@@ -279,6 +279,22 @@ def test_longer_anchors_deal_every_window_once(left, right, gram, data):
     assert sorted(dealt) == list(range(last - first + 1))
 
 
+def test_a_suffix_array_sees_only_what_may_repeat():
+    """Of texts that share their anchor, those alike for less than two longer anchors are left out, and ends that no other
+    has; what is left holds all equal windows."""
+    rng = random.Random(3)
+    word = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    anchor, near, page = word(64), word(120), word(450)
+    texts = [(word(336) + anchor + word(336), 336, 64), (word(216) + near + anchor + near + word(216), 336, 64)]
+    texts.append((word(216) + near + anchor + near + word(216), 336, 64))
+    assert suffixes.may_repeat(texts, 400) == [] and len(suffixes.may_repeat(texts, 400, 0)) == 3
+    texts += [(word(200) + page[:136] + anchor + page[136:], 336, 64), (word(100) + page[:136] + anchor + page[136:], 236, 64)]
+    left = suffixes.may_repeat(texts, 400)
+    assert [k for k, _, _ in left] == [3, 4] and sum(hi - lo for _, lo, hi in left) < sum(len(t[0]) for t in texts[3:])
+    found = {k: [(lo + a, lo + b) for a, b in x] for (k, lo, _), x in zip(left, suffixes.equal_windows([texts[k][0][lo:hi] for k, lo, hi in left]), strict=True)}
+    assert [found.get(k, []) for k in range(5)] == suffixes.equal_windows([t[0] for t in texts]) and found[3] == [(200, 200 + 514 - 400)]
+
+
 def test_many_equal_rows_are_one_text(spark, monkeypatch):
     """5,000 rows of one text, with equal, null and own ids, take as long as two; no row of spans grows with them."""
     rng = random.Random(4)
