@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agestrata.llm import passages
+from agestrata.llm.hashes import least, rolled
 from agestrata.llm.shared import discard, only, table, written
 
 SPAN = 400
@@ -40,9 +42,6 @@ TASK, TASKS = 1_500_000, 10_000
 #: Texts that stand more than once are broadcast up to so many (32 bytes each); beyond, the join is shuffled, a text's rows
 #: dealt over SALTS keys.
 SMALL, SALTS = 400_000, 16
-_R = 0x9E3779B97F4A7C15 | 1
-_M = (1 << 64) - 1
-_U = np.uint64
 
 
 def suffix_array(text: bytes | list[int]) -> list[int]:
@@ -142,27 +141,6 @@ def equal_windows(texts: list[bytes], span: int = SPAN) -> list[list[tuple[int,
     return out
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(r: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of r and of its inverse modulo 2**64."""
-    if r not in _powers or len(_powers[r][0]) < n:
-        most = max(n, 1 << 16)
-        _powers[r] = tuple(np.concatenate(([_U(1)], np.cumprod(np.full(most, x & _M, np.uint64)))) for x in (r, pow(r, -1, 1 << 64)))
-    return _powers[r]
-
-
-def _sums(raw: np.ndarray, r: int) -> np.ndarray:
-    return np.concatenate(([_U(0)], np.cumsum((raw.astype(np.uint64) + _U(1)) * _power(r, len(raw))[0][: len(raw)])))
-
-
 def _digests(parts) -> np.ndarray:
     """128 bits of each string of bytes, as two numbers a row."""
     return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), "<i8").reshape(-1, 2)
@@ -174,15 +152,8 @@ def runs(raw: bytes, span: int = SPAN, gram: int = GRAM):
     view = memoryview(raw)
     for lo in range(0, max(0, len(raw) - span + 1), CHUNK):
         b = np.frombuffer(raw, np.uint8, min(CHUNK + span - 1, len(raw) - lo), lo)
-        sums, inverse = _sums(b, _R), _power(_R, len(b))[1]
-        h = _mixed((sums[gram:] - sums[:-gram]) * inverse[: len(b) - gram + 1])
-        least = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        wide, step = span - gram + 1, 1
-        while step * 2 <= wide:  # least[i] covers step hashes from i on
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        least = np.minimum(least[: len(h) - wide + 1], least[wide - step : wide - step + len(h) - wide + 1])
-        anchor = (least & _U(0xFFFFFFFF)).astype(np.int64)
+        h = rolled(b, gram)
+        anchor = least(h, span - gram + 1)
         s = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         e = np.append(s[1:], len(anchor)) - 1
         same = _digests([view[x:y] for x, y in zip((s + lo).tolist(), (e + lo + span).tolist(), strict=True)])
@@ -426,9 +397,10 @@ def removed(raw: bytes, spans: list[tuple[int, int]], span: int = SPAN) -> list[
     return out
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = SPAN, count_passages: bool = False) -> DataFrame:
     """For every row of docs: doc_id, n_bytes, n_removed, n_spans, kept (binary, the bytes left), text (those that are
-    whole code points).
+    whole code points), n_passage_windows (windows of 51 words that another row has too, whatever their bytes; null unless
+    asked for).
 
     Null texts are empty; texts shorter than a window keep all; rows that repeat one another lose all windows; an empty
     table gives no rows; other columns are ignored.
@@ -440,29 +412,43 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                cols: list[list] = [[], [], [], [], []]
-                for raw, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                cols: list[list] = [[], [], [], [], [], []]
+                for raw, spans, shared in zip(*[part.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
                     cut = removed(raw, [(x["lo"], x["hi"]) for x in spans or []], span)
                     at, left = 0, []
                     for a, z in cut:
                         left.append(raw[at:a])
                         at = z
                     rest = b"".join([*left, raw[at:]])
-                    for c, v in zip(cols, (len(raw), sum(z - a for a, z in cut), len(cut), rest, rest.decode("utf-8", "ignore")), strict=True):
+                    if count_passages and shared is None:  # all of them
+                        shared = max(0, len(raw.split()) - passages.WORDS + 1)
+                    for c, v in zip(cols, (len(raw), sum(z - a for a, z in cut), len(cut), rest, rest.decode("utf-8", "ignore"), shared), strict=True):
                         c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text"))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+                names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text", "n_passage_windows")
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
     texts = _Texts(docs)
-    rows, spans = texts.counted(), repeats(texts.once(), span)
+    rows, once = texts.counted(), texts.once()
+    found = repeats(once, span)
+    if count_passages:
+        found = found.join(passages.shared_windows(once), ["id", "th"], "full").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    else:
+        found = found.withColumn("shared", F.lit(None).cast("long"))
     # a text that stands more than once has no window that doesn't
     whole = F.when(F.octet_length("raw") >= span, F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("raw") - span).alias("hi"))))
-    several = rows.filter("times is not null").select("doc_id", "raw", whole.alias("spans"))
-    both = rows.filter("times is null").join(spans, ["id", "th"], "left").select("doc_id", "raw", "spans").unionByName(several)
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
+    several = rows.filter("times is not null").select("doc_id", "raw", whole.alias("spans"), F.lit(None).cast("long").alias("shared"))
+    none = F.lit(0 if count_passages else None).cast("long")
+    single = rows.filter("times is null").join(found, ["id", "th"], "left").select("doc_id", "raw", "spans", F.coalesce("shared", none).alias("shared"))
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text string, n_passage_windows long"
+    return single.unionByName(several).mapInArrow(run, out)
 
 
 def op6_lyndon_suffix_dedup(spark, sf_dir):
-    """The digest, whether anything went, and the text that is left (without what a cut leaves of a code point)."""
-    out = without_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeats"), "text")
+    """The digest, whether anything went, the text that is left (without what a cut leaves of a code point), how many windows
+    of 51 words other documents have too, and whether any."""
+    out = without_repeats(table(spark, sf_dir, "documents"), count_passages=True)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeats"), "text",
+        "n_passage_windows", (F.col("n_passage_windows") > 0).alias("passages"),
+    )

@@ -295,6 +295,25 @@ def test_a_suffix_array_sees_only_what_may_repeat():
     assert [found.get(k, []) for k in range(5)] == suffixes.equal_windows([t[0] for t in texts]) and found[3] == [(200, 200 + 514 - 400)]
 
 
+def test_passages_of_over_50_words_that_another_row_has(spark, odd, empty):
+    """Short words, so that the passage has under 400 bytes; blanks may differ; a text's own repeats don't count."""
+    rng = random.Random(5)
+    word = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    passage, fifty, own, copied = word(60), word(50), word(70), word(80)
+    rows = [word(90) + passage + word(30), passage, fifty + word(40), word(9) + fifty, own + word(5) + own, copied, copied, word(49), [], word(60) + passage[2:57], word(20)]
+    raws = [" ".join(x).replace(" ", "\n", i % 3) for i, x in enumerate(rows)]
+    raws[-1] = None
+    held = [{tuple(x[i : i + 51]) for i in range(len(x) - 50)} for x in rows]
+    want = [sum(any(tuple(x[i : i + 51]) in h for j, h in enumerate(held) if j != k) for i in range(len(x) - 50)) for k, x in enumerate(rows)]
+    raws[6] = raws[5]
+    df = spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_passage_windows, r.n_removed) for r in suffixes.without_repeats(df, count_passages=True).collect()}
+    assert [got[i][0] for i in range(len(rows))] == want and want[:7] == [10, 10, 0, 0, 0, 30, 30] and want[9] == 5 and got[0][1] == got[1][1] == 0
+    assert {r.n_passage_windows for r in suffixes.without_repeats(df).collect()} == {None}
+    assert {(r.doc_id, r.n_passage_windows) for r in suffixes.without_repeats(odd, count_passages=True).collect()} == {(r.doc_id, 0) for r in odd.collect()}
+    assert suffixes.without_repeats(empty, count_passages=True).count() == 0
+
+
 def test_many_equal_rows_are_one_text(spark, monkeypatch):
     """5,000 rows of one text, with equal, null and own ids, take as long as two; no row of spans grows with them."""
     rng = random.Random(4)
