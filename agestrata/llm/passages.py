@@ -54,11 +54,22 @@ def _all_runs(texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        def batch(got):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], names=("id", "th", "times", "h", "c", "s", "e"))
+
         for b in batches:
+            got, held = [], 0
             for k in range(b.num_rows):
-                for h, c, s, e in runs(b.column(2)[k].as_py()):
-                    of = [pa.array(np.full(len(h), b.column(x)[k].as_py())) for x in (0, 1, 3)]
-                    yield pa.RecordBatch.from_arrays([*of, *map(pa.array, (h, c, s, e))], names=("id", "th", "times", "h", "c", "s", "e"))
+                of = [b.column(x)[k].as_py() for x in (0, 1, 3)]
+                for part in runs(b.column(2)[k].as_py()):
+                    n = len(part[0])
+                    got.append((*[np.full(n, x) for x in of], *part))
+                    held += n
+                    if held > 100_000:
+                        yield batch(got)
+                        got, held = [], 0
+            if got:
+                yield batch(got)
 
     return texts.select("id", "th", "raw", "times").mapInArrow(run, "id long, th long, times long, h long, c long, s long, e long")
 
