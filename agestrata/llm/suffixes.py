@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -60,59 +61,74 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
     members: list[list[int]] = [[] for _ in letters]
     for i, g in enumerate(group):
         members[g].append(i)
-    below = list(range(-1, len(letters) - 1))  # the next lower group of each
-    done = [False] * len(letters)
-    smaller = [-1] * n
-    order, g = [], len(letters) - 1
-    above = [*range(1, len(letters)), -1]
+    g = len(letters) - 1
+    below, above = list(range(-1, g)), [*range(1, len(letters)), -1]  # the next group of each
+    size = list(map(len, members))  # 0: done
+    # the place before the first, -1, has a group that is never done
+    group.append(len(letters))
+    smaller, order = [-1] * n, []
+    for of, x in ((members, []), (size, 1), (below, -1), (above, -1)):
+        of.append(x)
     while g >= 0:
-        done[g] = True
-        own = [i for i in members[g] if group[i] == g]
+        own = members[g]
+        if len(own) != size[g]:
+            own = [i for i in own if group[i] == g]
+        size[g] = 0
         order.append((g, own))
-        times: dict[int, int] = {}
+        # ascending members find theirs in ascending order, equal ones in a row
+        moved: dict[tuple[int, int], list[int]] = {}
+        before, k = -1, 0
         for i in own:
             p = i - 1
-            while p >= 0 and done[group[p]]:
+            while not size[group[p]]:
                 p = smaller[p]
             smaller[i] = p
-            if p >= 0:
-                times[p] = times.get(p, 0) + 1
-        if times:
-            moved: dict[tuple[int, int], list[int]] = {}
-            for p, k in times.items():
-                moved.setdefault((-k, group[p]), []).append(p)
-            for key in sorted(moved) if len(moved) > 1 else moved:
-                old, new = key[1], len(members)
-                own_new = sorted(moved[key])
-                for p in own_new:
-                    group[p] = new
-                members.append(own_new)
-                done.append(False)
-                up = above[old]
-                below.append(old)
-                above.append(up)
-                above[old] = new
-                if up >= 0:
-                    below[up] = new
+            if p == before:
+                k += 1
+                continue
+            if before >= 0:
+                key = (-k, group[before])
+                if key in moved:
+                    moved[key].append(before)
+                else:
+                    moved[key] = [before]
+            before, k = p, 1
+        if before >= 0:
+            key = (-k, group[before])
+            if key in moved:
+                moved[key].append(before)
+            else:
+                moved[key] = [before]
+        for key in sorted(moved) if len(moved) > 1 else moved:
+            of, old = moved[key], key[1]
+            if len(of) == size[old]:
+                continue  # all that is left of a group stays where it is
+            size[old] -= len(of)
+            new, up = len(members), above[old]
+            for p in of:
+                group[p] = new
+            members.append(of)
+            size.append(len(of))
+            below.append(old)
+            above.append(up)
+            above[old] = new
+            if up >= 0:
+                below[up] = new
         g = below[g]
     front, at = [0] * len(members), 0
     for g, own in reversed(order):
         front[g] = at
         at += len(own)
     out, placed = [-1] * n, [False] * n
-
-    def chain(s: int) -> None:
+    for s in chain((n,), out):  # the empty suffix, n, precedes all and follows the last letter
+        s -= 1
         while s >= 0 and not placed[s]:
             g = group[s]
-            out[front[g]] = s
-            front[g] += 1
+            at = front[g]
+            out[at] = s
+            front[g] = at + 1
             placed[s] = True
             s = smaller[s]
-
-    chain(n - 1)  # the empty suffix precedes all and follows the last letter
-    for k in range(n):
-        if out[k] > 0:
-            chain(out[k] - 1)
     return out
 
 

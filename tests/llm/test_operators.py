@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import textwrap
 import re
 import time
@@ -239,6 +240,19 @@ def test_suffix_array(s):
     assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_array_takes_few_calls():
+    """Its loops are most of what op6 costs: no call for each suffix, no sort of members that are in order."""
+    words, calls = [f"w{k * k}" for k in range(60)], [0]
+    text = " ".join(words[k * 7919 % 61 % 60] for k in range(600)).encode()
+    text += b"\0" + text[300:900] + b"\0"
+    sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + event.endswith("call")))
+    try:
+        found = suffixes.suffix_array(text)
+    finally:
+        sys.setprofile(None)
+    assert found == sorted(range(len(text)), key=lambda i: text[i:]) and calls[0] < 4.5 * len(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(b"abc"), max_size=40).map(bytes), max_size=5))
 def test_equal_windows(raws):
